@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, secrets
+from . import bpe, decontam, minhash, secrets
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -34,10 +34,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_decontam": op2_decontam,
     "op3_bpe": op3_bpe,
+    "op10_minhash": op10_minhash,
 }
 
 SQL: dict[str, str] = {}
