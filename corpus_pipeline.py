@@ -10,10 +10,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentrel.llm import bpe, decontam, queries, secrets
+from sentrel.llm import bpe, decontam, minhash, queries, rules, secrets
 from sentrel.llm._shared import written
 
 
+def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return rules.without_rejected(docs)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest id."""
+    return minhash.without_near_duplicates(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages contaminate go."""
     return decontam.without_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
@@ -30,6 +40,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", ruled),
+    ("MinHash near-dedup", deduplicated),
     ("benchmark decontamination", decontaminated),
     ("secret scans", redacted),
     ("BPE encoding and decoding", encoded),
