@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash, rules, secrets
+from . import bpe, chat, decontam, minhash, rules, secrets, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -38,6 +38,17 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("distance")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.read_back(*chat.format_trees(rows))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontam": op2_decontam,
     "op3_bpe": op3_bpe,
     "op7_rules": op7_rules,
+    "op8_chat": op8_chat,
+    "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
 }
 
