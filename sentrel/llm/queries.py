@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, minhash, rules, secrets, warc
+from . import bpe, chat, decontam, langid, minhash, quality, rules, secrets, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -34,6 +34,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # the order of the ratings: toxic, poor, good
+    grade = F.expr("case when toxic = 1 then 0 when quality = 0 then 1 when quality = 1 then 2 end")
+    return quality.grade_documents(docs, quality.train(docs, table(spark, sf_dir, "labels"), grade))
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("distance")
 
@@ -57,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_decontam": op2_decontam,
     "op3_bpe": op3_bpe,
+    "op4_langid": op4_langid,
+    "op6_quality": op6_quality,
     "op7_rules": op7_rules,
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
