@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, minhash, quality, rules, secrets, warc
+from . import bpe, chat, decontam, extract, langid, minhash, quality, rules, secrets, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -39,6 +39,11 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract.extract(pages, extract.train(pages)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # the order of the ratings: toxic, poor, good
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontam": op2_decontam,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
+    "op5_extract": op5_extract,
     "op6_quality": op6_quality,
     "op7_rules": op7_rules,
     "op8_chat": op8_chat,
