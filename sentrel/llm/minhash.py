@@ -3,9 +3,9 @@ connected components by alternating large-star and small-star.
 
 Documents of equal shingle sets are one class, represented by its smallest id; only representatives are compared.
 In each bucket of a band every member is compared with the smallest and the largest member (a linear number of
-pairs). Buckets of four or more whose members then still lie in several components are finished exactly: members are
-compared by signature in blocks, across components only, and what may be a link is confirmed on the full sets. So a
-pair that shares a bucket is either in one component or was compared.
+pairs). Buckets of four or more whose members then still lie in several components are finished exactly: members meet
+in blocks, signatures and then full sets are compared across components only, and the links found come out. So a pair
+that shares a bucket is either in one component or was compared.
 
 128 minima in 32 bands of 4: two sets of similarity 0.75 share no band with probability 5e-6, and lie below the
 signature threshold of 0.55 with probability 1e-7.
@@ -161,11 +161,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
     pairs = written(pairs.distinct(), "pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("long").alias("parts"))
     pairs = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = written(ids, "pair-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(text_col).alias("text"))
-    texts = written(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "pair-texts")
+    texts = selected(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), id_col, text_col)
     heads = pairs.select("a", "part").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.col("a").alias("b"), "text")
     partners = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "text")
     schema = f"a {kind}, b {kind}"
@@ -224,45 +220,69 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.select(F.col("v").alias("node"), F.col("m").alias("component")).unionByName(stars.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
 
 
-def unresolved(buckets: DataFrame, comps: DataFrame, reps: DataFrame, tested: DataFrame, percent: int, partners: int | None) -> DataFrame:
-    """Untested pairs (a, b) across components that share a bucket and whose signatures allow a link.
+def selected(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) of the rows whose id is in `ids`: broadcast while they are few, else joined by a shuffle."""
+    ids = written(ids.distinct(), "ids")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(text_col).alias("text"))
+    return written(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi"), "texts")
+
+
+def block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) across the components of one block, or between two blocks, of a bucket: enough to join what is linked.
 
-    Members of a bucket meet in blocks of about BLOCK, so that no task holds a whole bucket. With `partners`, each
-    member brings only its best ones; without, all.
+    A pair that shares several bands is looked at in the first of them only.
+    """
+    pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
+    ids, n, block = pdf["doc_id"].to_numpy(), pdf["n_shingles"].to_numpy(), pdf["own"].to_numpy()
+    within, band = pdf["i"].iloc[0] == pdf["j"].iloc[0], pdf["band"].iloc[0]
+    _, comp = np.unique(pdf["component"].to_numpy(), return_inverse=True)
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), MINIMA)
+    bands = np.stack(pdf["bands"].to_list())
+    sets = shingle_sets(pdf["text"].to_list())
+    number, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum([len(x) for x in sets])[:-1])
+    mark = np.zeros(len(number), bool)
+    a, b = [], []
+    for k in range(len(pdf) - 1):
+        rest = np.arange(k + 1, len(pdf))
+        rest = rest[(comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))]
+        if not within:
+            rest = rest[block[rest] != block[k]]
+        if len(rest):
+            rest = rest[(sig[rest] == sig[k]).mean(axis=1) >= AT_LEAST]
+        if len(rest):
+            rest = rest[bands[rest, (bands[rest] == bands[k]).argmax(axis=1)] == band]
+        if not len(rest):
+            continue
+        mark[own[k]] = True
+        for m in rest.tolist():
+            if comp[m] != comp[k]:
+                both = int(mark[own[m]].sum())
+                if 100 * both >= percent * (len(own[k]) + len(own[m]) - both):
+                    a.append(ids[k])
+                    b.append(ids[m])
+                    comp[comp == comp[m]] = comp[k]
+        mark[own[k]] = False
+    return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"])
+
+
+def across(buckets: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """The links that are still missing between components whose members share a bucket, confirmed on the full sets.
+
+    Members of a bucket meet in blocks of about BLOCK, so that no task holds a whole bucket; links come out, not pairs.
     """
     labelled = buckets.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    labelled = written(labelled, "labelled")
     open_ = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("band", "n")
-    rows = labelled.join(open_, "band").join(reps.select("doc_id", "n_shingles", "sig"), "doc_id")
+    rows = written(labelled.join(open_, "band"), "open")
+    texts = selected(docs, rows.select("doc_id"), id_col, text_col)
+    full = reps.select("doc_id", "n_shingles", "sig", "bands").join(texts, "doc_id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("doc_id"), blocks)
     others = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    dealt = rows.select("band", "doc_id", "component", "n_shingles", "sig", own.alias("own"), F.explode(others).alias("at")).select("*", "at.i", "at.j").drop("at")
+    dealt = rows.select("band", "doc_id", "component", own.alias("own"), F.explode(others).alias("at")).select("band", "doc_id", "component", "own", "at.i", "at.j").join(full, "doc_id")
     kind = reps.schema["doc_id"].dataType.simpleString()
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
-        ids, comp, n = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy(), pdf["n_shingles"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), MINIMA)
-        within = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        block = pdf["own"].to_numpy()
-        a, b = [], []
-        for k in range(len(pdf) - 1):
-            rest = np.arange(k + 1, len(pdf))
-            rest = rest[(comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))]
-            if not within:
-                rest = rest[block[rest] != block[k]]
-            if len(rest):
-                share = (sig[rest] == sig[k]).mean(axis=1)
-                keep = share >= AT_LEAST
-                rest, share = rest[keep], share[keep]
-                if partners and len(rest) > partners:
-                    rest = rest[np.argsort(-share, kind="stable")[:partners]]
-                a += [ids[k]] * len(rest)
-                b += list(ids[rest])
-        return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"])
-
-    found = dealt.groupBy("band", "i", "j").applyInPandas(pairs, f"a {kind}, b {kind}").distinct()
-    return found.join(tested, ["a", "b"], "left_anti")
+    return dealt.groupBy("band", "i", "j").applyInPandas(lambda pdf: block_links(pdf, percent), f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -285,14 +305,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = written(ends("lo").unionByName(ends("hi")).distinct(), "candidates")
     edges = written(confirmed(verified(tested, reps, percent), docs, id_col, text_col, percent), "links")
     comps = components(edges)
-    large = buckets.where("n >= 4").select("band", "doc_id")
-    for partners in (4, None):
-        more = written(unresolved(large, comps, reps, tested, percent, partners), "candidates")
-        if more.isEmpty():  # the best partners may all have been compared before; the last turn takes whoever is left
-            continue
-        tested = tested.unionByName(more)
-        edges = edges.unionByName(written(confirmed(more, docs, id_col, text_col, percent), "links"))
-        comps = components(edges)
+    more = written(across(buckets.where("n >= 4").select("band", "doc_id"), comps, reps, docs, id_col, text_col, percent), "links")
+    if not more.isEmpty():
+        comps = components(edges.unionByName(more))
     rep = sigs.select("doc_id", *key).join(classes.withColumnsRenamed({k: f"c_{k}" for k in key}), [F.col(k) == F.col(f"c_{k}") for k in key], "left")
     found = rep.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "rep", "doc_id"))
