@@ -182,9 +182,9 @@ class Encoder:
         split = [self.chunks(t) for t in texts]
         if len(self.known) > KNOWN_CHUNKS:
             self.known.clear()
-        new = set().union(*split) - self.known.keys() if split else set()
+        new = [c for c in set().union(*split) if c not in self.known]
         if new:
-            self.learn(list(new))
+            self.learn(new)
         out = []
         for own in split:
             found = list(map(self.known.__getitem__, own))

@@ -172,7 +172,7 @@ class Pool:
         split = [segments_of(t) if t else [] for t in texts]
         if len(self.row) > KNOWN_SEGMENTS:
             self.clear()
-        new = list(set().union(*split) - self.row.keys()) if split else []
+        new = [w for w in set().union(*split) if w not in self.row]
         if new:
             self.learn(new)
         for t, words in zip(texts, split, strict=True):

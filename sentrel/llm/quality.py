@@ -129,8 +129,9 @@ def grade_documents(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_i
             scores = []
             for t in texts:
                 own = features(t)
-                for w in own - known.keys():
-                    known[w] = held.weight.get(bucket(w), 0.0)
+                for w in own:
+                    if w not in known:
+                        known[w] = held.weight.get(bucket(w), 0.0)
                 scores.append(sum(map(known.__getitem__, own)))
             above = held.above(np.array(scores, np.float64))
             return {"doc_id": ids, "grade": above.sum(1), "tail": above[:, -1], "kept": above[:, -1] >= least_tail}
