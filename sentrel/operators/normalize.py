@@ -16,6 +16,11 @@ def safe_json(payload: Column) -> Column:
     return F.when(payload.isNotNull(), F.when(F.try_parse_json(payload).isNull(), F.to_json(F.struct(payload.alias("message")))).otherwise(wrapped))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """`rows` with further columns that are computed once a row: later filters and uses meet the values, not copies of their expressions."""
+    return rows.select("*", F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def field(parsed: Column, *names: str) -> Column:
     """The first of the fields that is there and not null, as text."""
     return F.coalesce(*[F.get_json_object(parsed, f"$.{n}") for n in names])
@@ -24,11 +29,12 @@ def field(parsed: Column, *names: str) -> Column:
 def normalize_syslog(logs: DataFrame) -> DataFrame:
     """Lines as [<pri>][time] host app: message; a line that doesn't fit is its own message. Other columns pass."""
     message = F.coalesce(T.syslog_part(F.col("payload"), 4), F.col("payload"))
-    rows = logs.withColumn("__m", message).withColumn("__t", T.infer_type(F.col("__m"))).withColumn("__ips", T.extract_ips(F.col("__m")))
+    m = F.col("__m")
+    rows = once(once(logs, __m=message), __t=T.infer_type(m), __s=T.infer_severity(m), __ips=T.extract_ips(m))
     host, app = T.syslog_part(F.col("payload"), 2), T.syslog_part(F.col("payload"), 3)
     return rows.select(
         "event_id", "ts", "source_type", "asset_id", "__t.event_type", "__t.event_category",
-        T.infer_severity(F.col("__m")).alias("severity"),
+        F.col("__s").alias("severity"),
         F.get("__ips", F.lit(0)).alias("source_ip"), F.get("__ips", F.lit(1)).alias("destination_ip"),
         F.lit(None).cast("int").alias("source_port"), F.lit(None).cast("int").alias("destination_port"), F.lit(None).cast("string").alias("protocol"),
         host.alias("hostname"), T.username_of(F.col("__m")).alias("username"), F.col("payload").alias("raw_log"),
@@ -39,23 +45,23 @@ def normalize_syslog(logs: DataFrame) -> DataFrame:
 def normalize_json(logs: DataFrame) -> DataFrame:
     """JSON objects, and everything else as a message; addresses that no field gives come from message and payload.
 
-    Fields are read from the payload itself, so that a filter on the result stays a small expression over the scan;
-    text that starts as an object and breaks off gives the fields before the break.
+    Fields are read from the payload itself; text that starts as an object and breaks off gives the fields before the break.
     """
     p = F.col("payload")
-    rows = logs.withColumn("__m", F.coalesce(field(p, "message", "log", "event"), p, F.lit("")))
-    rows = rows.withColumn("__t", T.infer_type(F.col("__m"))).withColumn("__ips", T.extract_ips(F.concat_ws(" ", "__m", safe_json(p))))
+    m = F.col("__m")
+    rows = once(logs, __m=F.coalesce(field(p, "message", "log", "event"), p, F.lit("")), __p=safe_json(p))
+    rows = once(rows, __t=T.infer_type(m), __s=T.infer_severity(m), __ips=T.extract_ips(F.concat_ws(" ", "__m", "__p")))
     return rows.select(
         "event_id", "ts", "source_type", "asset_id",
         F.coalesce(field(p, "eventType"), F.col("__t.event_type")).alias("event_type"),
         F.coalesce(field(p, "eventCategory", "category"), F.col("__t.event_category")).alias("event_category"),
-        F.coalesce(field(p, "severity"), T.infer_severity(F.col("__m"))).alias("severity"),
+        F.coalesce(field(p, "severity"), F.col("__s")).alias("severity"),
         F.coalesce(field(p, "sourceIp", "src_ip"), F.get("__ips", F.lit(0))).alias("source_ip"),
         F.coalesce(field(p, "destinationIp", "dst_ip"), F.get("__ips", F.lit(1))).alias("destination_ip"),
         T.extract_port(field(p, "sourcePort", "src_port")).alias("source_port"),
         T.extract_port(field(p, "destinationPort", "dst_port")).alias("destination_port"),
         field(p, "protocol").alias("protocol"), field(p, "hostname", "host").alias("hostname"), field(p, "username", "user").alias("username"),
-        p.alias("raw_log"), safe_json(p).alias("parsed_data"),
+        p.alias("raw_log"), F.col("__p").alias("parsed_data"),
     )
 
 
