@@ -111,14 +111,13 @@ def rule_asset_gate(logic: dict) -> Column:
     return F.coalesce(F.col("asset.criticality").isin(*held), F.lit(False)) if held else F.lit(True)
 
 
-def threshold_window(events: DataFrame, key: str, minutes: int, name: str) -> DataFrame:
-    """Column `name`: events of the same key in the `minutes` before, the bound included, and this one; ties by event id. Null and empty keys count 1.
+def sliding_count(events: DataFrame, key: str, at: Column, width: int, name: str) -> DataFrame:
+    """Column `name`: events of the same key at positions from `width` before to this one's, peers only up to this event id; 1 for null and empty keys.
 
-    Each event goes into its window-long bucket and the next, so a partition holds two buckets of one key and a hot
-    key spreads over time; only events in their own bucket are kept.
+    Each event goes into its bucket of `width` and the next, so a partition holds two buckets of one key and a hot key
+    spreads along the axis; only events in their own bucket are kept. Events without a key or position stand alone.
     """
-    width = minutes * 60_000_000
-    rows = events.withColumn("__at", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = events.withColumn("__at", at)
     keyed = F.coalesce(F.col(key) != "", F.lit(False)) & F.col("__at").isNotNull()
     own = F.floor(F.col("__at") / width).cast("long")
     rows = rows.withColumns({"__key": F.when(keyed, F.col(key)), "__alone": F.when(~keyed, F.col("event_id")), "__own": own})
@@ -131,6 +130,36 @@ def threshold_window(events: DataFrame, key: str, minutes: int, name: str) -> Da
     return counted.where(F.col("__key").isNull() | (F.col("__b") == F.col("__own"))).drop("__own", "__b", "__at", "__key", "__alone")
 
 
+def threshold_window(events: DataFrame, key: str, minutes: int, name: str) -> DataFrame:
+    """Column `name`: events of the same key in the `minutes` before, the bound included, and this one; ties by event id."""
+    return sliding_count(events, key, F.unix_micros(F.col("ts").cast("timestamp")), minutes * 60_000_000, name)
+
+
+def with_rank(events: DataFrame, name: str) -> DataFrame:
+    """Column `name`: the place of each event in the order of (ts, event_id), from 0: a range sort, and the counts of the partitions before.
+
+    The sorted rows are checkpointed (spark.checkpoint.dir), as both steps must see the same partitions.
+    """
+    dealt = events.repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id").withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("__id", 33)
+    sizes = {r.p: r["count"] for r in dealt.groupBy(part.alias("p")).count().collect()}
+    starts, total = [], 0
+    for p in sorted(sizes):
+        starts += [F.lit(p), F.lit(total)]
+        total += sizes[p]
+    start = F.element_at(F.create_map(*starts), part) if starts else F.lit(0)
+    return dealt.withColumn(name, (start + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__id")
+
+
+def capped_threshold(events: DataFrame, key: str, minutes: int, name: str, recent: int = 300) -> DataFrame:
+    """As threshold_window, but only among the `recent` events, of any key, that came before: the parity mode of a job that looks at so many.
+
+    Time and place run alike, so what both windows hold is the smaller of the two.
+    """
+    rows = sliding_count(with_rank(threshold_window(events, key, minutes, "__in_time"), "__rank"), key, F.col("__rank"), recent, "__in_reach")
+    return rows.withColumn(name, F.least("__in_time", "__in_reach")).drop("__in_time", "__in_reach", "__rank")
+
+
 def with_thresholds(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """A count column for each distinct (key, minutes) that a rule needs."""
     for key, minutes in sorted({r.threshold[::2] for r in rules if r.threshold[1] > 1}):

@@ -105,6 +105,32 @@ def test_threshold_brute_force(spark):
         assert got[e] == want
 
 
+def test_capped_threshold_brute_force(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    draw = random.Random(9)
+    rows = [(f"e{i:03}", T0 + dt.timedelta(minutes=draw.randrange(60)), draw.choice(["a", "a", "b", None])) for i in range(150)]
+    got = {r.event_id: r.n for r in rules.capped_threshold(spark.createDataFrame(rows, "event_id string, ts timestamp, source_ip string"), "source_ip", 15, "n", recent=20).collect()}
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    for i, (e, t, k) in enumerate(ordered):
+        want = 1 + sum(k == k2 and t2 >= t - dt.timedelta(minutes=15) for _, t2, k2 in ordered[max(0, i - 20) : i]) if k else 1
+        assert got[e] == want
+
+
+def test_raw_logs(spark, tmp_path):
+    (tmp_path / "a.log").write_text("one\ntwo\n")
+    rows = tables.read_raw_logs(spark, str(tmp_path), "syslog").collect()
+    assert {r.payload for r in rows} == {"one", "two"} and len({r.event_id for r in rows}) == 2
+    with pytest.raises(ValueError):
+        tables.read_raw_logs(spark, str(tmp_path), "other")
+
+
+def test_upsert_overwrites_with_null(spark):
+    target = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, name string, mail string")
+    new = spark.createDataFrame([(1, "old", 1), (1, None, 2), (3, "c", 1)], "id long, name string, o long")
+    got = {r.id: (r.name, r.mail) for r in tables.upsert_by_key(target, new, "id", ["name"], "o").collect()}
+    assert got == {1: (None, "x"), 2: ("b", "y"), 3: ("c", None)}
+
+
 def test_rules_put_aside_and_empty(spark):
     good, bad = rules.usable(spark, [rules.Rule(1, "a", "A", logic={"rawRegex": "("}), rules.Rule(2, "b", "B")])
     assert [r.rule_id for r in good] == ["b"] and bad[0][0] == "a"
