@@ -26,7 +26,8 @@ SPACE = r"[\t-\r \x85\xa0  -     　]+"
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: str.split() also parts at these, which are not White_Space.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-KNOWN_CHUNKS = 400_000
+#: Chunks that a generation of a task's memory holds before it becomes the old one; two are kept.
+KNOWN_CHUNKS = 80_000
 
 
 def byte_letters() -> list[str]:
@@ -141,18 +142,20 @@ def merge_all(symbols: np.ndarray, ends: np.ndarray, vocab: Vocabulary) -> np.nd
 
 
 class Encoder:
-    """Encodes texts; remembers at most KNOWN_CHUNKS chunks of no white space, each with its ids and tokens joined."""
+    """Encodes texts; remembers chunks of no white space, each with its ids and tokens joined, in two generations."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.young: dict[str, tuple[int, str, str]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
 
     def chunks(self, text: str) -> list[str]:
         if any(c in text for c in ODD):
             return [c for c in regex.split(SPACE, text) if c]
         return text.split()
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str]) -> list[tuple[int, str, str]]:
+        """What each new chunk is encoded as."""
         v = self.vocab
         words, spans = [], []
         for chunk in new:
@@ -174,20 +177,26 @@ class Encoder:
         upto = np.r_[0, np.cumsum(alive)][np.r_[0, stops]]  # tokens before each word's end
         bounds = upto[np.r_[0, np.cumsum(spans)]].tolist()
         names, tokens = [v.names[i] for i in kept.tolist()], [v.tokens[i] for i in kept.tolist()]
-        for chunk, a, b in zip(new, bounds, bounds[1:], strict=False):
-            self.known[chunk] = (b - a, " ".join(names[a:b]), " ".join(tokens[a:b]))
+        return [(b - a, " ".join(names[a:b]), " ".join(tokens[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of tokens, ids joined by a space, tokens joined by a space) of each text."""
         split = [self.chunks(t) for t in texts]
-        if len(self.known) > KNOWN_CHUNKS:
-            self.known.clear()
-        new = [c for c in set().union(*split) if c not in self.known]
+        if len(self.young) > KNOWN_CHUNKS:
+            self.old, self.young = self.young, {}
+        here, new = {}, []
+        for c in set().union(*split):
+            found = self.young.get(c) or self.old.get(c)
+            if found is None:
+                new.append(c)
+            else:
+                here[c] = self.young[c] = found
         if new:
-            self.learn(new)
+            here.update(zip(new, self.learn(new), strict=True))
+            self.young.update((c, here[c]) for c in new[: max(0, 2 * KNOWN_CHUNKS - len(self.young))])
         out = []
         for own in split:
-            found = list(map(self.known.__getitem__, own))
+            found = list(map(here.__getitem__, own))
             if found:
                 ns, ids, tokens = zip(*found, strict=True)
                 out.append((sum(ns), " ".join(filter(None, ids)), " ".join(filter(None, tokens))))
@@ -196,14 +205,14 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_vocabularies: dict[str, Vocabulary] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One a Python worker, so what is known serves the worker's later tasks too."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(Vocabulary(path))
-    return _encoders[path]
+def vocabulary(path: str) -> Vocabulary:
+    """One a Python worker."""
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
 
 
 def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", ids_as: str = "array", decoded: bool = False) -> DataFrame:
@@ -218,7 +227,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     as_array = ids_as == "array"
 
     def start():
-        of = encoder(vocab_path)
+        of = Encoder(vocabulary(vocab_path))
 
         def work(batch: pa.RecordBatch) -> dict:
             rows = of.encode([t.decode("utf-8", "replace") if t else "" for t in col_of(batch, "text").to_pylist()])
@@ -239,7 +248,7 @@ def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
 
     @F.pandas_udf("string")
     def text(ids):
-        tokens = encoder(vocab_path).vocab.tokens
+        tokens = vocabulary(vocab_path).tokens
         return ids.map(lambda own: None if own is None else " ".join(tokens[i] for i in own if 0 <= i < len(tokens)))
 
     return encoded.select(F.col(f"`{id_col}`").alias("doc_id"), text(F.col(f"`{ids_col}`")).alias("decoded"))
