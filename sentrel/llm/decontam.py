@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, size: int, blo
 
 
 def find(docs: DataFrame, windows: Windows, id_col: str, text_col: str, item_type: str) -> DataFrame:
-    """(doc_id, n_words, hits: word spans, items) of every row against one block."""
+    """(doc_id, n_words, hits: word spans, items, print: 128 bits of the text) of every row against one block."""
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
@@ -104,8 +105,9 @@ def find(docs: DataFrame, windows: Windows, id_col: str, text_col: str, item_typ
 
         def of(batch: pa.RecordBatch) -> dict:
             ids: list[int] = []
-            stops = []
+            stops, prints = [], []
             for t in col_of(batch, "text").to_pylist():
+                prints.append(xxhash.xxh3_128_digest(t or b""))
                 if t:
                     ids += [number(w, 0) for w in t.translate(TABLE).split()]
                 stops.append(len(ids))
@@ -117,11 +119,11 @@ def find(docs: DataFrame, windows: Windows, id_col: str, text_col: str, item_typ
                 d = int(np.searchsorted(ends, a, "right"))
                 spans[d].append((a - int(firsts[d]), b - int(firsts[d])))
                 items[d].update(own)
-            return {"doc_id": col_of(batch, "doc_id"), "n_words": ends - firsts, "hits": [[{"start": a, "end": b} for a, b in united(s)] for s in spans], "items": [sorted(s) for s in items]}
+            return {"doc_id": col_of(batch, "doc_id"), "n_words": ends - firsts, "hits": [[{"start": a, "end": b} for a, b in united(s)] for s in spans], "items": [sorted(s) for s in items], "print": prints}
 
         return of
 
-    return map_texts(docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(text_col).alias("text")), "text", f"doc_id {kind}, n_words long, hits {HITS}, items array<{item_type}>", start)
+    return map_texts(docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(text_col).alias("text")), "text", f"doc_id {kind}, n_words long, hits {HITS}, items array<{item_type}>, print binary", start)
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -153,9 +155,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = parts[0]
     for more in parts[1:]:
         found = found.unionByName(more)
-    if len(parts) > 1:  # rows of one id are united; the first part has every row
-        extra = found.where(F.size("hits") > 0).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_set("hits"))).alias("all"), F.array_distinct(F.array_sort(F.flatten(F.collect_set("items")))).alias("its"))
-        joint = parts[0].join(extra.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    if len(parts) > 1:  # the first part has every row; hits of equal id and text are united
+        extra = found.where(F.size("hits") > 0).groupBy("doc_id", "print").agg(F.array_sort(F.flatten(F.collect_set("hits"))).alias("all"), F.array_distinct(F.array_sort(F.flatten(F.collect_set("items")))).alias("its"))
+        joint = parts[0].join(extra.withColumnsRenamed({"doc_id": "__id", "print": "__print"}), (F.col("print") == F.col("__print")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
         merged = F.aggregate(
             "all",
             F.array().cast(HITS),
