@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, col_of, map_texts, written
+from ._shared import as_bytes, col_of, map_texts, slices, written
 
 #: Fixed by the contract of the base kinds, in their listed order.
 KINDS = ("assign", "access", "hex")
@@ -194,6 +194,29 @@ def labelled(found: DataFrame, max_labels: int, max_label_chars: int) -> dict[st
     return out
 
 
+class Judge:
+    """Whether a candidate reads like a credential: its best automaton's log-likelihood less the ordinary one's passes the margin."""
+
+    def __init__(self, automata: dict[str, Automaton], ordinary: Automaton, margin: float):
+        self.automata, self.ordinary, self.margin = automata, ordinary, margin
+        self.known: dict[str, bool] = {}
+
+    def __call__(self, value: str) -> bool:
+        if value not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            kinds = Counter(CLASSES.get(c, c) for c in value)
+            mixed = "9" in kinds and len(kinds) > 1  # the ordinary contrast knows words and numbers
+            self.known[value] = mixed and max(a.likelihood(value) for a in self.automata.values()) - self.ordinary.likelihood(value) > self.margin
+        return self.known[value]
+
+
+def learn(found: DataFrame, max_labels: int, max_label_chars: int, margin: float) -> Judge | None:
+    values = labelled(found, max_labels, max_label_chars)
+    automata = {k: infer(values[k]) for k in KINDS if len(values[k]) >= 20}
+    return Judge(automata, infer(values["ordinary"]), margin) if len(values["ordinary"]) >= 20 and automata else None
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 300, max_label_chars: int = 96, margin: float = 12.0) -> DataFrame:
     """(doc_id, spans: kind, start, end, value) for each row, by start and then kind; code points, end exclusive.
 
@@ -202,26 +225,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A kind without labelled values adds nothing; with fewer than 20 ordinary tokens there is no contrast, and nothing is added.
     """
     found = written(scan(docs, id_col, text_col), "secrets")
-    values = labelled(found, max_labels, max_label_chars)
-    automata = {k: infer(values[k]) for k in KINDS if len(values[k]) >= 20}
-    ordinary = infer(values["ordinary"]) if len(values["ordinary"]) >= 20 and automata else None
-    if ordinary is None:
+    judge = learn(found, max_labels, max_label_chars, margin)
+    if judge is None:
         return found.select("doc_id", F.col("base").alias("spans"))
 
     @F.pandas_udf("array<boolean>")
     def credible(tokens):
-        known: dict[str, bool] = {}
-
-        def is_one(value: str) -> bool:
-            if value not in known:
-                if len(known) > 200_000:
-                    known.clear()
-                kinds = Counter(CLASSES.get(c, c) for c in value)
-                mixed = "9" in kinds and len(kinds) > 1  # the ordinary contrast knows words and numbers
-                known[value] = mixed and max(a.likelihood(value) for a in automata.values()) - ordinary.likelihood(value) > margin
-            return known[value]
-
-        return tokens.map(lambda vs: [is_one(v) for v in vs])
+        return tokens.map(lambda vs: [judge(v) for v in vs])
 
     some = found.where(F.size("candidates") > 0).withColumn("ok", credible(F.col("candidates.value")))
     added = F.transform(F.filter(F.arrays_zip("candidates", "ok"), lambda x: x["ok"]), lambda x: x["candidates"].withField("kind", F.lit("format")))
@@ -236,23 +246,32 @@ def joined(spans, kinds: tuple[str, ...] | None = None):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[{kind}]") -> DataFrame:
-    """`docs` with every found span replaced by its kind in brackets; rows, columns and their order stay.
+def masked(text: str, judge: Judge | None) -> str:
+    """The text with its spans replaced by their kind in brackets; overlapping ones by the first one's."""
+    base, rest = base_spans(text)
+    spans = base + [("format", a, b, v) for _, a, b, v in rest if judge and judge(v)]
+    out, at = [], 0
+    for kind, start, end, _ in sorted(spans, key=lambda s: s[1]):  # stable: kinds stay as listed
+        if start >= at:
+            out.append(f"{text[at:start]}[{kind}]")
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 300, max_label_chars: int = 96, margin: float = 12.0) -> DataFrame:
+    """`docs` with every found span masked; rows and columns stay, nulls too, and each row is judged by its own text.
 
-    The automata are learned from all rows as in scan_secrets; overlapping spans merge into the first one's mask.
+    One pass finds what the automata are learned from, as in scan_secrets; a second one rewrites the rows where they lie, without a shuffle.
     """
-    position = "__row"
-    while position in docs.columns:
-        position += "_"
-    found = scan_secrets(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col)
-    hits = found.where(F.size("spans") > 0).select(F.col("doc_id").alias(position), F.col("spans").alias(f"{position}s")).dropDuplicates([position])
-    joint = docs.join(hits, docs[id_col] == hits[position], "left")
-    pieces = F.aggregate(
-        F.coalesce(F.col(f"{position}s"), F.array().cast(SPANS)),
-        F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(acc["done"].alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))).otherwise(
-            F.struct(F.concat(acc["done"], F.substring(F.col(f"`{text_col}`"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.format_string(mask.replace("{kind}", "%s"), s["kind"])).alias("done"), s["end"].alias("at"))
-        ),
-    )
-    clean = F.when(F.col(f"{position}s").isNull(), F.col(f"`{text_col}`")).otherwise(F.concat(pieces["done"], F.substring(F.col(f"`{text_col}`"), (pieces["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return joint.withColumn(text_col, clean).select(*[f"`{c}`" for c in docs.columns])
+    found = written(scan(docs, id_col, text_col).where((F.size("base") > 0) | (F.size("candidates") > 0)), "secrets")
+    shared = docs.sparkSession.sparkContext.broadcast(learn(found, max_labels, max_label_chars, margin))
+
+    def run(batches):
+        judge = shared.value
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                k = batch.schema.get_field_index(text_col)
+                texts = [None if t is None else masked(t, judge) for t in batch.column(k).to_pylist()]
+                yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -47,7 +47,7 @@ def test_secrets_edges(spark, edges):
         assert by[i] == base(t)
     assert by[None] == [("assign", 0, 15)]
     clean = {r.doc_id: r.text for r in secrets.redact(edges).collect()}
-    assert clean[5] == "[assign]" + '" [access] [hex]' and clean[1] is None and clean[7] == EDGES[7]
+    assert clean[5] == "[assign]" + '" [access] [hex]' and clean[1] is None and clean[7] == EDGES[7] and clean[None] == "[assign]"
     assert secrets.scan_secrets(edges.limit(0)).count() == 0
 
 
@@ -106,6 +106,10 @@ def test_decontam_edges(spark, edges):
     bench = spark.createDataFrame([(1, "X"), (1, "x"), (None, "aaaa aaaaaaa"), (3, None), (4, "  "), (5, "日本語テキスト")], "item_id long, text string")
     got = [(r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in decontam.decontaminate(edges, bench).collect()]
     assert (2, 1, 1, [1], True) in got and (9, 3, 1, [5], True) in got and (1, 0, 0, [], False) in got and len(got) == len(EDGES) + 2
+    for block in (500_000, 1):  # rows of one id, or of none, are judged by their own text
+        twice = spark.createDataFrame([(None, "x"), (None, "other"), (7, "x"), (7, "q " * 50 + "日本語テキスト"), (7, "x")], "doc_id long, text string")
+        got = sorted((r.n_words, r.n_hit, list(r["items"])) for r in decontam.decontaminate(twice, bench, block_windows=block).collect())
+        assert got == [(1, 0, []), (1, 1, [1]), (1, 1, [1]), (1, 1, [1]), (51, 1, [5])]
     assert decontam.decontaminate(edges, bench.limit(0)).where("n_hit > 0").count() == 0
     assert {r.doc_id for r in decontam.without_contaminated(edges, bench).collect()} == {None, 0, 1, 3, 4, 5, 7, 8}  # row 6 holds the one-word window x
 
