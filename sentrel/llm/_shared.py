@@ -49,6 +49,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many ids (about 40 MB in a hash table) are broadcast to select rows of texts; beyond, the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """`docs` without the rows whose id is in `gone` (one column): broadcast while its counted rows are few, so that no text moves. Rows of a null id stay."""
+    gone = written(gone.toDF("__gone").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+
+
 def as_bytes(name: str) -> Column:
     """A text column as its UTF-8 bytes, without copying; other types by their string form."""
     return F.col(f"`{name}`").cast("string").cast("binary")

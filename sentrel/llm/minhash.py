@@ -24,14 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ._shared import as_bytes, col_of, map_texts, written
+from ._shared import BROADCAST_IDS, as_bytes, col_of, map_texts, without_ids, written
 
 WORDS = 5
 MINIMA, BANDS = 128, 32
 AT_LEAST = 0.55
 BLOCK = 400
-#: Up to so many ids (about 40 MB in a hash table) are broadcast to select texts; beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
 
 _draw = np.random.default_rng(20)
 FACTOR = _draw.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -317,8 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """`docs` with one document of each component: that of the smallest id. Of rows that share an id one stays; rows of a null id all stay."""
     found = written(near_duplicates(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col, percent), "near-duplicates")
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    out = without_ids(docs, found.where("not kept").select("doc_id"), id_col)
     if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         some, rest = out.where(F.col(f"`{id_col}`").isNotNull()), out.where(F.col(f"`{id_col}`").isNull())
         out = some.dropDuplicates([id_col]).unionByName(rest)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._shared import as_bytes, col_of, map_texts, written
+from ._shared import as_bytes, col_of, map_texts, without_ids, written
 
 #: Fixed by the contract: white space, and the characters that count as symbols.
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -162,5 +162,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def without_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` without the rows of rejected ids; columns stay. Rows of a null id stay. Rows that share an id go if one is rejected."""
     columns = [options.get("lang_col", "lang"), options.get("source_col", "source")]
-    gone = quality_rules(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([id_col, text_col, *columns])]), id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(written(gone, "rejected"), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    gone = quality_rules(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([id_col, text_col, *columns])]), id_col, text_col, **options).where("not kept").select("doc_id")
+    return without_ids(docs, gone, id_col)
