@@ -25,6 +25,8 @@ from ._shared import as_bytes, col_of, map_texts
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe textarea title svg math object audio video canvas noframes xmp noembed".split())
+#: Those of RAW whose source is text up to their own end tag, whatever stands in it.
+VERBATIM = frozenset("script style title textarea iframe noframes xmp noembed".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "body": {"head"}}
 SCOPE = frozenset("html body article aside section div main table td th ul ol dl form nav header footer blockquote figure li dd".split())
 PLAIN = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -51,6 +53,7 @@ FEATURES = {name: i for i, name in enumerate(["bias", *(f"tag {t}" for t in TAGS
 LOW = [FEATURES[n] for n in ("in article", "in other part", "short", "long", "links", "sentence", "no text")]
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>|[^>]*+>)|<[!?/][^>]*+>""", re.DOTALL)
+END_TAG = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in VERBATIM}
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 SLICE_WORDS = re.compile(r"[^a-z]+")
 
@@ -101,12 +104,21 @@ class Page:
         linked = block = at = 0
         self.sizes, self.links = [0], [0]
         raw = ""
-        for m in TOKEN.finditer(source):
+        read = 0
+        while m := TOKEN.search(source, read):
+            read = m.end()
             name = m[2]
+            if name and not m[1] and name.lower() in VERBATIM and not m[0].endswith("/>"):
+                read = self.end_of(source, name.lower(), read)
+                if not raw:
+                    if m.start() > at:
+                        self.piece(block, stack[-1][1], source[at : m.start()], linked)
+                    at = read
+                continue
             if raw:  # nothing but the element's own end counts
                 if name and m[1] and name.lower() == raw:
                     raw = ""
-                    at = m.end()
+                    at = read
                 continue
             if m.start() > at:
                 self.piece(block, stack[-1][1], source[at : m.start()], linked)
@@ -168,6 +180,13 @@ class Page:
         if linked:
             self.links[node] += n
 
+    @staticmethod
+    def end_of(source: str, name: str, at: int) -> int:
+        """Where the end tag of a verbatim element whose text begins at `at` ends; the page's end if it has none."""
+        m = END_TAG[name].search(source, at)
+        stop = source.find(">", m.end()) if m else -1
+        return stop + 1 if stop >= 0 else len(source)
+
     @staticmethod
     def close(stack: list[tuple[str, int]], opened: Counter[str], names: set[str]) -> None:
         """End what is open of `names`, up to the element that holds this one."""

@@ -78,3 +78,13 @@ def test_edges(spark, model):
     assert {r.page_id: r.text for r in rows}[5] == "a & b."
     assert extract.extract(df.limit(0), model).count() == 0
     assert extract.train(df.limit(0)).texts(["<article><p>still a long enough sentence here.</p></article>"]) == ["still a long enough sentence here."]
+
+
+def test_markup_inside_raw_text_ends_with_it(model):
+    text = "<article><p>A long enough sentence stands here.</p></article>"
+    for code in ("for(var i=0;i<n;i++){f(i);}", "if(a<b){f()}", 'var s="<!--";', "'<a href=\"'", "x<y"):
+        for name in ("script", "STYLE", "title", "textarea"):
+            for page in (f"<{name}>{code}</{name}>{text}<{name}>{code}</{name} >", f"<svg><script>{code}</script></svg>{text}<{name}>{code}"):
+                assert model.texts([page]) == ["A long enough sentence stands here."], page
+    assert model.texts([f"<svg><!-- </svg> --><text>no</text></svg>{text}<script/>"]) == ["A long enough sentence stands here."]
+    assert model.texts([f"{text}<script>f()</scripts>" + "</script " * 20000]) == ["A long enough sentence stands here."]
