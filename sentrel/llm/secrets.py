@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, deque
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -205,9 +205,7 @@ class Judge:
         if value not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            kinds = Counter(CLASSES.get(c, c) for c in value)
-            mixed = "9" in kinds and len(kinds) > 1  # the ordinary contrast knows words and numbers
-            self.known[value] = mixed and max(a.likelihood(value) for a in self.automata.values()) - self.ordinary.likelihood(value) > self.margin
+            self.known[value] = max(a.likelihood(value) for a in self.automata.values()) - self.ordinary.likelihood(value) > self.margin
         return self.known[value]
 
 
@@ -222,6 +220,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have no spans. Repeated rows each get their result; a null id stays null; other columns of
     `docs` are not read. Values over `max_label_chars` characters do not train, but are scanned and scored whole.
+    Every token of 16 characters or more that touches no base span is a candidate and is scored, letters or digits
+    alone too; shorter tokens are only found by the base patterns.
     A kind without labelled values adds nothing; with fewer than 20 ordinary tokens there is no contrast, and nothing is added.
     """
     found = written(scan(docs, id_col, text_col), "secrets")

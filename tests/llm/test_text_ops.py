@@ -64,6 +64,23 @@ def test_inferred_formats(spark):
     assert all(len(got[i]) == 2 for i in range(120))  # base spans only: assign and hex
 
 
+@pytest.mark.parametrize("letters, length", [("GHJKMNPQRSTVWXYZ", 20), ("0123456789", 20), ("ghjkmnpqrstvwxyzGHJKMNPQRSTVWXYZ", 24)])
+def test_formats_of_letters_or_digits_alone(spark, letters, length):
+    import random
+
+    draw = random.Random(6)
+    made = lambda: "".join(draw.choice(letters) for _ in range(length))
+    words = ["".join(draw.choice(["an", "the", "ing", "or", "re"]) for _ in range(10)) for _ in range(120)]
+    planted = [made() for _ in range(2)]
+    rows = [(i, f'password = "{made()}" y {w} z') for i, w in enumerate(words)] + [(1000 + i, f"see {v} and {words[i]}") for i, v in enumerate(planted)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [s.value for s in r.spans] for r in secrets.scan_secrets(docs).collect()}
+    assert all(got[1000 + i] == [v] for i, v in enumerate(planted))
+    assert all(len(got[i]) == 1 for i in range(120))
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert all(clean[1000 + i] == f"see [format] and {words[i]}" for i in range(2))
+
+
 def test_automaton_merges():
     a = secrets.infer(["9h" * n for n in range(1, 30)] * 4)
     assert len(a.ends) <= 6
