@@ -52,7 +52,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality_rules(table(spark, sf_dir, "documents")).drop("distance")
+    return rules.quality_rules(table(spark, sf_dir, "documents"), pooled=True).drop("distance")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: statistic that is constant in a group leaves the covariance regular.
 FLOORS = (0.25, 0.1, 0.2, 0.1, 0.1)
 SIZE = len(FLOORS)
+#: The key of the estimate over all rows; groups begin with g, languages with l.
+EVERY = "all"
 BINS = 120
 
 
@@ -79,15 +81,15 @@ def statistics_of(texts: list[bytes | None]) -> dict[str, list[int]]:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """(doc_id, grp, the five statistics) of every row; nulls of language and source form groups of their own."""
+    """(doc_id, grp, lang, the five statistics) of every row; nulls of language and source form groups of their own."""
     kind = docs.schema[id_col].dataType.simpleString()
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null"))
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.concat_ws("\x01", part(lang_col), part(source_col)).alias("grp"), as_bytes(text_col).alias("text"))
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.concat_ws("\x01", part(lang_col), part(source_col)).alias("grp"), part(lang_col).alias("lang"), as_bytes(text_col).alias("text"))
 
     def start():
-        return lambda batch: {"doc_id": col_of(batch, "doc_id"), "grp": col_of(batch, "grp")} | statistics_of(col_of(batch, "text").to_pylist())
+        return lambda batch: {"doc_id": col_of(batch, "doc_id"), "grp": col_of(batch, "grp"), "lang": col_of(batch, "lang")} | statistics_of(col_of(batch, "text").to_pylist())
 
-    return map_texts(source, "text", f"doc_id {kind}, grp string, " + ", ".join(f"{s} long" for s in STATS), start)
+    return map_texts(source, "text", f"doc_id {kind}, grp string, lang string, " + ", ".join(f"{s} long" for s in STATS), start)
 
 
 def base_failed() -> Column:
@@ -112,11 +114,11 @@ def distance() -> Column:
 
 
 def estimates(rows: DataFrame, coverage: float, steps: int, least: int) -> DataFrame:
-    """(grp, mean, inv, scale) of every group of at least `least` rows; rows: grp, x0.. ."""
+    """(grp, mean, inv, scale) of every group of at least `least` rows, and of EVERY of any number; rows: grp, x0.. ."""
     mids = rows.groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(SIZE)])
     spread = [F.greatest((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349, F.lit(FLOORS[i])) for i in range(SIZE)]
     inverse = F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(SIZE) for j in range(SIZE)])
-    fit = written(mids.where(F.col("n") >= least).select("grp", F.array(*[F.get(f"q{i}", F.lit(1)) for i in range(SIZE)]).alias("mean"), inverse.alias("inv")), "mcd")
+    fit = written(mids.where((F.col("n") >= least) | (F.col("grp") == EVERY)).select("grp", F.array(*[F.get(f"q{i}", F.lit(1)) for i in range(SIZE)]).alias("mean"), inverse.alias("inv")), "mcd")
     upper = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
 
     def solve(batches):
@@ -142,18 +144,36 @@ def estimates(rows: DataFrame, coverage: float, steps: int, least: int) -> DataF
     return written(fit.join(scale, "grp").select("grp", "mean", "inv", F.greatest(F.col("median") / chi2_quantile(0.5), F.lit(1.0)).alias("scale")), "mcd")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", coverage: float = 0.75, steps: int = 3, least: int = 50, tail: float = 1e-6) -> DataFrame:
+def pooled_estimates(rows: DataFrame, groups: DataFrame, *options) -> DataFrame:
+    """(grp, mean, inv, scale) of every group: its own estimate, or its language's, or that over all rows. rows: grp, lang, x0..; groups: grp, lang."""
+    keys = [F.concat(F.lit("g"), "grp"), F.concat(F.lit("l"), "lang"), F.lit(EVERY)]
+    fit = estimates(rows.select(F.explode(F.array(*keys)).alias("grp"), *[f"x{i}" for i in range(SIZE)]), *options)
+    chosen = groups.groupBy("grp").agg(F.min("lang").alias("lang"))
+    for k, key in enumerate(keys):
+        of = fit.select(F.col("grp").alias(f"k{k}"), F.struct("mean", "inv", "scale").alias(f"fit{k}"))
+        of = of.where(F.col(f"k{k}") == EVERY) if k == 2 else of.where(F.col(f"k{k}").startswith("gl"[k]))
+        chosen = chosen.join(of, key == F.col(f"k{k}"), "left")
+    return written(chosen.select("grp", F.coalesce("fit0", "fit1", "fit2").alias("fit")).where("fit is not null").select("grp", "fit.*"), "mcd")
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", coverage: float = 0.75, steps: int = 3, least: int = 50, tail: float = 1e-6, pooled: bool = False) -> DataFrame:
     """(doc_id, the five statistics, base_failed, distance, kept) for each row.
 
     base_failed: fewer than 50 words, or over half of the words repeated. Others are rejected if their scaled
     squared distance passes the 1 - `tail` quantile. Rows that fail the base rules do not shape the estimates;
-    groups of fewer than `least` others have none, and reject nothing by distance (distance null). Null and empty
+    groups of fewer than `least` others have none of their own. With `pooled`, as in op7 and the pipeline, these are
+    held against the estimate of their language, or where that has fewer than `least` too, of all rows, so that
+    every row has a distance; only a table whose rows all fail has none. Without it they reject nothing by distance (distance null). Null and empty
     texts have no words, so they fail; null languages or sources are groups of their own; a null id stays null;
     repeated rows each get a row. Other columns are not read.
     """
     stats = written(measured(docs, id_col, text_col, lang_col, source_col), "statistics")
     with_x = stats.select("*", *[x.alias(f"x{i}") for i, x in enumerate(vector())], base_failed().alias("base_failed"))
-    fit = estimates(with_x.where("not base_failed").select("grp", *[f"x{i}" for i in range(SIZE)]), coverage, steps, least)
+    able = with_x.where("not base_failed")
+    if pooled:
+        fit = pooled_estimates(able, stats.select("grp", "lang"), coverage, steps, least)
+    else:
+        fit = estimates(able.select("grp", *[f"x{i}" for i in range(SIZE)]), coverage, steps, least)
     far = with_x.join(fit, "grp", "left").withColumn("distance", distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(1 - tail), F.lit(True))
     return far.select("doc_id", *STATS, "base_failed", "distance", kept.alias("kept"))

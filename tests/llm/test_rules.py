@@ -59,3 +59,30 @@ def test_edges(spark):
     left = rules.without_rejected(docs)
     assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 4]
     assert rules.quality_rules(docs.limit(0)).count() == 0
+
+
+def test_small_groups_are_pooled(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(1)
+    line = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randrange(2, 9))) for _ in range(n))
+    odd = lambda: line(100).replace(" ", " ## ")
+    rows = [(i, line(draw.randrange(60, 400)), "en", "s") for i in range(300)]
+    rows += [(1000 + i, line(draw.randrange(60, 400)), "en", f"few{i}") for i in range(20)]  # by language
+    rows += [(2000 + i, line(draw.randrange(60, 400)), ["xx", None][i % 2], None) for i in range(20)]  # over all rows
+    rows += [(3000, odd(), "en", "few"), (3001, odd(), "xx", "few"), (3002, odd(), None, None), (3003, "a b", "yy", "few")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in rules.quality_rules(docs, pooled=True).collect()}
+    assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
+    plain = {r.doc_id: r for r in rules.quality_rules(docs).collect()}
+    assert all(abs(got[i].distance - plain[i].distance) < 1e-6 for i in range(300))
+    assert sum(got[d].kept for d in got if 1000 <= d < 3000) >= 38
+    assert not any(r.kept for d, r in got.items() if d >= 3000)
+    kept = {r.doc_id: r.kept for r in queries.op7_rules(spark, str(tmp_path)).collect()}
+    assert kept == {d: r.kept for d, r in got.items()}
+    left = {r.doc_id for r in corpus_pipeline.ruled(spark, docs, str(tmp_path)).collect()}
+    assert left == {d for d in kept if kept[d]}
+    few = rules.quality_rules(docs.where("doc_id in (1, 2, 3003)"), pooled=True).collect()
+    assert all(r.distance is not None and r.kept == (r.doc_id < 3) for r in few)
+    assert rules.quality_rules(docs.where("doc_id = 3003"), pooled=True).first().distance is None
