@@ -16,7 +16,7 @@ from sentrel.llm._shared import written
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return rules.without_rejected(docs, pooled=True)
+    return rules.without_rejected(docs, by_row=True, pooled=True)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,6 +59,18 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
 
 
+def row_key(*names: str) -> Column:
+    """128 bits of a row's values in these columns, nulls too: what a decision on rows is keyed by where ids repeat or are null."""
+    parts = [F.coalesce(F.md5(F.col(f"`{n}`").cast("string").cast("binary")), F.lit("null")) for n in names]
+    return F.unhex(F.md5(F.concat_ws(",", *parts).cast("binary")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """`docs` without the rows whose `key` is in `gone` (one column); as without_ids otherwise."""
+    gone = written(gone.toDF("__gone").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key == F.col("__gone"), "left_anti")
+
+
 def as_bytes(name: str) -> Column:
     """A text column as its UTF-8 bytes, without copying; other types by their string form."""
     return F.col(f"`{name}`").cast("string").cast("binary")

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, col_of, map_texts, without_ids, written
+from ._shared import as_bytes, col_of, map_texts, row_key, without_rows, written
 
 #: Bytes of a word: digits, letters (A-Z become a-z) and all beyond ASCII; others become a space.
 TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -169,6 +169,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without its contaminated rows; columns stay, rows of a null id stay."""
-    ids = decontaminate(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), benchmark, id_col, text_col, **options).where("contaminated").select("doc_id")
-    return without_ids(docs, ids, id_col)
+    """`docs` without its contaminated rows, each judged by its own text, null and repeated ids too; columns stay."""
+    key = row_key(id_col, text_col)
+    keyed = docs.select(key.alias("__row"), F.col(f"`{text_col}`"))
+    return without_rows(docs, decontaminate(keyed, benchmark, "__row", text_col, **options).where("contaminated").select("doc_id"), key)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ._shared import BROADCAST_IDS, as_bytes, col_of, map_texts, without_ids, written
+from ._shared import BROADCAST_IDS, as_bytes, col_of, map_texts, row_key, without_ids, without_rows, written
 
 WORDS = 5
 MINIMA, BANDS = 128, 32
@@ -313,10 +313,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """`docs` with one document of each component: that of the smallest id. Of rows that share an id one stays; rows of a null id all stay."""
-    found = written(near_duplicates(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col, percent), "near-duplicates")
-    out = without_ids(docs, found.where("not kept").select("doc_id"), id_col)
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        some, rest = out.where(F.col(f"`{id_col}`").isNotNull()), out.where(F.col(f"`{id_col}`").isNull())
-        out = some.dropDuplicates([id_col]).unionByName(rest)
-    return out
+    """`docs` with one document of each component: that of the smallest id. Rows of a null id all stay.
+
+    Where ids repeat, each distinct text of an id is a document of its own, and of rows that share both one stays:
+    (id, text) pairs are numbered in the order of their ids and the numbers take the ids' place.
+    """
+    named = docs.where(F.col(f"`{id_col}`").isNotNull())
+    if named.groupBy(F.col(f"`{id_col}`")).count().where("count > 1").isEmpty():
+        found = near_duplicates(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col, percent)
+        return without_ids(docs, found.where("not kept").select("doc_id"), id_col)
+    key = row_key(id_col, text_col)
+    pairs = named.select(F.col(f"`{id_col}`").alias("id"), key.alias("row")).distinct().orderBy("id", "row")
+    numbers = written(pairs.select("row", F.monotonically_increasing_id().alias("n")), "numbers")
+    few = numbers.count() <= BROADCAST_IDS
+    keyed = named.select(key.alias("row"), F.col(f"`{text_col}`").alias("text"))
+    numbered = written(keyed.join(F.broadcast(numbers) if few else numbers, "row").select("n", "text"), "numbered")
+    gone = near_duplicates(numbered, "n", "text", percent).where("not kept").select(F.col("doc_id").alias("n")).distinct()
+    some = without_rows(named, numbers.join(gone, "n").select("row"), key)
+    return some.withColumn("__row", key).dropDuplicates(["__row"]).drop("__row").unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

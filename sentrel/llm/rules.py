@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._shared import as_bytes, col_of, map_texts, without_ids, written
+from ._shared import as_bytes, col_of, map_texts, row_key, without_ids, without_rows, written
 
 #: Fixed by the contract: white space, and the characters that count as symbols.
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -179,8 +179,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return far.select("doc_id", *STATS, "base_failed", "distance", kept.alias("kept"))
 
 
-def without_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` without the rows of rejected ids; columns stay. Rows of a null id stay. Rows that share an id go if one is rejected."""
+def without_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False, **options) -> DataFrame:
+    """`docs` without the rows of rejected ids; columns stay. Rows of a null id stay. Rows that share an id go if one is rejected.
+
+    With `by_row`, as in the pipeline, each row goes or stays by its own id, text, language and source, null ids too.
+    """
     columns = [options.get("lang_col", "lang"), options.get("source_col", "source")]
+    if by_row:
+        key = row_key(id_col, text_col, *columns)
+        keyed = docs.select(key.alias("__row"), *[F.col(f"`{c}`") for c in dict.fromkeys([text_col, *columns])])
+        return without_rows(docs, quality_rules(keyed, "__row", text_col, **options).where("not kept").select("doc_id"), key)
     gone = quality_rules(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([id_col, text_col, *columns])]), id_col, text_col, **options).where("not kept").select("doc_id")
     return without_ids(docs, gone, id_col)

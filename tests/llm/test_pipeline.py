@@ -66,3 +66,19 @@ def test_edges(spark, sf_dir):
         if name == "secret scans":
             texts = {r.doc_id: r.text for r in out.collect()}
             assert texts[3].startswith("[assign] [assign] [assign] v0") and re.search("w98$", texts[None])
+
+
+def test_rows_of_null_and_repeated_ids(spark, sf_dir):
+    item = queries.table(spark, sf_dir, "benchmark").where("length(text) > 200").first().text
+    clean = lambda c: " ".join(f"{c}{i}" for i in range(99))
+    texts = [(None, "a b"), (None, clean("w")), (7, clean("v")), (7, "a b"), (7, item), (None, item), (7, clean("u"))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.ruled(spark, docs, sf_dir).collect()]
+    assert "a b" not in {t for _, t in left} and {clean("w"), clean("v"), clean("u")} <= {t for _, t in left}
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.decontaminated(spark, docs, sf_dir).collect()]
+    assert sorted(left, key=str) == sorted([x for x in texts if x[1] != item], key=str)
+    copy = clean("v").replace("v50 ", "")
+    texts = [(7, clean("v")), (7, clean("u")), (7, clean("u")), (9, copy), (9, clean("w")), (-3, copy), (10, clean("w")), (11, None), (11, None), (None, "a b"), (None, clean("t"))]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.deduplicated(spark, docs, sf_dir).collect()]
+    assert sorted(left, key=str) == sorted([(-3, copy), (7, clean("u")), (9, clean("w")), (11, None), (None, "a b"), (None, clean("t"))], key=str)
