@@ -192,13 +192,14 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, per_doc: int, max_langs: int) -> tuple[list[bytes], list[str]]:
-    """Segments of about `per_lang` documents of each of the `max_langs` most frequent languages, `per_doc` of each spread over its whole text."""
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, per_doc: int) -> tuple[list[bytes], list[str]]:
+    """Segments of about `per_lang` documents of every language, `per_doc` of each spread over its whole text."""
     able = docs.where(~held_out(id_col) & F.col(f"`{id_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull())
-    counts = able.groupBy(F.col(f"`{lang_col}`").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = able.groupBy(F.col(f"`{lang_col}`").cast("string").alias("lang")).count().collect()
     if not counts:
         return [], []
-    share = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(min(1.0, per_lang / r["count"]))) for r in counts], F.lit(0.0))
+    often = {r.lang: per_lang / r["count"] for r in counts if r["count"] > per_lang}  # of the others every document is read
+    share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in often.items() for x in pair]), F.col("lang")), F.lit(1.0)) if often else F.lit(1.0)
     few = able.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), as_bytes(text_col).alias("text"), F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(1 << 20)).alias("h"))
     few = few.where((F.col("h") < share * (1 << 20)) & F.col("text").isNotNull()).select("lang", "text")
 
@@ -216,9 +217,9 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
     return [bytes(w) for r in rows for w in r.words], [r.lang for r in rows for _ in r.words]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, per_doc: int = 40, max_langs: int = 64, hidden: int = 16, epochs: int = 4, seed: int = 11) -> Network | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, per_doc: int = 40, hidden: int = 16, epochs: int = 4, seed: int = 11) -> Network | None:
     """A network from the documents that are not held out; None where none has a language."""
-    words, langs = sample(docs, id_col, text_col, lang_col, per_lang, per_doc, max_langs)
+    words, langs = sample(docs, id_col, text_col, lang_col, per_lang, per_doc)
     if not words:
         return None
     names = sorted(set(langs))

@@ -87,3 +87,13 @@ def test_grade_edges(spark):
     by = {r.doc_id: r for r in quality.grade_documents(docs, model).collect()}
     assert len(by) == 6 and by[1].grade == by[2].grade is not None
     assert quality.train(docs, ratings.limit(0), F.col("g")) is None
+
+
+def test_every_language_is_learned(spark):
+    names = [f"l{i:02}" for i in range(80)]
+    rows = [(i * 3 + k, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5, n) for i, n in enumerate(names) for k in range(3)] + [(1000 + i, "zz yy", "l00") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    able = {r.lang for r in docs.where(~langid.held_out("doc_id")).collect()}
+    assert len(able) > 64 and langid.train(docs, epochs=1).labels == sorted(able)
+    words, langs = langid.sample(docs, "doc_id", "text", "lang", 2, 40)
+    assert len(words) == len(langs) and len(set(langs)) > 64
