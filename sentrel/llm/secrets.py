@@ -222,7 +222,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     `docs` are not read. Values over `max_label_chars` characters do not train, but are scanned and scored whole.
     Every token of 16 characters or more that touches no base span is a candidate and is scored, letters or digits
     alone too; shorter tokens are only found by the base patterns.
-    A kind without labelled values adds nothing; with fewer than 20 ordinary tokens there is no contrast, and nothing is added.
+    A kind with fewer than 20 distinct labelled values that train gets no automaton and adds nothing; with fewer than
+    20 distinct ordinary tokens there is no contrast, and nothing is added: the base spans are the whole result.
     """
     found = written(scan(docs, id_col, text_col), "secrets")
     judge = learn(found, max_labels, max_label_chars, margin)
