@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -89,16 +92,27 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, text: str, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+def give_back() -> None:
+    """Return what a task has freed to the system: its worker is kept for later tasks, whose executors share the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_texts(df: DataFrame, text: str, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]], limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of `df`. `start()` runs once a task and gives the function of a slice, which returns columns by name."""
     wanted = schema_of(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 out = work(part)
                 yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in wanted], schema=wanted)
+                del out
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -24,10 +24,27 @@ from ._shared import as_bytes, col_of, map_texts
 #: Fixed values of the vocabulary's text pipeline: its white space (Unicode White_Space) and its word pattern.
 SPACE = r"[\t-\r \x85\xa0  -     　]+"
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Bytes of text that are encoded at once: each slice passes all its ranks once, so larger ones cost less.
+SLICE = 3 << 20
 #: str.split() also parts at these, which are not White_Space.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Chunks that a generation of a task's memory holds before it becomes the old one; two are kept.
-KNOWN_CHUNKS = 80_000
+#: Bytes (about) that a generation of a task's memory holds before it becomes the old one; two are kept. Longer chunks are encoded anew each time.
+KNOWN_BYTES = 16 << 20
+KNOWN_LENGTH = 100
+
+#: Fixed by the library's Unicode version. Code points that are letters or numbers in later versions only: symbols here.
+LATE = regex.compile(
+    "[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1"
+    "\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff"
+    "\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5"
+    "\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f]"
+)
+#: Lower case that Python's tables don't have yet: first, last, and how far the small letter lies (single ones by what they are).
+NEW_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+BEYOND_LATIN = regex.compile("[\u0558-\U0010ffff]")
 
 
 def byte_letters() -> list[str]:
@@ -57,6 +74,7 @@ class Vocabulary:
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
+        self.pairs = [(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in keys]  # by rank
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -68,17 +86,27 @@ class Vocabulary:
     def words(self, chunk: str) -> list[str | int]:
         """The words of a chunk without white space; special tokens as their ids."""
         if self.split is None or "<|" not in chunk:
-            return WORDS.findall(normal(chunk))
+            return parted(normal(chunk))
         out: list[str | int] = []
         for part in self.split.split(chunk):
-            out += [self.special[part]] if part in self.special else WORDS.findall(normal(part))
+            out += [self.special[part]] if part in self.special else parted(normal(part))
         return out
 
 
 def normal(chunk: str) -> str:
     """NFC, then lower case letter by letter (no final sigma)."""
-    chunk = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
-    return (chunk.replace("Σ", "σ") if "Σ" in chunk else chunk).lower()
+    if chunk.isascii():
+        return chunk.lower()
+    chunk = unicodedata.normalize("NFC", chunk)
+    low = (chunk.replace("Σ", "σ") if "Σ" in chunk else chunk).lower()
+    return low.translate(NEW_LOWER) if BEYOND_LATIN.search(low) else low
+
+
+def parted(text: str) -> list[str]:
+    """The words of a normalised chunk. Late letters and numbers are symbols: a symbol takes their place while the words are found."""
+    if text.isascii() or not LATE.search(text):
+        return WORDS.findall(text)
+    return [text[m.start() : m.end()] for m in WORDS.finditer(LATE.sub("\xa4", text))]
 
 
 def merge_all(symbols: np.ndarray, ends: np.ndarray, vocab: Vocabulary) -> np.ndarray:
@@ -108,12 +136,10 @@ def merge_all(symbols: np.ndarray, ends: np.ndarray, vocab: Vocabulary) -> np.nd
             index[r].append(part)
 
     enter(np.flatnonzero(after >= 0))
-    where = np.argsort(vocab.ranks)  # rank -> place in keys
     while heap:
         r = heapq.heappop(heap)
         lists = index.pop(r)
-        key = int(vocab.keys[where[r]])
-        a, b = key >> 32, key & 0xFFFFFFFF
+        a, b = vocab.pairs[r]
         at = np.unique(np.concatenate(lists)) if len(lists) > 1 else lists[0]
         at = at[alive[at] & (symbols[at] == a)]
         right = after[at]
@@ -142,20 +168,21 @@ def merge_all(symbols: np.ndarray, ends: np.ndarray, vocab: Vocabulary) -> np.nd
 
 
 class Encoder:
-    """Encodes texts; remembers chunks of no white space, each with its ids and tokens joined, in two generations."""
+    """Encodes texts; remembers chunks of no white space in two generations, each with its ids (a text, or int32 bytes) and, for decoding, its tokens."""
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
-        self.young: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
+    def __init__(self, vocab: Vocabulary, as_text: bool, decoded: bool):
+        self.vocab, self.as_text, self.decoded = vocab, as_text, decoded
+        self.young: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+        self.held = 0
 
     def chunks(self, text: str) -> list[str]:
         if any(c in text for c in ODD):
             return [c for c in regex.split(SPACE, text) if c]
         return text.split()
 
-    def learn(self, new: list[str]) -> list[tuple[int, str, str]]:
-        """What each new chunk is encoded as."""
+    def learn(self, new: list[str]) -> list[tuple]:
+        """What each new chunk is encoded as: (number of ids, ids, tokens)."""
         v = self.vocab
         words, spans = [], []
         for chunk in new:
@@ -176,33 +203,46 @@ class Encoder:
         kept = symbols[alive]
         upto = np.r_[0, np.cumsum(alive)][np.r_[0, stops]]  # tokens before each word's end
         bounds = upto[np.r_[0, np.cumsum(spans)]].tolist()
-        names, tokens = [v.names[i] for i in kept.tolist()], [v.tokens[i] for i in kept.tolist()]
-        return [(b - a, " ".join(names[a:b]), " ".join(tokens[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
-
-    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(number of tokens, ids joined by a space, tokens joined by a space) of each text."""
-        split = [self.chunks(t) for t in texts]
-        if len(self.young) > KNOWN_CHUNKS:
-            self.old, self.young = self.young, {}
+        if self.as_text:
+            names = [v.names[i] for i in kept.tolist()]
+            ids = [" ".join(names[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        else:
+            flat = kept.astype(np.int32)
+            ids = [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+        tokens = [" ".join([v.tokens[i] for i in kept[a:b].tolist()]) for a, b in zip(bounds, bounds[1:], strict=False)] if self.decoded else [""] * len(ids)
+        return [(b - a, x, t) for a, b, x, t in zip(bounds, bounds[1:], ids, tokens, strict=False)]
+
+    def keep(self, chunk: str, found: tuple) -> None:
+        if len(chunk) <= KNOWN_LENGTH:
+            self.young[chunk] = found
+            self.held += 300 + 2 * len(chunk) + len(found[1]) + len(found[2])
+
+    def encode(self, texts: list[str]) -> tuple[list[int], list, list[str]]:
+        """The number of tokens, the ids and, for decoding, the tokens joined by a space of each text."""
+        if self.held > KNOWN_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
         here, new = {}, []
-        for c in set().union(*split):
-            found = self.young.get(c) or self.old.get(c)
+        for c in set().union(*map(self.chunks, texts)):
+            found = self.young.get(c)
             if found is None:
-                new.append(c)
-            else:
-                here[c] = self.young[c] = found
+                found = self.old.get(c)
+                if found is None:
+                    new.append(c)
+                    continue
+                self.keep(c, found)
+            here[c] = found
         if new:
-            here.update(zip(new, self.learn(new), strict=True))
-            self.young.update((c, here[c]) for c in new[: max(0, 2 * KNOWN_CHUNKS - len(self.young))])
-        out = []
-        for own in split:
-            found = list(map(here.__getitem__, own))
-            if found:
-                ns, ids, tokens = zip(*found, strict=True)
-                out.append((sum(ns), " ".join(filter(None, ids)), " ".join(filter(None, tokens))))
-            else:
-                out.append((0, "", ""))
-        return out
+            for c, found in zip(new, self.learn(new), strict=True):
+                here[c] = found
+                if self.held <= KNOWN_BYTES:
+                    self.keep(c, found)
+        counts, ids, tokens = [], [], []
+        for text in texts:  # split again: the chunks of all texts at once would take many times their bytes
+            found = list(map(here.__getitem__, self.chunks(text)))
+            counts.append(sum(f[0] for f in found))
+            ids.append(" ".join([f[1] for f in found if f[0]]) if self.as_text else b"".join([f[1] for f in found]))
+            tokens.append(" ".join([f[2] for f in found if f[0]]) if self.decoded else "")
+        return counts, ids, tokens
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -227,20 +267,19 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     as_array = ids_as == "array"
 
     def start():
-        of = Encoder(vocabulary(vocab_path))
+        of = Encoder(vocabulary(vocab_path), not as_array, decoded)
 
         def work(batch: pa.RecordBatch) -> dict:
-            rows = of.encode([t.decode("utf-8", "replace") if t else "" for t in col_of(batch, "text").to_pylist()])
-            ids = [r[1] for r in rows]
+            counts, ids, tokens = of.encode([t.decode("utf-8", "replace") if t else "" for t in col_of(batch, "text").to_pylist()])
             if as_array:
-                flat = np.array(" ".join(filter(None, ids)).split(), np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([r[0] for r in rows])], pa.int32()), pa.array(flat))
-            return {"doc_id": col_of(batch, "doc_id"), "n_tokens": [r[0] for r in rows], "ids": ids} | ({"decoded": [r[2] for r in rows]} if decoded else {})
+                flat = pa.Array.from_buffers(pa.int32(), sum(counts), [None, pa.py_buffer(b"".join(ids))])
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), flat)
+            return {"doc_id": col_of(batch, "doc_id"), "n_tokens": counts, "ids": ids} | ({"decoded": tokens} if decoded else {})
 
         return work
 
     schema = f"doc_id {kind}, n_tokens long, ids {'array<int>' if as_array else 'string'}" + ", decoded string" * decoded
-    return map_texts(docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(text_col).alias("text")), "text", schema, start)
+    return map_texts(docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(text_col).alias("text")), "text", schema, start, SLICE)
 
 
 def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
