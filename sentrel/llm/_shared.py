@@ -100,6 +100,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, its session set to hand Python at most SLICE_BYTES of rows at once (or one longer row): batches of 10,000 whole texts fill JVM and worker alike."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int("".join(filter(str.isdigit, conf.get(name, None) or "0")) or 0) != SLICE_BYTES:
+        conf.set(name, str(SLICE_BYTES))
+    return df
+
+
 def map_texts(df: DataFrame, text: str, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict]], limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of `df`. `start()` runs once a task and gives the function of a slice, which returns columns by name."""
     wanted = schema_of(df, schema)
@@ -114,7 +122,7 @@ def map_texts(df: DataFrame, text: str, schema: str, start: Callable[[], Callabl
         del work
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return in_small_batches(df).mapInArrow(run, schema)
 
 
 def schema_of(df: DataFrame, ddl: str) -> pa.Schema:

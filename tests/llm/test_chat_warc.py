@@ -98,8 +98,8 @@ def pages_of(spark):
 def test_warc_edges_and_sweep(spark, monkeypatch, tmp_path):
     rows, pages = pages_of(spark)
     root = f"file://{tmp_path}"
-    warc.write_archives(pages, f"{root}/archives")
-    warc.build_index(spark, f"{root}/archives", f"{root}/index")
+    captures = warc.write_archives(pages, f"{root}/archives", date="2024-01-02T03:04:05Z", file_bytes=20_000)
+    warc.build_index(spark, captures, f"{root}/index")
     want = brute_warc(rows)
     assert spark.read.parquet(f"{root}/index/directory").count() > 1
     for most in (warc.BROADCAST_BLOCKS, 0):
@@ -110,7 +110,27 @@ def test_warc_edges_and_sweep(spark, monkeypatch, tmp_path):
     got = warc.fetch(spark, f"{root}/archives", one, with_payload=True).collect()
     assert {r.page_id for r in got} == {i for i in range(1200) if i % 7 == 3 and i % 11 == 3}
     files = list(tmp_path.glob("archives/part-*"))
-    assert sum(gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\nWARC-Type") for f in files) == len(rows)
+    records = [r for f in files for r in gzip.decompress(f.read_bytes()).split(b"WARC/1.1\r\nWARC-Type")[1:]]
+    assert len(records) == len(rows) and len(files) > 4
+    assert sorted(map(tuple, warc.scan_archives(spark, f"{root}/archives").collect()), key=str) == sorted(map(tuple, captures.collect()), key=str)
+
+
+def test_warc_records_hold_what_the_format_requires(tmp_path):
+    page = {"page_id": 7, "url": "http://a.b/c", "digest": "ab", "payload_bytes": 3, "winner": None, "record_type": "response", "payload": b"xyz"}
+    revisit = page | {"page_id": 5, "winner": 7, "record_type": "revisit"}
+    first, second = (gzip.decompress(warc.record(p, "2024-01-02T03:04:05Z")) for p in (page, revisit))
+    for data in (first, second):
+        fields, _ = warc.read_record(data)
+        assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n") and fields["WARC-Date"] == "2024-01-02T03:04:05Z"
+        assert re.fullmatch("<urn:uuid:[0-9a-f-]{36}>", fields["WARC-Record-ID"]) and {"WARC-Type", "Content-Length", "WARC-Target-URI"} <= fields.keys()
+    assert warc.read_record(second)[0]["WARC-Refers-To"] == warc.read_record(first)[0]["WARC-Record-ID"] and warc.read_record(first)[1] == b"xyz"
+
+
+def test_warc_look_ups_read_ranges():
+    places = [(0, 100), (100, 50), (5 << 20, 70), (30 << 20, 9)]
+    assert [(a, b) for a, b, _ in warc.ranges(places)] == [(0, 150), (5 << 20, (5 << 20) + 70), (30 << 20, (30 << 20) + 9)]
+    many = [(i * 1000, 1000) for i in range(20_000)]
+    assert all(b - a <= warc.READ_BYTES for a, b, _ in warc.ranges(many)) and sum(len(h) for _, _, h in warc.ranges(many)) == 20_000
 
 
 def test_warc_empty(spark):
