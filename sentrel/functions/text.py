@@ -17,7 +17,7 @@ SEVERITY_WORDS = (
 TYPE_WORDS = (
     ("authentication_failed", "identity", "failed password|login failed|authentication failure|invalid user"),
     ("suspicious_powershell", "endpoint", "powershell|encodedcommand|invoke-webrequest"),
-    ("privilege_escalation", "endpoint", r"sudo|whoami /priv|setuid|privilege escalation"),
+    ("privilege_escalation", "endpoint", "sudo|whoami /priv|setuid|privilege escalation"),
     ("port_scan", "network", "nmap|masscan|port scan|scan detected"),
     ("malware_detected", "endpoint", "c2|beacon|malware|trojan|ransomware"),
     ("lateral_movement", "network", "rlogin|psexec|smb session|winrm|lateral"),
@@ -45,18 +45,23 @@ def extract_port(value: Column) -> Column:
     return F.when(trimmed.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), trimmed.try_cast("double").try_cast("int"))
 
 
-def infer_severity(message: Column) -> Column:
-    low = F.lower(message)
-    return reduce(lambda c, w: c.when(low.rlike(w[1]), w[0]), SEVERITY_WORDS[1:], F.when(low.rlike(SEVERITY_WORDS[0][1]), SEVERITY_WORDS[0][0])).otherwise("low")
+def mentions(low: Column, words: str) -> Column:
+    """Whether a lower-case text holds one of the words, which are parted by |."""
+    return reduce(Column.__or__, [low.contains(w) for w in words.split("|")])
 
 
-def infer_type(message: Column) -> Column:
+def infer_severity(message: Column, lowered: bool = False) -> Column:
+    low = message if lowered else F.lower(message)
+    return reduce(lambda c, w: c.when(mentions(low, w[1]), w[0]), SEVERITY_WORDS[1:], F.when(mentions(low, SEVERITY_WORDS[0][1]), SEVERITY_WORDS[0][0])).otherwise("low")
+
+
+def infer_type(message: Column, lowered: bool = False) -> Column:
     """struct<event_type, event_category> of the first family whose words occur."""
-    low = F.lower(message)
+    low = message if lowered else F.lower(message)
     made = lambda a, b: F.struct(F.lit(a).alias("event_type"), F.lit(b).alias("event_category"))
-    out = F.when(low.rlike(TYPE_WORDS[0][2]), made(*TYPE_WORDS[0][:2]))
+    out = F.when(mentions(low, TYPE_WORDS[0][2]), made(*TYPE_WORDS[0][:2]))
     for kind, category, words in TYPE_WORDS[1:]:
-        out = out.when(low.rlike(words), made(kind, category))
+        out = out.when(mentions(low, words), made(kind, category))
     return out.otherwise(made(*DEFAULT_TYPE))
 
 

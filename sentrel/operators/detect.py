@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import stable_id
 from ..functions.text import or_null
-from .enrich import enrich_events
+from .enrich import asset_lookup, ioc_hits
 from .normalize import normalize_events
 from .rules import Rule, evaluate_rules
 
@@ -24,6 +24,7 @@ def severity_of() -> Column:
     return F.coalesce("match.rule_severity", "severity", F.lit("medium"))
 
 
+#: The wordings of titles, descriptions and actions below are fixed values.
 def detections(matches: DataFrame) -> DataFrame:
     return matches.select(
         stable_id("event_id", "match.rule_id", F.lit("detection")).alias("detection_id"), F.col("match.rule_pk").alias("rule_id"), "event_id", "source_ip", "destination_ip",
@@ -75,9 +76,12 @@ def ingest_summary(events: DataFrame, matches: DataFrame) -> DataFrame:
     return events.select("event_id").join(counts, "event_id", "left").select("event_id", F.coalesce("count", F.lit(0)).cast("long").alias("detections"), F.coalesce("count", F.lit(0)).cast("long").alias("alerts"))
 
 
-def detect(events: DataFrame, assets: DataFrame, iocs: DataFrame, cves: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Matches of enriched events."""
-    return evaluate_rules(enrich_events(events, assets, iocs, cves), rules)
+def detect(events: DataFrame, assets: DataFrame, iocs: DataFrame, cves: DataFrame, rules: list[Rule], past: DataFrame | None = None) -> DataFrame:
+    """Matches of events with their context; thresholds also count the earlier events in `past`.
+
+    No rule reads CVEs, so they are not joined here; enrich_events gives the whole record of an event.
+    """
+    return evaluate_rules(ioc_hits(asset_lookup(events, assets), iocs), rules, past)
 
 
 def outputs(matches: DataFrame) -> dict[str, DataFrame]:

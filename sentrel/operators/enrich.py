@@ -60,33 +60,52 @@ def ioc_semi(events: DataFrame, iocs: DataFrame, has: bool = True) -> DataFrame:
     return events.join(hit, "event_id", "left_semi" if has else "left_anti")
 
 
-def product_pairs(haystacks: DataFrame, cves: DataFrame) -> DataFrame:
-    """(haystack, cve_id): each distinct `haystack` with the CVEs of which some product is a substring of it.
+def newest(rows: DataFrame, key: list[str], k: int) -> DataFrame:
+    """The k newest CVEs of each key (undated last, then by id), with their rank."""
+    order = Window.partitionBy(*key).orderBy(F.col("published_date").desc_nulls_last(), F.col("cve_id"))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def grams(text: Column, sizes: tuple[int, ...]) -> Column:
+    """The distinct substrings of these sizes; shorter texts give none of them."""
+    n = F.char_length(text)
+    cut = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: text.substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*map(cut, sizes)))
+
 
-    A product of three characters or more can only occur where its first three are a trigram of the haystack, so
-    trigrams are joined by equality and the rest is verified; shorter products meet every shorter gram likewise, and
-    an empty product matches everything.
+def product_pairs(haystacks: DataFrame, products: DataFrame) -> DataFrame:
+    """(haystack, product): each distinct `haystack` with the distinct products that are substrings of it.
+
+    A product of three characters or more can only occur where each of its trigrams does, so the one that is rarest
+    among the products is joined by equality and the rest is verified; shorter products meet every gram of their
+    size likewise, and an empty product matches everything.
     """
     texts = haystacks.select("haystack").distinct()
-    products = cves.select("cve_id", F.explode(F.array_distinct(F.transform("affected_products", lambda p: F.lower(p)))).alias("product")).where("product is not null").withColumn("gram", F.substring("product", 1, 3))
-    n = F.char_length("haystack")
-    cut = lambda k: F.transform(F.sequence(F.lit(1), n), lambda i: F.col("haystack").substr(i, F.lit(k)))
-    grams = F.array_distinct(F.concat(F.array(F.lit("")), cut(1), cut(2), cut(3)))
-    marked = texts.select("haystack", F.explode(F.when(n > 0, grams).otherwise(F.array(F.lit("")))).alias("gram"))
-    return marked.join(products, "gram").where(F.col("haystack").contains(F.col("product"))).select("haystack", "cve_id").distinct()
+    known = products.select("product").where("product is not null").distinct()
+    own = known.where(F.char_length("product") >= 3).select("product", F.explode(grams(F.col("product"), (3,))).alias("gram"))
+    often = own.groupBy("gram").agg(F.count("*").alias("often"))
+    rarest = own.join(often, "gram").groupBy("product").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
+    keyed = rarest.select("gram", "product").unionByName(known.where(F.char_length("product") < 3).select(F.col("product").alias("gram"), "product"))
+    marked = texts.select("haystack", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams(F.col("haystack"), (1, 2, 3))))).alias("gram"))
+    return marked.join(keyed, "gram").where(F.col("haystack").contains(F.col("product"))).select("haystack", "product")
 
 
-def top_cves(pairs: DataFrame, cves: DataFrame, key: list[str], k: int, columns: list[str]) -> DataFrame:
-    """The k newest CVEs of each key (undated last, then by id), with their rank."""
-    order = Window.partitionBy(*key).orderBy(F.col("published_date").desc_nulls_last(), F.col("cve_id"))
-    return pairs.join(cves.select("cve_id", "published_date", *columns), "cve_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def matching_cves(haystacks: DataFrame, cves: DataFrame, k: int, columns: list[str]) -> DataFrame:
+    """(haystack, cve_id, published_date, columns, rank): the k newest CVEs of which some product is a substring of the haystack.
+
+    One of a haystack's k newest is also one of the k newest of the product that it matches by, so products keep k
+    CVEs before they meet haystacks: pairs grow with the products of a haystack, not with the CVEs of a product.
+    """
+    stated = cves.select("cve_id", "published_date", *columns, F.explode(F.array_distinct(F.transform("affected_products", lambda p: F.lower(p)))).alias("product")).where("product is not null")
+    best = newest(stated, ["product"], k).drop("rank")
+    found = product_pairs(haystacks, best).join(best, "product").drop("product").dropDuplicates(["haystack", "cve_id"])
+    return newest(found, ["haystack"], k)
 
 
 def cve_candidates(assets: DataFrame, cves: DataFrame, k: int = 5) -> DataFrame:
-    """(id, cve_id, severity, title, rank): each asset's k newest CVEs by its services' JSON text; once an asset, not an event."""
+    """(id, cve_id, severity, title, rank): each asset's k newest CVEs by its services' JSON text; once a distinct text, not an event."""
     texts = assets.where(F.size("services") > 0).select("id", F.lower(F.to_json("services")).alias("haystack"))
-    pairs = texts.join(product_pairs(texts, cves), "haystack").select("id", "cve_id")
-    return top_cves(pairs, cves, ["id"], k, ["severity", "title"]).select("id", "cve_id", "severity", "title", "rank")
+    return texts.join(matching_cves(texts, cves, k, ["severity", "title"]), "haystack").select("id", "cve_id", "severity", "title", "rank")
 
 
 def enrich_events(events: DataFrame, assets: DataFrame, iocs: DataFrame, cves: DataFrame) -> DataFrame:

@@ -21,55 +21,60 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
-def field(parsed: Column, *names: str) -> Column:
-    """The first of the fields that is there and not null, as text."""
-    return F.coalesce(*[F.get_json_object(parsed, f"$.{n}") for n in names])
+#: The fields of a JSON payload that the event model reads, and their aliases in order.
+ALIASES = {
+    "message": ("message", "log", "event"), "event_type": ("eventType",), "event_category": ("eventCategory", "category"), "severity": ("severity",),
+    "source_ip": ("sourceIp", "src_ip"), "destination_ip": ("destinationIp", "dst_ip"), "source_port": ("sourcePort", "src_port"), "destination_port": ("destinationPort", "dst_port"),
+    "protocol": ("protocol",), "hostname": ("hostname", "host"), "username": ("username", "user"),
+}
+BROKEN = "__broken"
 
 
-def normalize_syslog(logs: DataFrame) -> DataFrame:
-    """Lines as [<pri>][time] host app: message; a line that doesn't fit is its own message. Other columns pass."""
-    message = F.coalesce(T.syslog_part(F.col("payload"), 4), F.col("payload"))
-    m = F.col("__m")
-    rows = once(once(logs, __m=message), __t=T.infer_type(m), __s=T.infer_severity(m), __ips=T.extract_ips(m))
-    host, app = T.syslog_part(F.col("payload"), 2), T.syslog_part(F.col("payload"), 3)
-    return rows.select(
-        "event_id", "ts", "source_type", "asset_id", "__t.event_type", "__t.event_category",
-        F.col("__s").alias("severity"),
-        F.get("__ips", F.lit(0)).alias("source_ip"), F.get("__ips", F.lit(1)).alias("destination_ip"),
-        F.lit(None).cast("int").alias("source_port"), F.lit(None).cast("int").alias("destination_port"), F.lit(None).cast("string").alias("protocol"),
-        host.alias("hostname"), T.username_of(F.col("__m")).alias("username"), F.col("payload").alias("raw_log"),
-        F.to_json(F.struct(host.alias("syslogHost"), app.alias("syslogApp"), F.col("__m").alias("message"))).alias("parsed_data"),
-    )
-
-
-def normalize_json(logs: DataFrame) -> DataFrame:
-    """JSON objects, and everything else as a message; addresses that no field gives come from message and payload.
+def normalize_events(logs: DataFrame) -> DataFrame:
+    """Raw payloads as events, in one pass over the rows; what is no syslog source is read as JSON. A null payload is an empty message.
 
-    Fields are read from the payload itself; text that starts as an object and breaks off gives the fields before the break.
+    Syslog lines are [<pri>][time] host app: message; a line that doesn't fit is its own message. Of JSON objects the
+    known fields are read, each payload parsed once; everything else is a message. Addresses that no field gives come
+    from message and payload. Other columns of `logs` are not read.
     """
-    p = F.col("payload")
-    m = F.col("__m")
-    rows = once(logs, __m=F.coalesce(field(p, "message", "log", "event"), p, F.lit("")), __p=safe_json(p))
-    rows = once(rows, __t=T.infer_type(m), __s=T.infer_severity(m), __ips=T.extract_ips(F.concat_ws(" ", "__m", "__p")))
+    p, m = F.col("payload"), F.col("__m")
+    syslog = F.coalesce((F.col("source_type") == "syslog") & p.isNotNull(), F.lit(False))
+    fields = ", ".join(f"`{n}` string" for names in ALIASES.values() for n in names)
+    bare = F.btrim(p, F.lit(" \t\r\n"))
+    parsed = F.from_json(F.when(F.col("__object"), p), f"{fields}, `{BROKEN}` string", {"columnNameOfCorruptRecord": BROKEN})
+    names = [n for own in ALIASES.values() for n in own]
+    rows = once(logs.select("event_id", "ts", "source_type", "asset_id", "payload"), __syslog=syslog, __object=~syslog & F.coalesce(bare.startswith("{") & bare.endswith("}"), F.lit(False)))
+    rows = rows.select("*", F.inline_outer(F.array(parsed)).alias(*[f"__j_{n}" for n in names], BROKEN))
+    rows = rows.withColumn("__whole", F.col("__object") & F.col(BROKEN).isNull())
+    field = lambda name: F.when(F.col("__whole"), F.coalesce(*[F.col(f"__j_{n}") for n in ALIASES[name]]))
+    line = lambda k: F.when(F.col("__syslog"), T.syslog_part(p, k))
+    rows = once(rows, __m=F.when(F.col("__syslog"), F.coalesce(line(4), p)).otherwise(F.coalesce(field("message"), p, F.lit(""))), __p=F.when(~F.col("__syslog"), F.when(F.col("__whole"), p).otherwise(safe_json(p))), __src=field("source_ip"), __dst=field("destination_ip"), __host=F.coalesce(line(2), field("hostname")))
+    searched = F.when(F.col("__syslog"), m).otherwise(F.concat_ws(" ", m, "__p"))
+    rows = once(rows, __low=F.lower(m), __ips=F.when(F.col("__src").isNull() | F.col("__dst").isNull(), T.extract_ips(searched)))
+    rows = once(rows, __t=T.infer_type(F.col("__low"), lowered=True))
+    stated = F.to_json(F.struct(F.col("__host").alias("syslogHost"), line(3).alias("syslogApp"), m.alias("message")))
     return rows.select(
         "event_id", "ts", "source_type", "asset_id",
-        F.coalesce(field(p, "eventType"), F.col("__t.event_type")).alias("event_type"),
-        F.coalesce(field(p, "eventCategory", "category"), F.col("__t.event_category")).alias("event_category"),
-        F.coalesce(field(p, "severity"), F.col("__s")).alias("severity"),
-        F.coalesce(field(p, "sourceIp", "src_ip"), F.get("__ips", F.lit(0))).alias("source_ip"),
-        F.coalesce(field(p, "destinationIp", "dst_ip"), F.get("__ips", F.lit(1))).alias("destination_ip"),
-        T.extract_port(field(p, "sourcePort", "src_port")).alias("source_port"),
-        T.extract_port(field(p, "destinationPort", "dst_port")).alias("destination_port"),
-        field(p, "protocol").alias("protocol"), field(p, "hostname", "host").alias("hostname"), field(p, "username", "user").alias("username"),
-        p.alias("raw_log"), F.col("__p").alias("parsed_data"),
+        F.coalesce(field("event_type"), F.col("__t.event_type")).alias("event_type"),
+        F.coalesce(field("event_category"), F.col("__t.event_category")).alias("event_category"),
+        F.coalesce(field("severity"), T.infer_severity(F.col("__low"), lowered=True)).alias("severity"),
+        F.coalesce(F.col("__src"), F.get("__ips", F.lit(0))).alias("source_ip"),
+        F.coalesce(F.col("__dst"), F.get("__ips", F.lit(1))).alias("destination_ip"),
+        T.extract_port(field("source_port")).alias("source_port"), T.extract_port(field("destination_port")).alias("destination_port"),
+        field("protocol").alias("protocol"), F.col("__host").alias("hostname"),
+        F.when(F.col("__syslog"), T.username_of(m)).otherwise(field("username")).alias("username"),
+        p.alias("raw_log"), F.when(F.col("__syslog"), stated).otherwise(F.col("__p")).alias("parsed_data"),
     )
 
 
-def normalize_events(logs: DataFrame) -> DataFrame:
-    """Syslog lines by their own path, all else as JSON. A null payload is an empty message."""
-    is_syslog = (F.col("source_type") == "syslog") & F.col("payload").isNotNull()
-    is_syslog = F.coalesce(is_syslog, F.lit(False))
-    return normalize_syslog(logs.where(is_syslog)).unionByName(normalize_json(logs.where(~is_syslog)))
+def normalize_syslog(logs: DataFrame) -> DataFrame:
+    """The syslog lines of `logs` as events."""
+    return normalize_events(logs.where("source_type = 'syslog'"))
+
+
+def normalize_json(logs: DataFrame) -> DataFrame:
+    """All other payloads of `logs` as events."""
+    return normalize_events(logs.where("source_type is null or source_type != 'syslog'"))
 
 
 def dedupe_event_id(events: DataFrame, within: str | None = None) -> DataFrame:

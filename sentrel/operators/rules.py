@@ -1,7 +1,7 @@
 """Detection rules: from documents to column predicates, keyed sliding thresholds, scores and reasons.
 
 Rules are a small dimension that is read to the driver and compiled; each event then meets all rules inside one
-projection per CHUNK of rules, so the rows grow only where a rule matches.
+projection, so the rows grow only where a rule matches.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Window
 
 from ..functions.scoring import mitre_lookup, severity_weight
 
+#: Rules in one array: a projection of many is several generated methods.
 CHUNK = 60
 #: IN-list predicates of a rule document and the event column of each.
 LISTS = {"eventTypes": "event_type", "categories": "event_category", "protocols": "protocol", "destinationPorts": "destination_port", "sourcePorts": "source_port", "usernames": "username"}
@@ -111,28 +112,43 @@ def rule_asset_gate(logic: dict) -> Column:
     return F.coalesce(F.col("asset.criticality").isin(*held), F.lit(False)) if held else F.lit(True)
 
 
-def sliding_count(events: DataFrame, key: str, at: Column, width: int, name: str) -> DataFrame:
-    """Column `name`: events of the same key at positions from `width` before to this one's, peers only up to this event id; 1 for null and empty keys.
+def sliding_counts(events: DataFrame, wanted: dict[str, tuple[str, Column, int]], past: DataFrame | None = None) -> DataFrame:
+    """`events` with a column for each name in `wanted` (key column, position, width): events of the same key at positions from `width` before to this one's, peers only up to this event id.
 
-    Each event goes into its bucket of `width` and the next, so a partition holds two buckets of one key and a hot key
-    spreads along the axis; only events in their own bucket are kept. Events without a key or position stand alone.
+    Events of `past` (the same columns) are counted too, but not returned. 1 for null and empty keys and positions. An
+    event id stands for one event: rows that repeat it count once and get the same number.
+
+    Only (event id, key, position) moves: an event counts up in the bucket of `width` that it lies in and down in the
+    next one, `width` after its position. One running sum in order of position gives all counts, so the work is linear
+    in the events of a key, and a key spreads over as many tasks as it has buckets. The counts come back by event id.
     """
-    rows = events.withColumn("__at", at)
-    keyed = F.coalesce(F.col(key) != "", F.lit(False)) & F.col("__at").isNotNull()
-    own = F.floor(F.col("__at") / width).cast("long")
-    rows = rows.withColumns({"__key": F.when(keyed, F.col(key)), "__alone": F.when(~keyed, F.col("event_id")), "__own": own})
-    twice = rows.withColumn("__b", F.explode(F.when(keyed, F.array("__own", F.col("__own") + 1)).otherwise(F.array(F.coalesce("__own", F.lit(0).cast("long"))))))
-    part = Window.partitionBy("__key", "__alone", "__b")
-    before = F.count("*").over(part.orderBy("__at").rangeBetween(-width, Window.currentRow))
-    peers = F.count("*").over(part.orderBy("__at").rangeBetween(0, 0))
-    place = F.row_number().over(part.orderBy("__at", "event_id")) - F.count("*").over(part.orderBy("__at").rangeBetween(Window.unboundedPreceding, -1))
-    counted = twice.withColumn(name, F.when(F.col("__key").isNull(), 1).otherwise(before - (peers - place)).cast("long"))
-    return counted.where(F.col("__key").isNull() | (F.col("__b") == F.col("__own"))).drop("__own", "__b", "__at", "__key", "__alone")
+    context = events if past is None else events.unionByName(past)
+    parts = []
+    for name, (key, at, width) in wanted.items():
+        own = F.floor(F.col("at") / width).cast("long")
+        rows = context.select("event_id", F.col(key).cast("string").alias("key"), at.cast("long").alias("at")).where("key != '' and at is not null")
+        twice = F.array(F.struct(own.alias("bucket"), F.col("at").alias("place"), F.lit(0).alias("ends")), F.struct((own + 1).alias("bucket"), (F.col("at") + width).alias("place"), F.lit(1).alias("ends")))
+        parts.append(rows.select(F.lit(name).alias("name"), "event_id", "key", F.inline(twice)))
+    whole = Window.partitionBy("name", "key", "bucket")
+    ordered = whole.orderBy("place", "ends", "event_id")
+    before = F.lag(F.struct("place", "ends", "event_id")).over(ordered)
+    fresh = F.when(before.isNull() | (before != F.struct("place", "ends", "event_id")), 1).otherwise(0)
+    rows = reduce(DataFrame.unionByName, parts).withColumn("fresh", fresh)
+    begun = F.sum(F.col("fresh") * F.col("ends")).over(whole)
+    running = F.sum(F.col("fresh") * (1 - 2 * F.col("ends"))).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = rows.withColumn("n", begun + running).where("ends = 0 and fresh = 1")
+    wide = counted.groupBy(F.col("event_id").alias("__id")).agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(f"__{name}") for name in wanted])
+    joint = events.join(wide, F.col("event_id") == F.col("__id"), "left")
+    return joint.select(*[c for c in events.columns if c not in wanted], *[F.coalesce(F.col(f"__{name}"), F.lit(1)).cast("long").alias(name) for name in wanted])
+
+
+def micros() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp"))
 
 
 def threshold_window(events: DataFrame, key: str, minutes: int, name: str) -> DataFrame:
     """Column `name`: events of the same key in the `minutes` before, the bound included, and this one; ties by event id."""
-    return sliding_count(events, key, F.unix_micros(F.col("ts").cast("timestamp")), minutes * 60_000_000, name)
+    return sliding_counts(events, {name: (key, micros(), minutes * 60_000_000)})
 
 
 def with_rank(events: DataFrame, name: str) -> DataFrame:
@@ -156,21 +172,30 @@ def capped_threshold(events: DataFrame, key: str, minutes: int, name: str, recen
 
     Time and place run alike, so what both windows hold is the smaller of the two.
     """
-    rows = sliding_count(with_rank(threshold_window(events, key, minutes, "__in_time"), "__rank"), key, F.col("__rank"), recent, "__in_reach")
+    rows = sliding_counts(with_rank(events, "__rank"), {"__in_time": (key, micros(), minutes * 60_000_000), "__in_reach": (key, F.col("__rank"), recent)})
     return rows.withColumn(name, F.least("__in_time", "__in_reach")).drop("__in_time", "__in_reach", "__rank")
 
 
-def with_thresholds(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """A count column for each distinct (key, minutes) that a rule needs."""
-    for key, minutes in sorted({r.threshold[::2] for r in rules if r.threshold[1] > 1}):
-        events = threshold_window(events, key, minutes, count_name(key, minutes))
-    return events
+def thresholds_of(rules: list[Rule]) -> list[tuple[str, int]]:
+    """The distinct (key, minutes) that rules count over."""
+    return sorted({r.threshold[::2] for r in rules if r.threshold[1] > 1})
+
+
+def with_thresholds(events: DataFrame, rules: list[Rule], past: DataFrame | None = None) -> DataFrame:
+    """A count column for each distinct (key, minutes) that a rule needs, over `events` and the earlier ones in `past`; one pass for all."""
+    wanted = {count_name(key, minutes): (key, micros(), minutes * 60_000_000) for key, minutes in thresholds_of(rules)}
+    if past is not None:
+        past = past.select(*[F.col(c) if c in past.columns else F.lit(None).alias(c) for c in ("event_id", "ts", "source_ip", "username")])
+        counted = sliding_counts(events.select("event_id", "ts", "source_ip", "username"), wanted, past) if wanted else None
+        return events.join(counted.drop("ts", "source_ip", "username").dropDuplicates(["event_id"]), "event_id", "left") if wanted else events
+    return sliding_counts(events, wanted) if wanted else events
 
 
 def count_name(key: str, minutes: int) -> str:
     return f"count_{key}_{minutes}m"
 
 
+#: The wordings of reasons are fixed values.
 def match_reasons(rule: Rule) -> list[Column]:
     """Reasons in order, each null where it doesn't apply."""
     logic, out = rule.logic, []
@@ -222,13 +247,14 @@ def compiled(rule: Rule, text: Column) -> Column:
     )
 
 
-def evaluate_rules(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row for each event and rule that match: the event's columns and `match`. Events carry `asset` and `ioc_hits`; thresholds are counted over all of them."""
-    rows = with_thresholds(events, rules).withColumn("__text", searchable())
-    parts = []
-    for k in range(0, len(rules), CHUNK):
-        found = F.filter(F.array(*[compiled(r, F.col("__text")) for r in rules[k : k + CHUNK]]), lambda m: m.isNotNull())
-        parts.append(rows.withColumn("match", F.explode_outer(found)).where("match is not null").drop("__text"))
-    if not parts:
+def evaluate_rules(events: DataFrame, rules: list[Rule], past: DataFrame | None = None) -> DataFrame:
+    """One row for each event and rule that match: the event's columns and `match`. Events carry `asset` and `ioc_hits`.
+
+    Thresholds are counted over all of them, and over `past` (earlier events, of which only id, time and keys are
+    read). All rules are arrays of one projection, exploded once.
+    """
+    rows = with_thresholds(events, rules, past).withColumn("__text", searchable())
+    if not rules:
         return rows.where("false").withColumn("match", compiled(Rule(0, "", ""), F.col("__text"))).drop("__text")
-    return reduce(DataFrame.unionByName, parts)
+    found = [F.filter(F.array(*[compiled(r, F.col("__text")) for r in rules[k : k + CHUNK]]), lambda m: m.isNotNull()) for k in range(0, len(rules), CHUNK)]
+    return rows.withColumn("match", F.explode_outer(F.concat(*found) if len(found) > 1 else found[0])).where("match is not null").drop("__text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import cvss_severity, risk_of, stable_id
 from ..functions.text import or_null
-from .enrich import product_pairs, top_cves
+from .enrich import matching_cves
 
 
 def service_haystack(service: Column, product: Column, version: Column, banner: Column) -> Column:
@@ -23,15 +23,15 @@ def observed(scans: DataFrame) -> DataFrame:
 
 def cve_service_match(services: DataFrame, cves: DataFrame, k: int = 3) -> DataFrame:
     """Services with their k newest CVEs: ranked once a distinct haystack, then mapped back."""
-    pairs = product_pairs(services, cves)
-    best = top_cves(pairs, cves, ["haystack"], k, ["cvss_score"]).select("haystack", "cve_id", "cvss_score", "rank")
-    return services.join(best, "haystack")
+    stated = cves if "description" in cves.columns else cves.withColumn("description", F.lit(None).cast("string"))
+    return services.join(matching_cves(services, stated, k, ["cvss_score", "description"]).drop("published_date"), "haystack")
 
 
 def findings(matched: DataFrame) -> DataFrame:
+    """One row a match; the wordings are fixed values."""
     name = F.coalesce(or_null(F.col("product")), F.col("service"))
     return matched.select(
-        stable_id("scan_id", "position", "cve_id").alias("vulnerability_id"), "scan_id", "cve_id", F.concat(name, F.lit(" exposure mapped to "), "cve_id").alias("title"),
+        stable_id("scan_id", "position", "cve_id").alias("vulnerability_id"), "scan_id", "cve_id", F.concat(name, F.lit(" exposure mapped to "), "cve_id").alias("title"), "description",
         cvss_severity(F.col("cvss_score")).alias("severity"), name.alias("affected_service"), F.col("port").alias("affected_port"),
         F.concat(F.lit("Validate version "), F.coalesce(or_null(F.col("version")), F.lit("unknown")), F.lit("; patch or mitigate according to "), "cve_id", F.lit(".")).alias("remediation_steps"), F.lit("open").alias("status"),
     )
@@ -51,6 +51,14 @@ def scan_rollup(scans: DataFrame, found: DataFrame) -> DataFrame:
     return joint.select("scan_id", *map(zero, ("vulnerabilities_found", "critical_count", "high_count", "medium_count", "low_count")), risk.cast("decimal(12,2)").alias("risk_score"), risk.try_cast("decimal(5,2)").alias("risk_small"), F.lit("completed").alias("status"))
 
 
+def scan_results(scans: DataFrame, found: DataFrame, ended: Column) -> DataFrame:
+    """(scan_id, end_time, results): what a finished scan keeps, its findings in the order of their ids as JSON; scans without findings have an empty list."""
+    shown = found.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("vulnerability_id", "cve_id", "severity", "title"))).alias("f"))
+    listed = F.transform("f", lambda x: F.struct(x["cve_id"].alias("cveId"), x["severity"].alias("severity"), x["title"].alias("title")))
+    empty = F.array().cast("array<struct<cveId:string,severity:string,title:string>>")
+    return scans.select("scan_id").join(shown, "scan_id", "left").select("scan_id", ended.cast("timestamp").alias("end_time"), F.to_json(F.struct(F.coalesce(listed, empty).alias("matchedFindings"))).alias("results"))
+
+
 def list_scans(scans: DataFrame, limit: int = 50) -> DataFrame:
     return scans.orderBy(F.col("created_at").desc(), F.col("scan_id").desc()).limit(limit)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import net, scoring
 from ..functions import text as T
 from ..operators import cases, detect, domains, enrich, feeds, normalize, phishing, rules, vuln
+from ..sources import tables
+from ..sources.scratch import scratch_path
+from ..streaming import detect as detect_stream
 from .fixtures import Data, Spelling, duck
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,32 +41,65 @@ def bar(c) -> F.Column:
 
 # ---- what the SQL side shares -------------------------------------------------------------------------------------
 
-SYSLOG = T.SYSLOG.replace(r"\z", "$")
+# The SQL states the event model's fixed values in its own words, so that it doesn't follow the library's constants.
+SYSLOG = r"^(?:<\d+>)?(\w{3}\s+\d+\s+[\d:]+)?\s*([^\s]+)?\s*([^:]+)?:?\s*(.*)$"
 words = lambda c, w: f"regexp_matches(lower({c}), '{w}')"
-SEVERITY_SQL = lambda c: "case " + " ".join(f"when {words(c, w)} then '{s}'" for s, w in T.SEVERITY_WORDS) + " else 'low' end"
-TYPE_SQL = lambda c, k: "case " + " ".join(f"when {words(c, t[2])} then '{t[k]}'" for t in T.TYPE_WORDS) + f" else '{T.DEFAULT_TYPE[k]}' end"
-IPS = lambda c: f"regexp_extract_all({c}, '{T.IPV4}')"
-MITRE_SQL = lambda c, k: f"case {c} " + " ".join(f"when '{t}' then '{v[k]}'" for t, v in scoring.MITRE.items()) + " end"
-PRIVATE_SQL = lambda c: f"coalesce(regexp_matches({c}, '{net.PRIVATE}'), false)"
+
+
+def severity_sql(c: str) -> str:
+    critical = "ransom|exfil|domain admin|critical|root compromise"
+    high = "malware|lateral|suspicious|powershell|privilege|high"
+    return f"case when {words(c, critical)} then 'critical' when {words(c, high)} then 'high' when {words(c, 'failed|denied|scan|warning|medium')} then 'medium' else 'low' end"
+
+
+def type_sql(c: str, k: int) -> str:
+    families = [
+        ("failed password|login failed|authentication failure|invalid user", "authentication_failed", "identity"),
+        ("powershell|encodedcommand|invoke-webrequest", "suspicious_powershell", "endpoint"),
+        ("sudo|whoami /priv|setuid|privilege escalation", "privilege_escalation", "endpoint"),
+        ("nmap|masscan|port scan|scan detected", "port_scan", "network"),
+        ("c2|beacon|malware|trojan|ransomware", "malware_detected", "endpoint"),
+        ("rlogin|psexec|smb session|winrm|lateral", "lateral_movement", "network"),
+        ("email|invoice|urgent action|verify your account", "phishing_email", "email"),
+    ]
+    return "case " + " ".join(f"when {words(c, f[0])} then '{f[k + 1]}'" for f in families) + f" else '{('generic_security_event', 'security')[k]}' end"
+
+
+IPS = lambda c: rf"regexp_extract_all({c}, '\b(?:\d{{1,3}}\.){{3}}\d{{1,3}}\b')"
+
+
+def mitre_sql(c: str, k: int) -> str:
+    known = {
+        "authentication_failed": ("T1110", "Credential Access"), "brute_force": ("T1110", "Credential Access"), "suspicious_powershell": ("T1059.001", "Execution"), "suspicious_process": ("T1059", "Execution"),
+        "privilege_escalation": ("T1068", "Privilege Escalation"), "port_scan": ("T1046", "Discovery"), "malware_detected": ("T1105", "Command and Control"), "lateral_movement": ("T1021", "Lateral Movement"),
+        "phishing_email": ("T1566", "Initial Access"), "suspicious_login": ("T1078", "Defense Evasion"),
+    }
+    return f"case {c} " + " ".join(f"when '{t}' then '{v[k]}'" for t, v in known.items()) + " end"
+
+
+PRIVATE_SQL = lambda c: rf"coalesce(regexp_matches({c}, '^10\.|^192\.168\.|^172\.(1[6-9]|2\d|3[0-1])\.|^127\.'), false)"
 
 
 def geo_sql(c: str, k: int) -> str:
     """Field k of the place: 0 country, 1 city, 2 latitude, 3 longitude."""
-    quoted = lambda v: f"'{v}'" if isinstance(v, str) else f"cast({v} as double)"
+    show = lambda v: f"'{v}'" if isinstance(v, str) else f"cast({v} as double)"
     octet = f"case when split_part({c}, '.', 1) = '' then 0.0 else try_cast(split_part({c}, '.', 1) as double) end"
-    bands = " ".join(f"when {octet} < {b} then {quoted(where[k])}" for b, *where in net.BANDS)
-    return f"case when coalesce({c}, '') = '' then null when {PRIVATE_SQL(c)} then {quoted('internal') if k < 2 else 'cast(null as double)'} {bands} else {quoted(net.BEYOND[k])} end"
+    places = [(64, "United States", "Ashburn", 39.0438, -77.4874), (128, "Germany", "Frankfurt", 50.1109, 8.6821), (192, "Singapore", "Singapore", 1.3521, 103.8198)]
+    bands = " ".join(f"when {octet} < {b} then {show(where[k])}" for b, *where in places)
+    return f"case when coalesce({c}, '') = '' then null when {PRIVATE_SQL(c)} then {show('internal') if k < 2 else 'cast(null as double)'} {bands} else {show(('Australia', 'Sydney', -33.8688, 151.2093)[k])} end"
 
 
-J = lambda *names: "coalesce(" + ", ".join(f"json_extract_string(p, '$.{n}')" for n in names) + ")" if len(names) > 1 else f"json_extract_string(p, '$.{names[0]}')"
+J = lambda *names: "coalesce(" + ", ".join(f"json_extract_string(p, '$.{n}')" for n in names) + ", null)"
+USER_BY_NAME, USER_BY_PHRASE = r"(?i)user(?:name)?[=:\s]+([\w.-]+)", r"(?i)for\s+([\w.-]+)\s+from"
+SAFE_JSON = """case when payload is null then null when try_cast(payload as json) is null then cast(json_object('message', payload) as string) when json_type(try_cast(payload as json)) = 'OBJECT' then payload else concat('{"value":', payload, '}') end"""
 NORM = {
-    "split_sys": f"select *, coalesce(nullif(regexp_extract(payload, '{SYSLOG}', 4), ''), payload) as m from logs where source_type = 'syslog'",
-    "split_json": "select *, coalesce(json_extract_string(p, '$.message'), json_extract_string(p, '$.log'), json_extract_string(p, '$.event'), payload, '') as m from (select *, case when source_type = 'json' then payload else cast(json_object('message', payload) as string) end as p from logs where source_type != 'syslog') q",
-    "norm": f"""select event_id, ts, source_type, {TYPE_SQL('m', 0)} as event_type, {TYPE_SQL('m', 1)} as event_category, {SEVERITY_SQL('m')} as severity, {IPS('m')}[1] as source_ip, {IPS('m')}[2] as destination_ip,
+    "split_sys": f"select *, coalesce(nullif(regexp_extract(payload, '{SYSLOG}', 4), ''), payload) as m from logs where source_type = 'syslog' and payload is not null",
+    "split_json": f"select *, coalesce(case when object then coalesce(json_extract_string(p, '$.message'), json_extract_string(p, '$.log'), json_extract_string(p, '$.event')) end, payload, '') as m from (select *, {SAFE_JSON} as p, coalesce(json_type(try_cast(payload as json)) = 'OBJECT', false) as object from logs where source_type != 'syslog' or payload is null) q",
+    "norm": f"""select event_id, ts, source_type, {type_sql('m', 0)} as event_type, {type_sql('m', 1)} as event_category, {severity_sql('m')} as severity, {IPS('m')}[1] as source_ip, {IPS('m')}[2] as destination_ip,
         cast(null as int) as destination_port, nullif(regexp_extract(payload, '{SYSLOG}', 2), '') as hostname,
-        coalesce(nullif(regexp_extract(m, '{T.USER_BY_NAME}', 1), ''), nullif(regexp_extract(m, '{T.USER_BY_PHRASE}', 1), '')) as username, payload as raw_log from split_sys
-        union all select event_id, ts, source_type, coalesce({J('eventType')}, {TYPE_SQL('m', 0)}), coalesce({J('eventCategory', 'category')}, {TYPE_SQL('m', 1)}), coalesce({J('severity')}, {SEVERITY_SQL('m')}),
-        coalesce({J('sourceIp', 'src_ip')}, {IPS("m || ' ' || p")}[1]), coalesce({J('destinationIp', 'dst_ip')}, {IPS("m || ' ' || p")}[2]), try_cast({J('destinationPort', 'dst_port')} as int), {J('hostname', 'host')}, {J('username', 'user')}, payload from split_json""",
+        coalesce(nullif(regexp_extract(m, '{USER_BY_NAME}', 1), ''), nullif(regexp_extract(m, '{USER_BY_PHRASE}', 1), '')) as username, payload as raw_log from split_sys
+        union all select event_id, ts, source_type, coalesce({J('eventType')}, {type_sql('m', 0)}), coalesce({J('eventCategory', 'category')}, {type_sql('m', 1)}), coalesce({J('severity')}, {severity_sql('m')}),
+        coalesce({J('sourceIp', 'src_ip')}, {IPS("concat_ws(' ', m, p)")}[1]), coalesce({J('destinationIp', 'dst_ip')}, {IPS("concat_ws(' ', m, p)")}[2]), try_cast({J('destinationPort', 'dst_port')} as int), {J('hostname', 'host')}, {J('username', 'user')}, payload from split_json""",
     "by_host": "select lower(hostname) as k, min(id) as id from assets group by 1",
     "by_ip": "select lower(ip_address) as k, min(id) as id from assets group by 1",
     "found_asset": "select n.*, coalesce(h.id, i.id) as asset_pk from norm n left join by_host h on lower(nullif(n.hostname, '')) = h.k left join by_ip i on lower(coalesce(nullif(n.source_ip, ''), nullif(n.destination_ip, ''))) = i.k",
@@ -114,11 +150,11 @@ def matches_sql() -> str:
         weight = 50 if r.confidence_weight is None else r.confidence_weight
         shown = f"concat_ws('; ', {', '.join(reasons)})" if reasons else f"'Matched Sigma-like logic for {r.rule_name}'"
         text = lambda v: "cast(null as string)" if v is None else f"'{v}'"
-        tactic = f"coalesce({MITRE_SQL('event_type', 1)}, {text(r.attack_tactic or ('Detection' if r.attack_technique else None))})"
+        tactic = f"coalesce({mitre_sql('event_type', 1)}, {text(r.attack_tactic or ('Detection' if r.attack_technique else None))})"
         parts.append(
             f"select *, cast({r.id} as bigint) as rule_pk, '{r.rule_id}' as rule_id, '{r.rule_name}' as rule_name, {text(r.severity)} as rule_severity, "
             f"cast(least(99, {weight} + {WEIGHT_SQL} + case when n_ioc > 0 then 15 else 0 end + {ASSET_SQL} + {3 * len(reasons)}) as int) as confidence, {shown} as reasons, "
-            f"coalesce({MITRE_SQL('event_type', 0)}, {text(r.attack_technique)}) as mitre_technique, {tactic} as mitre_tactic from counted where {test}"
+            f"coalesce({mitre_sql('event_type', 0)}, {text(r.attack_technique)}) as mitre_technique, {tactic} as mitre_tactic from counted where {test}"
         )
     return " union all ".join(parts)
 
@@ -156,10 +192,39 @@ def upsert_by_key(d: Data) -> DataFrame:
     return upsert(d.supplier.selectExpr("s_suppkey as k", "s_name as name", "s_nationkey"), new, "k", ["name"], "o")
 
 
+def held(d: Data, df: DataFrame, label: str) -> str:
+    """`df` as a Parquet table in a folder of its own under the shared one; its path."""
+    path = scratch_path(d.spark, label)
+    df.write.parquet(path)
+    return path
+
+
+@query("select id, asset_id, hostname, criticality, len(services) as services, cast(null as string) as operating_system from assets")
+def read_table(d: Data) -> DataFrame:
+    return tables.read_table(d.spark, "assets", held(d, d.assets, "assets")).select("id", "asset_id", "hostname", "criticality", F.size("services").cast("long").alias("services"), "operating_system")
+
+
+@query("select payload, count(*) as lines, 'raw' as source_type, cast(7 as bigint) as asset_id from (select concat('line ', user_id, ' ', event_type) as payload from events) q group by payload")
+def read_raw_logs(d: Data) -> DataFrame:
+    path = scratch_path(d.spark, "lines")
+    d.events.select(F.concat_ws(" ", F.lit("line"), "user_id", "event_type")).write.text(path)
+    return tables.read_raw_logs(d.spark, path, "raw", asset_id=7).groupBy("payload", "source_type", "asset_id").agg(F.count("*").alias("lines"))
+
+
+@query("select cast(s_suppkey as bigint) as id, case s_suppkey % 5 when 0 then 'critical' when 1 then 'medium' when 2 then 'odd' else 'low' end as criticality, case when s_suppkey % 5 = 2 then 'criticality=odd' end as reject_reason from supplier")
+def append_rows(d: Data) -> DataFrame:
+    rows = d.supplier.selectExpr("s_suppkey as id", "case s_suppkey % 5 when 0 then 'critical' when 1 then null when 2 then 'odd' else 'low' end as criticality")
+    path = scratch_path(d.spark, "assets")
+    tables.append_rows(rows.where("id % 2 = 0"), "assets", path)
+    tables.append_rows(rows.where("id % 2 = 1"), "assets", path)
+    taken = tables.read_table(d.spark, "assets", path).withColumn("reject_reason", F.lit(None).cast("string"))
+    return taken.unionByName(d.spark.read.parquet(f"{path}_rejects")).select("id", "criticality", "reject_reason")
+
+
 # ---- normalisation ------------------------------------------------------------------------------------------------
 
 
-@query("select event_id, case when source_type = 'json' then payload else cast(json_object('message', payload) as string) end as parsed from logs")
+@query(f"select event_id, {SAFE_JSON} as parsed from logs")
 def safe_json(d: Data) -> DataFrame:
     return d.logs.select("event_id", normalize.safe_json(F.col("payload")).alias("parsed"))
 
@@ -175,12 +240,12 @@ def extract_port(d: Data) -> DataFrame:
     return d.events.select("event_id", T.extract_port(raw).alias("port"))
 
 
-@query(f"select event_id, {SEVERITY_SQL('payload')} as severity from logs")
+@query(f"select event_id, {severity_sql('payload')} as severity from logs")
 def infer_severity(d: Data) -> DataFrame:
     return d.logs.select("event_id", T.infer_severity(F.col("payload")).alias("severity"))
 
 
-@query(f"select event_id, {TYPE_SQL('payload', 0)} as event_type, {TYPE_SQL('payload', 1)} as event_category from logs")
+@query(f"select event_id, {type_sql('payload', 0)} as event_type, {type_sql('payload', 1)} as event_category from logs")
 def infer_type(d: Data) -> DataFrame:
     return d.logs.select("event_id", T.infer_type(F.col("payload")).alias("t")).select("event_id", "t.*")
 
@@ -296,13 +361,13 @@ def cve_candidates(d: Data) -> DataFrame:
     return enrich.cve_candidates(d.assets, d.cves).select("id", "cve_id", "rank")
 
 
-@query(f"select event_id, {MITRE_SQL('event_type', 0)} as technique, {MITRE_SQL('event_type', 1)} as tactic from norm", NORM)
+@query(f"select event_id, {mitre_sql('event_type', 0)} as technique, {mitre_sql('event_type', 1)} as tactic from norm", NORM)
 def mitre_lookup(d: Data) -> DataFrame:
     return normed(d).select("event_id", scoring.mitre_lookup(F.col("event_type")).alias("m")).select("event_id", "m.technique", "m.tactic")
 
 
 @query(
-    f"select w.event_id as event_id, {geo_sql('source_ip', 0)} as source_country, {geo_sql('destination_ip', 1)} as destination_city, w.asset_pk as asset_pk, cast(coalesce(h.n, 0) as bigint) as hits, coalesce(c.cves, '') as cves, {MITRE_SQL('event_type', 0)} as technique from with_asset w left join hits h on w.event_id = h.event_id left join (select id, string_agg(cve_id, '|' order by rank) as cves from asset_cve where rank <= 5 group by id) c on w.asset_pk = c.id",
+    f"select w.event_id as event_id, {geo_sql('source_ip', 0)} as source_country, {geo_sql('destination_ip', 1)} as destination_city, w.asset_pk as asset_pk, cast(coalesce(h.n, 0) as bigint) as hits, coalesce(c.cves, '') as cves, {mitre_sql('event_type', 0)} as technique from with_asset w left join hits h on w.event_id = h.event_id left join (select id, string_agg(cve_id, '|' order by rank) as cves from asset_cve where rank <= 5 group by id) c on w.asset_pk = c.id",
     NORM | CANDIDATES,
 )
 def enrich_events(d: Data) -> DataFrame:
@@ -321,12 +386,9 @@ def rule_rows(d: Data) -> DataFrame:
     return d.part.selectExpr("p_partkey as id", "concat('R', p_partkey) as rule_id", "p_partkey % 3 != 0 as enabled", "p_size as updated_at", """case p_partkey % 4 when 0 then '{"eventTypes":["x"]}' when 1 then '{}' when 2 then null else 'odd' end as detection_logic""", "case p_partkey % 5 when 0 then ' , ' when 1 then null when 2 then '' else ' nmap, Failed ,,ssh' end as pattern")
 
 
-@query("select p_partkey as id, row_number() over (order by p_size desc, p_partkey desc) as rank from part where p_partkey % 3 != 0")
+@query("select p_partkey as id, p_size as updated_at from part where p_partkey % 3 != 0 order by p_size desc, p_partkey desc limit 100")
 def active_rules(d: Data) -> DataFrame:
-    ordered = rules.active_rules(rule_rows(d)).select("id", "updated_at")
-    above = ordered.groupBy("updated_at").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id"), asc=False).alias("ids"))
-    places = above.alias("a").join(above.alias("b"), F.col("b.updated_at") > F.col("a.updated_at"), "left").groupBy("a.updated_at", "a.ids").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return places.select("before", F.posexplode("ids").alias("k", "id")).select("id", (F.col("before") + F.col("k") + 1).cast("long").alias("rank"))
+    return rules.active_rules(rule_rows(d)).select("id", "updated_at").limit(100)
 
 
 @query(f"select p_partkey as id, {LOGIC_SQL} as logic from part")
@@ -385,9 +447,9 @@ def evaluate_rules(d: Data) -> DataFrame:
     return matched(d).groupBy("match.rule_id").agg(F.count("*").alias("matches"), F.sum("match.confidence").alias("confidence"))
 
 
-@query(f"select sha256(concat(event_id, ':', rule_id, ':detection')) as detection_id, rule_pk as rule_id, event_id, source_ip, destination_ip, {INCIDENT_SQL} as incident_id, confidence, mitre_technique, mitre_tactic, ts from matched", NORM)
+@query(f"select sha256(concat(event_id, ':', rule_id, ':detection')) as detection_id, rule_pk as rule_id, event_id, source_ip, destination_ip, {INCIDENT_SQL} as incident_id, confidence, reasons, mitre_technique, mitre_tactic, ts from matched", NORM)
 def detections(d: Data) -> DataFrame:
-    return detect.detections(matched(d)).drop("match_reasons")
+    return detect.detections(matched(d)).withColumn("reasons", F.array_join("match_reasons", "; ")).drop("match_reasons")
 
 
 ALERTS_SQL = f"select sha256(concat(event_id, ':', rule_id, ':alert')) as alert_id, concat(rule_name, ' matched on ', coalesce(nullif(hostname, ''), nullif(source_ip, ''), event_type)) as title, reasons as description, coalesce(rule_severity, severity, 'medium') as severity, rule_id, case when {OPENS} then 'triaged' else 'new' end as status, {INCIDENT_SQL} as incident_id, ts from matched"
@@ -429,8 +491,8 @@ VULN = {
     "prod": CANDIDATES["prod"],
     "hay": "select *, lower(concat(service, ' ', coalesce(product, ''), ' ', coalesce(version, ''), ' ', coalesce(banner, ''))) as haystack from services",
     "best": "select haystack, cve_id, cast(row_number() over (partition by haystack order by published_date desc nulls last, cve_id) as int) as rank from (select distinct h.haystack, p.cve_id, p.published_date from (select distinct haystack from hay) h join prod p on contains(h.haystack, p.product)) q",
-    "hit": "select h.*, b.cve_id, c.cvss_score from hay h join best b on h.haystack = b.haystack join cves c on b.cve_id = c.cve_id where b.rank <= 3",
-    "finding": "select sha256(concat(scan_id, ':', position, ':', cve_id)) as vulnerability_id, scan_id, cve_id, concat(product, ' exposure mapped to ', cve_id) as title, case when coalesce(cvss_score, 5) >= 9 then 'critical' when coalesce(cvss_score, 5) >= 7 then 'high' when coalesce(cvss_score, 5) >= 4 then 'medium' else 'low' end as severity, product as affected_service, port as affected_port, concat('Validate version ', version, '; patch or mitigate according to ', cve_id, '.') as remediation_steps, 'open' as status from hit",
+    "hit": "select h.*, b.cve_id, c.cvss_score, c.description from hay h join best b on h.haystack = b.haystack join cves c on b.cve_id = c.cve_id where b.rank <= 3",
+    "finding": "select sha256(concat(scan_id, ':', position, ':', cve_id)) as vulnerability_id, scan_id, cve_id, concat(product, ' exposure mapped to ', cve_id) as title, description, case when coalesce(cvss_score, 5) >= 9 then 'critical' when coalesce(cvss_score, 5) >= 7 then 'high' when coalesce(cvss_score, 5) >= 4 then 'medium' else 'low' end as severity, product as affected_service, port as affected_port, concat('Validate version ', version, '; patch or mitigate according to ', cve_id, '.') as remediation_steps, 'open' as status from hit",
 }
 
 
@@ -462,9 +524,16 @@ def findings(d: Data) -> DataFrame:
     return found_vulns(d)
 
 
-@query("select s.scan_id as scan_id, cast(count(f.severity) as bigint) as vulnerabilities_found, cast(count(*) filter (f.severity = 'critical') as bigint) as critical_count, cast(count(*) filter (f.severity = 'high') as bigint) as high_count, cast(count(*) filter (f.severity = 'medium') as bigint) as medium_count, cast(count(*) filter (f.severity = 'low') as bigint) as low_count, cast(coalesce(sum(case f.severity when 'critical' then 9 when 'high' then 6 when 'medium' then 3 when 'low' then 1 end), 0) as decimal(12,2)) as risk_score, 'completed' as status from scans s left join finding f on s.scan_id = f.scan_id group by s.scan_id", VULN)
+@query("select s.scan_id as scan_id, cast(count(f.severity) as bigint) as vulnerabilities_found, cast(count(*) filter (f.severity = 'critical') as bigint) as critical_count, cast(count(*) filter (f.severity = 'high') as bigint) as high_count, cast(count(*) filter (f.severity = 'medium') as bigint) as medium_count, cast(count(*) filter (f.severity = 'low') as bigint) as low_count, cast(coalesce(sum(case f.severity when 'critical' then 9 when 'high' then 6 when 'medium' then 3 when 'low' then 1 end), 0) as decimal(12,2)) as risk_score, try_cast(coalesce(sum(case f.severity when 'critical' then 9 when 'high' then 6 when 'medium' then 3 when 'low' then 1 end), 0) as decimal(5,2)) as risk_small, 'completed' as status from scans s left join finding f on s.scan_id = f.scan_id group by s.scan_id", VULN)
 def scan_rollup(d: Data) -> DataFrame:
-    return vuln.scan_rollup(d.scans, found_vulns(d)).drop("risk_small")
+    return vuln.scan_rollup(d.scans, found_vulns(d))
+
+
+@query("select s.scan_id as scan_id, s.created_at as end_time, coalesce(f.shown, '') as found from scans s left join (select scan_id, string_agg(concat(cve_id, ' ', severity, ' ', title), '|' order by vulnerability_id) as shown from finding group by 1) f on s.scan_id = f.scan_id", VULN)
+def scan_results(d: Data) -> DataFrame:
+    made = vuln.scan_results(d.scans, found_vulns(d), F.lit(None)).join(d.scans.select("scan_id", "created_at"), "scan_id")
+    held = F.from_json("results", "matchedFindings array<struct<cveId:string,severity:string,title:string>>")["matchedFindings"]
+    return made.select("scan_id", F.col("created_at").alias("end_time"), bar(F.transform(held, lambda f: F.concat_ws(" ", f["cveId"], f["severity"], f["title"]))).alias("found"))
 
 
 @query("select s.scan_id as scan_id, case when v.scan_id is null then 'simulation' else 'evidence-driven' end as execution_mode from scans s left join (select distinct scan_id from services) v on s.scan_id = v.scan_id")
@@ -486,7 +555,7 @@ def scan_vulnerabilities(d: Data) -> DataFrame:
 # ---- phishing -----------------------------------------------------------------------------------------------------
 
 MAIL = {
-    "signal": f"select *, regexp_extract_all(body, '{phishing.URLS}') as urls, (regexp_matches(lower(sender), '{phishing.SENDER_NAMES}') or regexp_matches(lower(sender), '{phishing.SENDER_DOMAINS}')) as odd, regexp_matches(concat(subject, ' ', body), '{phishing.URGENT}') as urgent, regexp_matches(body, '{phishing.LURE}') as lure from mails",
+    "signal": r"select *, regexp_extract_all(body, '(?i)https?://[^\s)]+') as urls, (regexp_matches(lower(sender), 'support-|secure-|verify-|alerts?@|billing@') or regexp_matches(lower(sender), '\.ru|\.xyz|\.top|\.click')) as odd, regexp_matches(concat(subject, ' ', body), '(?i)urgent|immediately|verify your account|password expires|invoice attached|wire transfer') as urgent, regexp_matches(body, '(?i)enable content|macro|docm|html attachment') as lure from mails",
     "scored": "select *, cast(35 + case when odd then 20 else 0 end + case when urgent then 15 else 0 end + case when len(urls) > 0 then 10 else 0 end + case when attachment_count > 0 then 10 else 0 end + case when lure then 20 else 0 end as int) as score from signal",
     "judged": "select *, case when score >= 75 then 'malicious' when score >= 55 then 'suspicious' else 'benign' end as verdict from scored",
 }
@@ -608,14 +677,14 @@ def hashed(d: Data) -> DataFrame:
     return d.evidence.withColumns(scoring.content_hashes(F.col("text")))
 
 
-@query("select id as evidence_id, 'collected' as action, md5(text) as md5, sha256(text) as sha256 from evidence")
+@query("select id as evidence_id, 'collected' as action, md5(text) as md5, sha1(text) as sha1, sha256(text) as sha256 from evidence")
 def initial_custody(d: Data) -> DataFrame:
-    return cases.initial_custody(hashed(d)).select("evidence_id", "action", "hash_snapshot.md5", "hash_snapshot.sha256")
+    return cases.initial_custody(hashed(d)).select("evidence_id", "action", "hash_snapshot.md5", "hash_snapshot.sha1", "hash_snapshot.sha256")
 
 
-@query("select c.custody_event_id as custody_event_id, c.action as action, sha1(e.text) as sha1 from custody c left join evidence e on c.evidence_id = e.id")
+@query("select c.custody_event_id as custody_event_id, c.action as action, md5(e.text) as md5, sha1(e.text) as sha1, sha256(e.text) as sha256 from custody c left join evidence e on c.evidence_id = e.id")
 def custody_snapshot(d: Data) -> DataFrame:
-    return cases.custody_snapshot(d.custody, hashed(d)).select("custody_event_id", "action", "hash_snapshot.sha1")
+    return cases.custody_snapshot(d.custody, hashed(d)).select("custody_event_id", "action", "hash_snapshot.md5", "hash_snapshot.sha1", "hash_snapshot.sha256")
 
 
 @query("select custody_event_id, action, turn as ts from custody where evidence_id = 39")
@@ -744,6 +813,60 @@ def detection_job(d: Data) -> DataFrame:
     return detect.ingest(d.logs, d.assets, d.iocs, d.cves, RULES).select("event_id", "match.rule_id", "match.confidence", F.array_join("match.reasons", "; ").alias("reasons"))
 
 
+@query("select 'alerts' as fact, count(*) as n from alert_fact union all select 'ids_detections', count(*) from matched union all select 'incidents', count(*) from matched where " + OPENS + " union all select 'security_events', count(*) from norm ", NORM | {"alert_fact": ALERTS_SQL})
+def write_facts(d: Data) -> DataFrame:
+    """A job's facts, written twice as one run: each stays once."""
+    matches, path = matched(d), scratch_path(d.spark, "facts")
+    facts = {"security_events": normed(d), **detect.outputs(matches)}
+    for _ in range(2):
+        tables.write_facts({t: facts[t] for t in ("security_events", "alerts", "ids_detections", "incidents")}, path, "job")
+    counts = [tables.read_table(d.spark, t, f"{path}/{t}").agg(F.lit(t).alias("fact"), F.count("*").alias("n")) for t in ("security_events", "alerts", "ids_detections", "incidents")]
+    return reduce(DataFrame.unionByName, counts)
+
+
+# ---- streams: the whole table as a stream that is read to its end ---------------------------------------------------
+
+
+def streamed(d: Data, df: DataFrame, label: str, batches: int = 1) -> DataFrame:
+    """`df`, its ts as an instant, as a stream: one batch of all its rows, or several that follow each other in time."""
+    path, df = scratch_path(d.spark, label), df.withColumn("ts", F.col("ts").cast("timestamp"))
+    if batches == 1:
+        df.write.parquet(path)
+        return d.spark.readStream.schema(df.schema).parquet(path)
+    span = df.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    for k in range(batches):
+        since, until = (span.a + (span.b - span.a) * i / batches for i in (k, k + 1))
+        own = df.where((F.col("ts") >= F.lit(since)) & ((F.col("ts") < F.lit(until)) | F.lit(k == batches - 1)))
+        own.coalesce(1).write.mode("append").parquet(path)
+    return d.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drained(stream: DataFrame, d: Data, label: str) -> DataFrame:
+    path = scratch_path(d.spark, label)
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return d.spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query("select distinct event_id, ts from logs")
+def stream_dedupe(d: Data) -> DataFrame:
+    twice = d.logs.select("event_id", "ts").unionByName(d.logs.select("event_id", "ts").where("event_id % 3 = 0"))
+    return drained(normalize.dedupe_event_id(streamed(d, twice, "twice"), "1 hour"), d, "once").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("select cast(event_id as string) as event_id, count(*) over (partition by user_id order by ts range between interval 720 minutes preceding and current row) - (count(*) over (partition by user_id, ts) - row_number() over (partition by user_id, ts order by cast(event_id as string))) as n from events where user_id is not null")
+def stream_threshold(d: Data) -> DataFrame:
+    events = d.events.selectExpr("cast(event_id as string) as event_id", "cast(user_id as string) as username", "cast(ts as timestamp) as ts")
+    return drained(detect_stream.stream_threshold(streamed(d, events, "timed"), "username", 720, "0 seconds"), d, "counts").select("event_id", "n")
+
+
+@query("select alert_id, severity, status from alert_fact", STATED_ALERTS)
+def stream_detect(d: Data) -> DataFrame:
+    """The logs in several batches through the detection job: thresholds look back over what earlier batches stored."""
+    path = scratch_path(d.spark, "job")
+    detect_stream.stream_detect(streamed(d, d.logs, "raw", 4), d.assets, d.iocs, d.cves, RULES, path, f"{path}/state", once=True).awaitTermination()
+    return tables.read_table(d.spark, "alerts", f"{path}/alerts").select("alert_id", "severity", "status")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sources on the watch list are busy, and how sure are we: alerts of the detection job."""
     return QUERIES["alerts"](spark, sf_dir)

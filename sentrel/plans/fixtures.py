@@ -20,6 +20,27 @@ def ip(u: str) -> str:
     return f"case when {u} % 10 = 0 then concat('10.10.1.', {u} % 254 + 1) else concat({u} * 37 % 223 + 1, '.', {u} * 11 % 256, '.', {u} * 7 % 256, '.', {u} % 254 + 1) end"
 
 
+#: Payloads that every hundred and first log holds instead of a usual one.
+ODD = (
+    None,
+    "",
+    '{"message":null,"log":"x 1.2.3.4","severity":"high"}',
+    '{"message":"br',
+    "[1,2]",
+    "7",
+    "A:B from 1.2.3.4",
+    "<34>Oct  1 22:14:15 mymachine su: failed for lonvick from 999.1.1.1 10.0.0.1",
+    "2024-01-01T00:00:00 HOST-3 app: Login failed",
+    '{"message":"ok","sourceIp":"","host":"HOST-7","dst_port":"22d","category":"odd"}',
+    '{"event":"sudo for root from 10.1.1.1 then 10.1.1.1","message":null}',
+    '  {"message":" user=u1 ","eventType":"port_scan","username":null,"user":"u7"} ',
+)
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 class Spelling:
     """What the two engines spell differently."""
 
@@ -55,12 +76,14 @@ def texts(s: Spelling) -> dict[str, str]:
         when 'view' then concat('nmap port scan from ', {ip(u)}, ' to 10.0.0.', {u} % 254 + 1)
         when 'signup' then concat('email urgent action, username: u', {u})
         else concat('session opened for u', {u}, ' from ', {ip(u)}) end"""
+    odd = " ".join(f"when {k} then {'null' if v is None else quoted(v)}" for k, v in enumerate(ODD, 1))
     return {
         "messages": f"select *, {message} as msg, {ip(u)} as addr from @events",
-        "logs": f"""select cast(event_id as string) as event_id, ts, case event_id % 3 when 0 then 'syslog' when 1 then 'json' else 'raw' end as source_type,
+        "usual_logs": f"""select cast(event_id as string) as event_id, ts, case event_id % 3 when 0 then 'syslog' when 1 then 'json' else 'raw' end as source_type,
             case event_id % 3 when 0 then concat({s.syslog_time}, ' host-', {u} % 100, ' app[', event_id % 900 + 100, ']: ', msg)
-                when 1 then concat('{{"message":"', msg, '","src_ip":"', addr, '","dst_port":', event_id % 1024, ',"host":"host-', {u} % 100, '","user":"u', {u}, '"}}') else msg end as payload,
+                when 1 then concat('{{"message":"', msg, '","src_ip":"', addr, '","dst_port":', event_id % 1024, ',"host":"host-', {u} % 100, '","user":"u', {u}, '"}}') else msg end as usual,
             cast(null as bigint) as asset_id from @messages""".replace("{{", "{").replace("}}", "}"),
+        "logs": f"""select event_id, ts, source_type, case event_id % 101 {odd} else usual end as payload, asset_id from (select *, cast(event_id as bigint) as number from @usual_logs) q""".replace("event_id % 101", "number % 101"),
         "assets": f"""select cast(s_suppkey as bigint) as id, concat('asset-', s_suppkey) as asset_id, concat('host-', s_suppkey) as hostname, {ip('s_suppkey')} as ip_address,
             case s_suppkey % 4 when 0 then 'critical' when 1 then 'high' when 2 then 'medium' else 'low' end as criticality, concat('owner-', s_nationkey) as business_owner, 'production' as environment,
             {s.array(s.service('80', "'http'", "concat('brand#', s_suppkey % 5 + 1, s_nationkey % 5 + 1)", "'1.0'"), s.service('22', "'ssh'", "concat('openssh ', s_nationkey % 3)", "'7.2'"))} as services from @supplier""",
@@ -69,7 +92,7 @@ def texts(s: Spelling) -> dict[str, str]:
             cast(c_custkey % 100 as int) as confidence, {s.before('c_custkey')} as created_at from @customer where c_custkey % 7 = 3""",
         "cves": f"""select concat('CVE-2024-', lpad(cast(p_partkey as string), 5, '0')) as cve_id, concat('Flaw in ', p_name) as title, case when p_size > 40 then 'critical' when p_size > 20 then 'high' else 'low' end as severity,
             case when p_partkey % 50 = 0 then null else cast(p_partkey * 7 % 101 / 10 as decimal(3,1)) end as cvss_score,
-            case when p_partkey % 2 = 0 then {s.array('lower(p_name)', 'lower(p_brand)')} else {s.array('lower(p_name)')} end as affected_products, {s.before('p_partkey')} as published_date from @part""",
+            case when p_partkey % 2 = 0 then {s.array('lower(p_name)', 'lower(p_brand)')} else {s.array('lower(p_name)')} end as affected_products, {s.before('p_partkey')} as published_date, concat('About ', p_name) as description from @part""",
         "services": """select cast(l_orderkey as string) as scan_id, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as int) as position,
             cast(l_suppkey % 65535 + 1 as int) as port, lower(p_type) as service, lower(p_name) as product, cast(p_size as string) as version, cast(null as string) as banner from @lineitem join @part on l_partkey = p_partkey""",
         "scans": f"select cast(o_orderkey as string) as scan_id, concat('target-', o_custkey) as target_host, cast(o_orderdate as {s.ts_type}) as created_at from @orders",

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.detect import detect, outputs
+from ..operators.detect import outputs
+from ..operators.enrich import enrich_events
 from ..operators.normalize import dedupe_event_id, normalize_events
-from ..operators.rules import Rule
+from ..operators.rules import Rule, evaluate_rules, thresholds_of
+from ..sources.schemas import schema
 from ..sources.tables import write_facts
 
 
@@ -21,52 +26,92 @@ def stream_events(raw: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def stream_threshold(events: DataFrame, key: str, minutes: int, delay: str = "1 hour") -> DataFrame:
-    """(event_id, key, ts, n): events of the key in the window before each one, and itself; exact, in event order within a micro-batch.
+    """(event_id, key, ts, n): events of the same key in the window before each one, and itself, as threshold_window counts them.
 
-    State is a key's times inside the window; it ends when the watermark has passed the window. Null and empty keys are left out: their count is 1.
+    An event is counted once the watermark has reached it, so events that come late by up to `delay` count and are
+    counted exactly as in a batch. State is a key's waiting events and its times from the watermark less the window
+    on; it ends when both are gone. Null and empty keys are left out: their count is 1.
     """
     width = minutes * 60_000_000
 
     def count(of: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+        waiting, times = [], []
+        if state.exists:
+            ids, places, times = state.get
+            waiting, times = list(zip(places, ids, strict=True)), list(times)
+        for rows in frames if not state.hasTimedOut else ():
+            waiting += zip((pd.to_datetime(rows["ts"]).astype("datetime64[us]").astype("int64")).tolist(), rows["event_id"].tolist(), strict=True)
+        waiting.sort()
+        reached = state.getCurrentWatermarkMs() * 1000 + 999  # the watermark is cut to milliseconds
+        ready = bisect_right(waiting, reached, key=lambda w: w[0])
         out = []
-        for event_id, ts in zip(rows["event_id"], rows["ts"], strict=True):
-            at = int(pd.Timestamp(ts).value // 1000)
-            held.append(at)
-            out.append((event_id, of[0], ts, sum(at - width <= t <= at for t in held)))
-        last = max(held)
-        kept = [t for t in held if t >= last - width]
-        state.update((kept,))
-        state.setTimeoutTimestamp(max(last // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["event_id", "key", "ts", "n"])
+        for at, event_id in waiting[:ready]:
+            insort(times, at)
+            out.append((event_id, of[0], pd.Timestamp(at, unit="us"), len(times) - bisect_left(times, at - width)))
+        waiting = waiting[ready:]
+        times = times[bisect_left(times, reached - width) :]
+        if waiting or times:
+            state.update(([w[1] for w in waiting], [w[0] for w in waiting], times))
+            state.setTimeoutTimestamp(max((waiting[0][0] if waiting else times[-1] + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["event_id", "key", "ts", "n"])
 
     keyed = events.where(f"{key} is not null and {key} != ''").select("event_id", key, "ts").withWatermark("ts", delay)
-    return keyed.groupBy(key).applyInPandasWithState(count, "event_id string, key string, ts timestamp, n long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_detect(raw: DataFrame, assets: DataFrame, iocs: DataFrame, cves: DataFrame, rules: list[Rule], path: str, checkpoint: str, history: Callable[[], DataFrame] | None = None, delay: str = "1 hour") -> StreamingQuery:
-    """Each micro-batch of a raw stream through the batch job into the fact tables under `path`.
-
-    Thresholds look back over what `history()` returns (events already stored) besides the batch itself; only matches of the batch's own events are written.
+    return keyed.groupBy(key).applyInPandasWithState(count, "event_id string, key string, ts timestamp, n long", "ids array<string>, places array<long>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def earlier(batch: DataFrame, stored: DataFrame, rules: list[Rule]) -> DataFrame | None:
+    """(event_id, ts, source_ip, username) of the stored events that thresholds of this batch look back to: those of its keys and other ids, from its first time less the longest window on."""
+    wanted = thresholds_of(rules)
+    span = batch.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    if not wanted or span.first is None:
+        return None
+    first = span.first - dt.timedelta(minutes=max(minutes for _, minutes in wanted))
+    near = stored.where((F.col("ts") >= F.lit(first)) & (F.col("ts") <= F.lit(span.last)))
+    if "event_date" in stored.columns:
+        near = near.where((F.col("event_date") >= F.lit(first.date())) & (F.col("event_date") <= F.lit(span.last.date())))
+    near = near.select("event_id", "ts", "source_ip", "username").join(batch.select("event_id"), "event_id", "left_anti")
+    own = [near.join(batch.select(key).where(f"{key} != ''").distinct(), key, "left_semi").select("event_id", "ts", "source_ip", "username") for key in sorted({key for key, _ in wanted})]
+    return own[0] if len(own) == 1 else own[0].unionByName(own[1])
+
+
+def stored_events(spark, path: str) -> DataFrame | None:
+    """The security events under `path` with their day, or None where none are written yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/security_events")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema("security_events"))
+    return spark.read.schema(f"{ddl}, event_date date, run string").parquet(f"{path}/security_events")
+
+
+def stream_detect(raw: DataFrame, assets: DataFrame, iocs: DataFrame, cves: DataFrame, rules: list[Rule], path: str, checkpoint: str, history: Callable[[], DataFrame | None] | None = None, delay: str = "1 hour", once: bool = False) -> StreamingQuery:
+    """Each micro-batch of a raw stream through the batch job into the fact tables under `path`, as the run of its number: a replayed batch writes once.
+
+    Thresholds look back over stored events besides the batch itself: those under `path` from earlier batches, or
+    what `history()` returns. Of these only id, time and keys are read, for the batch's keys and the longest window.
+    `once` reads what there is and stops.
     """
+    spark = raw.sparkSession
 
     def work(batch: DataFrame, number: int) -> None:
+        run = f"batch-{number:09}"
         own = batch.persist()
         try:
-            context = own
-            if history is not None:
-                past = history().select(*own.columns)
-                context = past.join(own.select("event_id"), "event_id", "left_anti").unionByName(own)
-            matches = detect(context, assets, iocs, cves, rules).join(own.select("event_id").distinct(), "event_id", "left_semi").persist()
+            stored = history() if history is not None else stored_events(spark, path)
+            if stored is not None and "run" in stored.columns:
+                stored = stored.where(F.col("run") < run)
+            past = None if stored is None else earlier(own, stored, rules)
+            known = enrich_events(own, assets, iocs, cves).persist()
+            matches = evaluate_rules(known, rules, past).persist()
             try:
-                write_facts({"security_events": own, **outputs(matches)}, path)
+                write_facts({"security_events": known.withColumn("enrichment", F.to_json("enrichment")), **outputs(matches)}, path, run)
             finally:
                 matches.unpersist()
+                known.unpersist()
         finally:
             own.unpersist()
 
-    return stream_events(raw, delay).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).start()
+    writer = stream_events(raw, delay).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

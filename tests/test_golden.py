@@ -86,7 +86,8 @@ def test_scenario_with_known_host(spark, tmp_path):
     r = matches.collect()[0]
     assert matches.count() == 1 and r.event_id == "e2" and r.match.confidence == 99 and len(r.match.reasons) == 3
     assert r.match.reasons[2] == "Threshold met on sourceIp: 3/3 in 15m"
-    assert [c.cve_id for c in r.enrichment.cve_candidates] == ["CVE-1", "CVE-3"]
+    whole = enrich.enrich_events(normalize.normalize_events(raw), assets, iocs, cves).first()
+    assert [c.cve_id for c in whole.enrichment.cve_candidates] == ["CVE-1", "CVE-3"]
     out = detect.outputs(matches)
     alert, incident = out["alerts"].first(), out["incidents"].first()
     assert alert.status == "triaged" and alert.incident_id == incident.incident_id and incident.severity == "high" and incident.affected_assets == ["WEB-01"]
@@ -105,6 +106,39 @@ def test_threshold_brute_force(spark):
         assert got[e] == want
 
 
+def test_thresholds_count_repeated_ids_once_and_take_the_past(spark):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    now = spark.createDataFrame([("a", at(10), "k"), ("a", at(10), "k"), ("b", at(15), "k"), ("c", at(16), "")], "event_id string, ts timestamp, source_ip string")
+    past = spark.createDataFrame([("p", at(0), "k"), ("q", at(1), "k"), ("r", at(1), "z")], now.schema)
+    counted = rules.sliding_counts(now, {"n": ("source_ip", rules.micros(), 15 * 60_000_000)}, past)
+    assert sorted((r.event_id, r.n) for r in counted.collect()) == [("a", 3), ("a", 3), ("b", 4), ("c", 1)]
+
+
+def test_rows_outside_an_enum_are_returned(spark, tmp_path):
+    rows = spark.createDataFrame([("e1", "warning", T0), ("e2", "high", T0), ("e3", None, T0)], "event_id string, severity string, ts timestamp")
+    assert [(r.event_id, r.reject_reason) for r in tables.rejected(rows, "security_events").collect()] == [("e1", "severity=warning")]
+    tables.write_facts({"security_events": rows}, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/security_events").count() == 2 and spark.read.parquet(f"{tmp_path}/security_events_rejects").count() == 1
+
+
+def test_upserts_row_by_row(spark):
+    target = spark.createDataFrame([("u", "old", "m"), ("v", "old", "m")], "k string, name string, mail string")
+    updates = spark.createDataFrame([("u", None, "x", ["name"], 1), ("v", "new", None, ["mail", "name"], 1), ("w", "n", "y", ["mail"], 1)], "k string, name string, mail string, own array<string>, o int")
+    got = {r.k: (r.name, r.mail) for r in tables.upsert_by_key(target, updates, "k", ["name", "mail"], "o", "own").collect()}
+    assert got == {"u": (None, "m"), "v": ("new", None), "w": (None, "y")}
+
+
+def test_newest_cves_by_product(spark):
+    draw = random.Random(3)
+    names = ["ab", "a", "", "openssh", "ssh 7", "apache", "tomcat", "cat"]
+    cves = [(f"C{i:02}", None if i % 9 == 0 else T0 + dt.timedelta(days=draw.randrange(20)), [draw.choice(names) for _ in range(draw.randrange(3))]) for i in range(60)]
+    texts = ["openssh 7.2 on ab", "apache tomcat", "zzz", "a", "SSH 7".lower()]
+    got = enrich.matching_cves(spark.createDataFrame([(t,) for t in texts], "haystack string"), spark.createDataFrame(cves, "cve_id string, published_date timestamp, affected_products array<string>"), 3, []).collect()
+    for t in texts:
+        want = sorted((c for c in cves if any(p in t for p in c[2])), key=lambda c: (c[1] is None, -(c[1] or T0).timestamp(), c[0]))[:3]
+        assert [r.cve_id for r in sorted(got, key=lambda r: r["rank"]) if r.haystack == t] == [c[0] for c in want]
+
+
 def test_capped_threshold_brute_force(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     draw = random.Random(9)

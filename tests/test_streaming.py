@@ -26,20 +26,43 @@ def test_stream_detect_matches_batch(spark, tmp_path):
     assert tables.read_table(spark, "security_events", f"{tmp_path}/out/security_events").count() == 3
 
 
-def test_stream_threshold_matches_batch(spark, tmp_path):
+def fed(spark, tmp_path, *parts):
+    """The parts as a stream of one batch each."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+
+
+def test_stream_threshold_matches_batch_with_late_events(spark, tmp_path):
     rows = [(f"e{i:03}", T0 + dt.timedelta(minutes=i * 4), f"u{i % 3}" if i % 7 else None) for i in range(60)]
     events = spark.createDataFrame(rows, "event_id string, ts timestamp, username string")
-    for k, part in enumerate((events.where("event_id < 'e030'"), events.where("event_id >= 'e030'"))):
-        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/k={k}")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/k=*")
-    query = stream_threshold(source, "username", 30).writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
+    late = "event_id in ('e020', 'e021', 'e022', 'e025')"  # up to 40 minutes behind the batch before
+    end = spark.createDataFrame([("end", T0 + dt.timedelta(days=2), "nobody")], events.schema)
+    source = fed(spark, tmp_path, events.where(f"event_id < 'e030' and not {late}"), events.where(f"event_id >= 'e030' or {late}"), end)
+    query = stream_threshold(source, "username", 30, "1 hour").writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
     query.processAllAvailable()
     query.stop()
-    got = {r.event_id: r.n for r in spark.table("counts").collect()}
+    got = {r.event_id: r.n for r in spark.table("counts").collect() if r.event_id != "end"}
     want = {r.event_id: r.n for r in rules.threshold_window(events, "username", 30, "n").where(F.col("username").isNotNull()).collect()}
     assert got == want
 
 
+def test_thresholds_look_back_over_batches_and_replays_write_once(spark, tmp_path):
+    raw, assets, iocs, cves, loaded = scenario(spark, "web-01")
+    parts = [raw.where(f"event_id = 'e{k}'") for k in range(3)]
+    source = fed(spark, tmp_path, *parts)
+    query = stream_detect(source, assets, iocs, cves, loaded, f"{tmp_path}/out", f"{tmp_path}/cp")
+    query.processAllAvailable()
+    query.stop()
+    want = {r.alert_id for r in detect.alerts(detect.ingest(raw, assets, iocs, cves, loaded)).collect()}
+    read = lambda name: tables.read_table(spark, name, f"{tmp_path}/out/{name}")
+    assert len(want) == 1 and {r.alert_id for r in read("alerts").collect()} == want  # the third login in the third batch
+    assert read("security_events").where("enrichment like '%assetContext%' or enrichment like '%asset_context%'").count() == 3
+    again = stream_detect(source, assets, iocs, cves, loaded, f"{tmp_path}/out", f"{tmp_path}/cp2", once=True)  # a lost checkpoint: all batches come again
+    again.awaitTermination()
+    assert read("security_events").count() == 3 and read("alerts").count() == 1
+
+
 def test_stream_dedupe(spark, tmp_path):
     rows = spark.createDataFrame([("a", T0), ("a", T0), ("b", T0)], "event_id string, ts timestamp")
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
