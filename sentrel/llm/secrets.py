@@ -1,11 +1,12 @@
 """Secret scans: base patterns, plus probabilistic automata inferred from the credentials that those patterns label.
 
-1. One scan of all texts finds the base spans and every other long token (a candidate).
-2. A bounded number of labelled values of each kind, and of ordinary candidates, build prefix trees; states whose
-   outgoing frequencies agree within a Hoeffding bound are merged (red-blue order), which gives one probabilistic
-   automaton a kind and one of ordinary tokens.
-3. Every candidate is scored: the best kind's log-likelihood less that of the ordinary automaton. Those over
-   `margin` become spans of kind `format`.
+1. One pass over all texts keeps, in each task, the values of each kind and the ordinary tokens with the smallest
+   hashes, as strings of character classes: no credential is written anywhere or sent to the driver.
+2. The bounded samples that follow build prefix trees; states whose outgoing frequencies agree within a Hoeffding
+   bound are merged (red-blue order), which gives one probabilistic automaton a kind and one of ordinary tokens.
+3. A second pass finds the base spans again and scores every other token: the best kind's log-likelihood less that of
+   the ordinary automaton. Those over `margin` become spans of kind `format`. Automata read classes, so a task scores
+   each string of classes once.
 """
 
 from __future__ import annotations
@@ -15,29 +16,48 @@ import re
 from collections import deque
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from ._shared import as_bytes, col_of, map_texts, slices, written
+from ._shared import as_bytes, col_of, give_back, in_small_batches, map_texts, slices
 
 #: Fixed by the contract of the base kinds, in their listed order.
 KINDS = ("assign", "access", "hex")
-KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-#: Access keys and hex runs that are long enough lie inside one of these.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Every run of credential characters that is long enough to be one; access keys and hex runs lie inside.
+LEAST = 6
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
+CANDIDATE_BYTES = re.compile(CANDIDATE.pattern.encode())
+
+
+def symbol(c: str) -> str:
+    """The automata read classes of characters; punctuation stands for itself."""
+    if c.isdigit():
+        return "9"
+    if c.islower():
+        return "h" if c <= "f" else "l"
+    if c.isupper():
+        return "H" if c <= "F" else "U"
+    return c
+
+
+#: ASCII by class, as a table for bytes: what is no candidate character stays outside.
+CLASSES = bytes(ord(symbol(chr(b))) if b < 128 else b for b in range(256))
+#: A hex run of the base kind, in classes.
+LONG_HEX = re.compile(b"[9h]{24}")
+SYMBOLS = 12  # classes that a candidate can hold, and the end
 
 SPANS = "array<struct<kind:string,start:long,end:long,value:string>>"
 
 
 def base_spans(text: str) -> tuple[list[tuple[str, int, int, str]], list[tuple[str, int, int, str]]]:
     """Base spans by (start, kind as listed), and the candidates that touch none of them."""
-    spans = []
-    low = text.lower()
-    if any(k in low for k in KEYWORDS):
-        spans += [("assign", m.start(), m.end(), m.group(2)) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+    spans = [("assign", m.start(), m.end(), m.group(2)) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
     tokens = [(m.start(), m.group()) for m in CANDIDATE.finditer(text)]
     for at, token in tokens:
         if "AKIA" in token:
@@ -45,38 +65,30 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int, str]], list[tuple[s
         if len(token) >= 24:
             spans += [("hex", at + m.start(), at + m.end(), m.group()) for m in HEX.finditer(token) if len(m.group()) >= 24]
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-    if not spans:
-        return spans, [("candidate", at, at + len(t), t) for at, t in tokens]
     rest, i, furthest = [], 0, -1
     for at, token in tokens:  # both lists run by start
         while i < len(spans) and spans[i][1] < at + len(token):
             furthest = max(furthest, spans[i][2])
             i += 1
         if furthest <= at:
-            rest.append(("candidate", at, at + len(token), token))
+            rest.append(("format", at, at + len(token), token))
     return spans, rest
 
 
-def symbol(c: str) -> str:
-    """The automata read classes of characters; punctuation stands for itself."""
-    if c.isdigit():
-        return "9"
-    if c.islower():
-        return "h" if c <= "f" else "l"
-    if c.isupper():
-        return "H" if c <= "F" else "U"
-    return c
+def may_hold_base(text: bytes, classes: bytes) -> bool:
+    low = text.lower()
+    return b"AKIA" in text or any(k in low for k in KEYWORDS) or LONG_HEX.search(classes) is not None
 
 
-CLASSES = {c: symbol(c) for c in map(chr, range(128))}
-SYMBOLS = 12  # classes that a candidate can hold, and the end
+def classes_of(value: str) -> bytes:
+    return value.encode("utf-8", "surrogatepass").translate(CLASSES)
 
 
 class Automaton:
     """A probabilistic automaton: per state how often it was left by each class, how often a value ended there."""
 
-    def __init__(self, steps: list[dict[str, tuple[int, int]]], ends: list[int]):
-        self.logs: list[dict[str, tuple[float, int]]] = []
+    def __init__(self, steps: list[dict[int, tuple[int, int]]], ends: list[int]):
+        self.logs: list[dict[int, tuple[float, int]]] = []
         self.ends: list[float] = []
         self.rare: list[float] = []
         for out, end in zip(steps, ends, strict=True):
@@ -85,25 +97,24 @@ class Automaton:
             self.ends.append(math.log((end + 0.1) / total))
             self.rare.append(math.log(0.1 / total))
 
-    def likelihood(self, value: str) -> float:
-        """Log-likelihood of the whole value. A class that the state has never seen costs its smoothed share and keeps the state."""
+    def likelihood(self, classes: bytes) -> float:
+        """Log-likelihood of a whole value, given as classes. A class that the state has never seen costs its smoothed share and keeps the state."""
         at, total = 0, 0.0
-        for c in value:
-            log, at = self.logs[at].get(CLASSES.get(c, c), (self.rare[at], at))
+        for c in classes:
+            log, at = self.logs[at].get(c, (self.rare[at], at))
             total += log
         return total + self.ends[at]
 
 
-def infer(values: list[str], alpha: float = 0.05) -> Automaton:
-    """Merge statistically compatible states of the values' prefix tree, nearest to the root first."""
-    steps: list[dict[str, int]] = [{}]
+def infer(values: list[bytes], alpha: float = 0.05) -> Automaton:
+    """Merge statistically compatible states of the values' prefix tree, nearest to the root first; values are strings of classes."""
+    steps: list[dict[int, int]] = [{}]
     passed: list[int] = [0]
     ended: list[int] = [0]
     for value in values:
         at = 0
         passed[0] += 1
         for c in value:
-            c = CLASSES.get(c, c)
             if c not in steps[at]:
                 steps[at][c] = len(steps)
                 steps.append({})
@@ -112,7 +123,7 @@ def infer(values: list[str], alpha: float = 0.05) -> Automaton:
             at = steps[at][c]
             passed[at] += 1
         ended[at] += 1
-    counts: list[dict[str, int]] = [{c: passed[to] for c, to in out.items()} for out in steps]
+    counts: list[dict[int, int]] = [{c: passed[to] for c, to in out.items()} for out in steps]
     factor = math.sqrt(0.5 * math.log(2 / alpha))
 
     def differ(n1: int, m1: int, n2: int, m2: int) -> bool:
@@ -147,7 +158,7 @@ def infer(values: list[str], alpha: float = 0.05) -> Automaton:
                     steps[a][c] = to
 
     red: list[int] = [0]
-    blue: deque[tuple[int, str]] = deque((0, c) for c in sorted(steps[0]))
+    blue: deque[tuple[int, int]] = deque((0, c) for c in sorted(steps[0]))
     reds = {0}
     while blue:
         parent, c = blue.popleft()
@@ -168,77 +179,119 @@ def infer(values: list[str], alpha: float = 0.05) -> Automaton:
     return Automaton([{c: (number[steps[r][c]], counts[r][c]) for c in steps[r]} for r in red], [ended[r] for r in red])
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, base spans, candidates) of every document; one pass over the texts."""
+def samples(docs: DataFrame, text_col: str, sizes: dict[str, int], max_chars: int) -> dict[str, list[bytes]]:
+    """For each kind, and 'ordinary' (tokens outside the base spans), the classes of the distinct values with the smallest hashes: at most its size in `sizes`, none over `max_chars`."""
 
     def start():
-        def of(batch: pa.RecordBatch) -> dict:
-            found = [base_spans(t.decode("utf-8", "replace") if t else "") for t in col_of(batch, "text").to_pylist()]
-            as_rows = lambda spans: [dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in spans]
-            return {"doc_id": col_of(batch, "doc_id"), "base": [as_rows(b) for b, _ in found], "candidates": [as_rows(c) for _, c in found]}
-
-        return of
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(text_col).alias("text")), "text", f"doc_id {kind}, base {SPANS}, candidates {SPANS}", start)
+        least: dict[str, dict[int, bytes]] = {k: {} for k in sizes}
+        limit = dict.fromkeys(sizes, 1 << 64)
+
+        def take(kind: str, value: bytes) -> None:
+            h = xxhash.xxh3_64_intdigest(value)
+            if h < limit[kind] and len(value) <= max_chars:
+                own = least[kind]
+                own[h] = value.translate(CLASSES)
+                if len(own) >= 2 * sizes[kind] + 1000:
+                    for x in sorted(own)[sizes[kind] :]:
+                        del own[x]
+                    limit[kind] = max(own)
+
+        def of(texts: list[bytes | None]) -> None:
+            for t in texts:
+                if not t:
+                    continue
+                if not may_hold_base(t, t.translate(CLASSES)):
+                    for token in set(CANDIDATE_BYTES.findall(t)):
+                        take("ordinary", token)
+                    continue
+                base, rest = base_spans(t.decode("utf-8", "replace"))
+                for kind, _, _, value in base:
+                    take(kind, value.encode())
+                for _, _, _, value in rest:
+                    take("ordinary", value.encode())
+
+        return least, of
+
+    schema = pa.schema([("kind", pa.string()), ("h", pa.binary()), ("classes", pa.binary())])
 
-
-def labelled(found: DataFrame, max_labels: int, max_label_chars: int) -> dict[str, list[str]]:
-    """At most `max_labels` distinct values a kind, those with the smallest hash; 'ordinary' are candidates outside the base spans."""
-    out = {}
-    for kind in (*KINDS, "ordinary"):
-        rows = found.select(F.explode("candidates" if kind == "ordinary" else "base").alias("s")).select("s.kind", "s.value")
-        rows = rows if kind == "ordinary" else rows.where(F.col("kind") == kind)
-        rows = rows.where(F.length("value") <= max_label_chars).select("value", F.xxhash64("value").alias("h")).distinct()
-        out[kind] = [r.value for r in rows.orderBy("h", "value").limit(max_labels).collect()]
+    def run(batches):
+        least, of = start()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                of(part.column(0).to_pylist())
+        rows = [(k, h.to_bytes(8, "big"), c) for k, own in least.items() for h, c in sorted(own.items())[: sizes[k]]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(3)], schema=schema)
+        give_back()
+
+    found = in_small_batches(docs.select(as_bytes(text_col).alias("text"))).mapInArrow(run, "kind string, h binary, classes binary").distinct()
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("h", "classes"))
+    wanted = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("kind"))
+    out: dict[str, list[bytes]] = {k: [] for k in sizes}
+    for r in found.withColumn("rank", rank).where((F.col("rank") <= max(sizes.values())) & (F.col("rank") <= wanted)).orderBy("kind", "rank").collect():
+        out[r.kind].append(bytes(r.classes))
     return out
 
 
 class Judge:
-    """Whether a candidate reads like a credential: its best automaton's log-likelihood less the ordinary one's passes the margin."""
+    """Whether a string of classes reads like a credential: its best automaton's log-likelihood less the ordinary one's passes the margin."""
 
     def __init__(self, automata: dict[str, Automaton], ordinary: Automaton, margin: float):
         self.automata, self.ordinary, self.margin = automata, ordinary, margin
-        self.known: dict[str, bool] = {}
+        self.known: dict[bytes, bool] = {}
 
-    def __call__(self, value: str) -> bool:
-        if value not in self.known:
+    def __call__(self, classes: bytes) -> bool:
+        found = self.known.get(classes)
+        if found is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[value] = max(a.likelihood(value) for a in self.automata.values()) - self.ordinary.likelihood(value) > self.margin
-        return self.known[value]
+            found = self.known[classes] = max(a.likelihood(classes) for a in self.automata.values()) - self.ordinary.likelihood(classes) > self.margin
+        return found
 
 
-def learn(found: DataFrame, max_labels: int, max_label_chars: int, margin: float) -> Judge | None:
-    values = labelled(found, max_labels, max_label_chars)
-    automata = {k: infer(values[k]) for k in KINDS if len(values[k]) >= 20}
-    return Judge(automata, infer(values["ordinary"]), margin) if len(values["ordinary"]) >= 20 and automata else None
+def learn(docs: DataFrame, text_col: str, max_labels: int, max_ordinary: int, max_label_chars: int, margin: float) -> Judge | None:
+    values = samples(docs, text_col, dict.fromkeys(KINDS, max_labels) | {"ordinary": max_ordinary}, max_label_chars)
+    automata = {k: infer(values[k]) for k in KINDS if values[k]}
+    return Judge(automata, infer(values["ordinary"]), margin) if values["ordinary"] and automata else None
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 300, max_label_chars: int = 96, margin: float = 12.0) -> DataFrame:
+def spans_of(raw: bytes | None, judge: Judge | None) -> tuple[str, list[tuple[str, int, int, str]]]:
+    """The text, and its spans by start and then kind as listed, `format` last."""
+    if not raw:
+        return "", []
+    classes = raw.translate(CLASSES)
+    odd = judge is not None and any(map(judge, set(CANDIDATE_BYTES.findall(classes))))
+    if not odd and not may_hold_base(raw, classes):
+        return "", []
+    text = raw.decode("utf-8", "replace")
+    base, rest = base_spans(text)
+    if odd:
+        base = sorted(base + [s for s in rest if judge(classes_of(s[3]))], key=lambda s: s[1])  # stable, and a format span touches no other
+    return text, base
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 300, max_ordinary: int = 5000, max_label_chars: int = 96, margin: float = 12.0) -> DataFrame:
     """(doc_id, spans: kind, start, end, value) for each row, by start and then kind; code points, end exclusive.
 
     Null and empty texts have no spans. Repeated rows each get their result; a null id stays null; other columns of
-    `docs` are not read. Values over `max_label_chars` characters do not train, but are scanned and scored whole.
-    Every token of 16 characters or more that touches no base span is a candidate and is scored, letters or digits
-    alone too; shorter tokens are only found by the base patterns.
-    A kind with fewer than 20 distinct labelled values that train gets no automaton and adds nothing; with fewer than
-    20 distinct ordinary tokens there is no contrast, and nothing is added: the base spans are the whole result.
+    `docs` are not read. Every token of 6 characters or more that touches no base span is a candidate and is scored,
+    letters or digits alone too; no shorter token is one, as in the base kinds. Values over `max_label_chars`
+    characters do not train, but are scanned and scored whole. The automata are learned from at most `max_labels`
+    distinct labelled values a kind and `max_ordinary` ordinary tokens, those of the smallest hashes; a kind without
+    labels has no automaton, and without any label or any ordinary token the base spans are the whole result.
     """
-    found = written(scan(docs, id_col, text_col), "secrets")
-    judge = learn(found, max_labels, max_label_chars, margin)
-    if judge is None:
-        return found.select("doc_id", F.col("base").alias("spans"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, text_col, max_labels, max_ordinary, max_label_chars, margin))
 
-    @F.pandas_udf("array<boolean>")
-    def credible(tokens):
-        return tokens.map(lambda vs: [judge(v) for v in vs])
+    def start():
+        judge = shared.value
 
-    some = found.where(F.size("candidates") > 0).withColumn("ok", credible(F.col("candidates.value")))
-    added = F.transform(F.filter(F.arrays_zip("candidates", "ok"), lambda x: x["ok"]), lambda x: x["candidates"].withField("kind", F.lit("format")))
-    order = lambda s: F.struct(s["start"], F.array_position(F.array(*map(F.lit, (*KINDS, "format"))), s["kind"]).alias("k"), s["end"], s["kind"], s["value"])
-    merged = F.transform(F.array_sort(F.transform(F.concat("base", added), order)), lambda s: F.struct(s["kind"], s["start"], s["end"], s["value"]))
-    return found.where(F.size("candidates") == 0).select("doc_id", F.col("base").alias("spans")).unionByName(some.select("doc_id", merged.alias("spans")))
+        def of(batch: pa.RecordBatch) -> dict:
+            found = [spans_of(t, judge)[1] for t in col_of(batch, "text").to_pylist()]
+            return {"doc_id": col_of(batch, "doc_id"), "spans": [[dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in own] for own in found]}
+
+        return of
+
+    return map_texts(docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(text_col).alias("text")), "text", f"doc_id {kind}, spans {SPANS}", start)
 
 
 def joined(spans, kinds: tuple[str, ...] | None = None):
@@ -247,32 +300,33 @@ def joined(spans, kinds: tuple[str, ...] | None = None):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def masked(text: str, judge: Judge | None) -> str:
+def masked(value: str | None, judge: Judge | None) -> str | None:
     """The text with its spans replaced by their kind in brackets; overlapping ones by the first one's."""
-    base, rest = base_spans(text)
-    spans = base + [("format", a, b, v) for _, a, b, v in rest if judge and judge(v)]
+    text, spans = spans_of((value or "").encode("utf-8", "surrogatepass"), judge)
+    if not spans:
+        return value
     out, at = [], 0
-    for kind, start, end, _ in sorted(spans, key=lambda s: s[1]):  # stable: kinds stay as listed
+    for kind, start, end, _ in spans:
         if start >= at:
             out.append(f"{text[at:start]}[{kind}]")
         at = max(at, end)
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 300, max_label_chars: int = 96, margin: float = 12.0) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 300, max_ordinary: int = 5000, max_label_chars: int = 96, margin: float = 12.0) -> DataFrame:
     """`docs` with every found span masked; rows and columns stay, nulls too, and each row is judged by its own text.
 
-    One pass finds what the automata are learned from, as in scan_secrets; a second one rewrites the rows where they lie, without a shuffle.
+    The automata are learned as in scan_secrets; the rows are rewritten where they lie, without a shuffle.
     """
-    found = written(scan(docs, id_col, text_col).where((F.size("base") > 0) | (F.size("candidates") > 0)), "secrets")
-    shared = docs.sparkSession.sparkContext.broadcast(learn(found, max_labels, max_label_chars, margin))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, text_col, max_labels, max_ordinary, max_label_chars, margin))
 
     def run(batches):
         judge = shared.value
         for whole in batches:
             for batch in slices(whole, text_col):
                 k = batch.schema.get_field_index(text_col)
-                texts = [None if t is None else masked(t, judge) for t in batch.column(k).to_pylist()]
+                texts = [masked(t, judge) for t in batch.column(k).to_pylist()]
                 yield batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type))
+        give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
