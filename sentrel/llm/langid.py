@@ -1,15 +1,13 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a segment (a run of letters with a blank on either side) in both directions and labels every
-position; a document's probabilities are the mean over all positions of all its segments. Segments recur, so a task
-keeps what each gave. Training is numpy back-propagation through time on the driver, over segments of a bounded
-sample of labelled documents.
+A text is its letters in lower case, other ASCII being single blanks. The network reads windows of it in both
+directions, across words; a window is OWN bytes that are labelled, each once, between EDGE bytes of context that only
+lead the network in. A document's probabilities are the mean over all its positions. Training is numpy
+back-propagation through time on the driver, over windows of a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,11 +15,12 @@ from pyspark.sql import functions as F
 
 from ._shared import as_bytes, col_of, map_texts
 
-#: A-Z become a-z; other ASCII than letters parts segments.
+#: A-Z become a-z; other ASCII than letters is a blank.
 TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-#: Longer runs are read in pieces of so many bytes, all of them.
-PIECE = 48
-KNOWN_SEGMENTS = 1_000_000
+OWN, EDGE = 120, 8
+#: Windows are read so many at once, fewer where the labels are many.
+ROWS = 2048
+LOGITS = 4_000_000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -36,6 +35,29 @@ class Reader:
         self.u = (draw.standard_normal((hidden, 3 * hidden)) / np.sqrt(hidden)).astype(np.float32)
         self.b = np.zeros(3 * hidden, np.float32)
 
+    def read(self, x: np.ndarray):
+        """The state (hidden, rows) after each byte of x (time, rows), one after the other: the same array each time."""
+        n, rows = self.u.shape[0], x.shape[1]
+        half = np.where(np.arange(3 * n) < 2 * n, 0.5, 1).astype(np.float32)  # sigmoid(v) is (1 + tanh(v / 2)) / 2
+        w, u = np.ascontiguousarray(((self.w + self.b) * half).T), np.ascontiguousarray((self.u * half).T)
+        a, r = np.empty((3 * n, rows), np.float32), np.empty((3 * n, rows), np.float32)
+        c, d, h = np.empty((n, rows), np.float32), np.empty((n, rows), np.float32), np.zeros((n, rows), np.float32)
+        gates = r[: 2 * n]
+        for now in x:
+            np.take(w, now, axis=1, out=a, mode="clip")
+            np.matmul(u, h, out=r)
+            gates += a[: 2 * n]
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            np.multiply(gates[n:], r[2 * n :], out=c)
+            c += a[2 * n :]
+            np.tanh(c, out=c)
+            np.subtract(h, c, out=d)
+            d *= gates[:n]
+            np.add(c, d, out=h)
+            yield h
+
     def forward(self, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
         """States (time, rows, hidden) after each byte of x (rows, time)."""
         rows, steps = x.shape
@@ -58,6 +80,7 @@ class Reader:
         n = self.u.shape[0]
         dw, du, db = np.zeros_like(self.w), np.zeros_like(self.u), np.zeros_like(self.b)
         dh = np.zeros_like(d_states[0])
+        inputs = np.empty((x.shape[1], len(x), 3 * n), d_states.dtype)
         for t in range(x.shape[1] - 1, -1, -1):
             h, z, o, c, r = held[t]
             dh = dh + d_states[t]
@@ -66,10 +89,14 @@ class Reader:
             do = dc * r * o * (1 - o)
             da = np.concatenate([dz, do, dc], 1)
             dr = np.concatenate([dz, do, dc * o], 1)
-            np.add.at(dw, x[:, t], da)
+            inputs[t] = da
             db += da.sum(0)
             du += h.T @ dr
             dh = dh * z + dr @ self.u.T
+        flat = x.T.ravel()
+        order = np.argsort(flat, kind="stable")
+        values, starts = np.unique(flat[order], return_index=True)
+        dw[values] = np.add.reduceat(inputs.reshape(-1, 3 * n)[order], starts, axis=0)
         return [dw, du, db]
 
 
@@ -104,87 +131,78 @@ class Network:
         n = self.ahead.u.shape[0]
         return [*self.ahead.backward(x, held1, states[:, :, :n]), *self.back.backward(x[:, ::-1], held2, states[::-1, :, n:]), wide.T @ flat, flat.sum(0)]
 
-    def train(self, segments: list[bytes], labels: np.ndarray, epochs: int, batch: int, rate: float, seed: int) -> None:
-        """Adam over batches of segments of one length, in an order that the seed draws."""
+    def pooled(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """(windows, labels): sums of the probabilities of each window's own positions; x: (windows, EDGE + OWN + EDGE), own: how many count."""
+        out = np.empty((len(x), len(self.labels)))
+        rows = max(32, min(ROWS, LOGITS // (OWN * len(self.labels))))
+        hidden = self.ahead.u.shape[0]
+        first, second = np.ascontiguousarray(self.v[:hidden].T), np.ascontiguousarray(self.v[hidden:].T)
+        for k in range(0, len(x), rows):
+            now = np.ascontiguousarray(x[k : k + rows].T)
+            logits = np.empty((OWN, len(self.labels), now.shape[1]), np.float32)
+            for t, h in enumerate(self.ahead.read(now[: EDGE + OWN])):
+                if t >= EDGE:
+                    np.matmul(first, h, out=logits[t - EDGE])
+            for t, h in enumerate(self.back.read(now[: EDGE - 1 : -1])):
+                if t >= EDGE:
+                    logits[OWN - 1 - (t - EDGE)] += second @ h
+            logits += self.c[:, None]
+            logits -= logits.max(1, keepdims=True)
+            np.exp(logits, out=logits)
+            logits /= logits.sum(1, keepdims=True)
+            short = own[k : k + rows] < OWN
+            if short.any():
+                logits *= (np.arange(OWN)[:, None] < own[k : k + rows])[:, None, :]
+            out[k : k + rows] = logits.sum(0, dtype=np.float64).T
+        return out
+
+    def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
+        found = [letters_of(t) if t else b"" for t in texts]
+        able = [i for i, f in enumerate(found) if f and has_letter(f)]
+        labels, scores = ["und"] * len(texts), [0.0] * len(texts)
+        if able:
+            parts = [windows_of(found[i]) for i in able]
+            sums = self.pooled(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            totals = np.add.reduceat(sums, np.cumsum([0, *[len(p[0]) for p in parts]])[:-1], axis=0)
+            for i, total in zip(able, totals, strict=True):
+                best = int(total.argmax())
+                labels[i], scores[i] = self.labels[best], min(1.0, float(total[best] / total.sum()))
+        return labels, scores
+
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int, rate: float, seed: int) -> None:
+        """Adam over batches of windows (rows, time), in an order that the seed draws."""
         draw = np.random.default_rng(seed)
-        by: defaultdict[int, list[int]] = defaultdict(list)
-        for i, s in enumerate(segments):
-            by[len(s)].append(i)
         first, second = ([np.zeros_like(w) for w in self.weights()] for _ in range(2))
         step = 0
         for epoch in range(epochs):
-            batches = []
-            for own in by.values():
-                order = draw.permutation(own)
-                batches += [order[k : k + batch] for k in range(0, len(order), batch)]
-            draw.shuffle(batches) if len({len(b) for b in batches}) == 1 else batches.sort(key=lambda b: draw.random())
-            for own in batches:
+            order = draw.permutation(len(x))
+            for k in range(0, len(x), batch):
+                own = order[k : k + batch]
                 step += 1
-                x = np.frombuffer(b"".join(segments[i] for i in own), np.uint8).reshape(len(own), -1)
-                for w, m, s, g in zip(self.weights(), first, second, self.gradients(x, labels[own]), strict=True):
-                    g = g * min(1.0, len(own) / batch * 4)
+                for w, m, s, g in zip(self.weights(), first, second, self.gradients(x[own], y[own]), strict=True):
                     m += 0.1 * (g - m)
                     s += 0.01 * (g * g - s)
                     w -= rate / (1 + epoch) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)
 
 
-def segments_of(text: bytes) -> list[bytes]:
-    """Letter runs of a text, long ones in pieces."""
-    words = text.translate(TABLE).split()
-    if max(map(len, words), default=0) > PIECE:
-        words = [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
-    return words
-
+def letters_of(text: bytes) -> bytes:
+    """The text as the network reads it: letters in lower case, one blank between runs."""
+    return b" ".join(text.translate(TABLE).split())
 
-def has_letter(text: bytes, words: list[bytes]) -> bool:
-    return any(w[0] < 0x80 for w in words[:50]) or any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
+def has_letter(letters: bytes) -> bool:
+    """ASCII that is left is letters; beyond it a character may be any symbol."""
+    return any(0x61 <= b <= 0x7A for b in letters[:200]) or any(c.isalpha() for c in letters.decode("utf-8", "replace"))
 
-class Pool:
-    """Sums of position probabilities of segments, kept for at most KNOWN_SEGMENTS of them."""
 
-    def __init__(self, network: Network):
-        self.network = network
-        self.clear()
-
-    def clear(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.sums = np.zeros((1024, len(self.network.labels)), np.float32)
-
-    def learn(self, new: list[bytes]) -> None:
-        at = len(self.row)
-        while at + len(new) > len(self.sums):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        new.sort(key=len)
-        start = 0
-        while start < len(new):
-            stop = start
-            while stop < len(new) and len(new[stop]) == len(new[start]) and stop - start < 4096:
-                stop += 1
-            x = np.frombuffer(b"".join(b" %b " % w for w in new[start:stop]), np.uint8).reshape(stop - start, -1)
-            p, _ = self.network.positions(x)
-            self.sums[at + start : at + stop] = p.sum(1)
-            start = stop
-        self.row.update(zip(new, range(at, at + len(new)), strict=True))
-
-    def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
-        labels, scores = [], []
-        split = [segments_of(t) if t else [] for t in texts]
-        if len(self.row) > KNOWN_SEGMENTS:
-            self.clear()
-        new = [w for w in set().union(*split) if w not in self.row]
-        if new:
-            self.learn(new)
-        for t, words in zip(texts, split, strict=True):
-            if not words or not has_letter(t, words):
-                labels.append("und")
-                scores.append(0.0)
-                continue
-            total = self.sums[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
-            best = int(total.argmax())
-            labels.append(self.network.labels[best])
-            scores.append(float(total[best] / total.sum()))
-        return labels, scores
+def windows_of(letters: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, EDGE + OWN + EDGE) and how many of each window's own positions the text fills; every position is some window's own once."""
+    n = -(-len(letters) // OWN)
+    padded = np.full(EDGE + n * OWN + EDGE, 0x20, np.uint8)
+    padded[EDGE : EDGE + len(letters)] = np.frombuffer(letters, np.uint8)
+    own = np.full(n, OWN)
+    own[-1] = len(letters) - (n - 1) * OWN
+    return np.lib.stride_tricks.sliding_window_view(padded, EDGE + OWN + EDGE)[::OWN], own
 
 
 def held_out(id_col: str):
@@ -192,8 +210,8 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, per_doc: int) -> tuple[list[bytes], list[str]]:
-    """Segments of about `per_lang` documents of every language, `per_doc` of each spread over its whole text."""
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, per_doc: int, span: int) -> tuple[list[bytes], list[str]]:
+    """Stretches of `span` bytes of about `per_lang` documents of every language, `per_doc` of each spread over its whole text."""
     able = docs.where(~held_out(id_col) & F.col(f"`{id_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull())
     counts = able.groupBy(F.col(f"`{lang_col}`").cast("string").alias("lang")).count().collect()
     if not counts:
@@ -207,25 +225,31 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
         def of(batch: pa.RecordBatch) -> dict:
             out = []
             for t in col_of(batch, "text").to_pylist():
-                words = segments_of(t)
-                out.append(words[:: max(1, -(-len(words) // per_doc))])
-            return {"lang": col_of(batch, "lang"), "words": out}
+                letters = letters_of(t)
+                stride = max(span, -(-len(letters) // per_doc))
+                out.append([letters[k : k + span] for k in range(0, len(letters), stride)])
+            return {"lang": col_of(batch, "lang"), "parts": out}
 
         return of
 
-    rows = map_texts(few, "text", "lang string, words array<binary>", start).limit(3 * per_lang * len(counts)).collect()
-    return [bytes(w) for r in rows for w in r.words], [r.lang for r in rows for _ in r.words]
+    rows = map_texts(few, "text", "lang string, parts array<binary>", start).limit(3 * per_lang * len(counts)).collect()
+    return [bytes(w) for r in rows for w in r.parts], [r.lang for r in rows for _ in r.parts]
+
 
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, per_doc: int = 8, span: int = 48, hidden: int = 8, epochs: int = 4, seed: int = 11) -> Network | None:
+    """A network from the documents that are not held out; None where none has a language.
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, per_doc: int = 40, hidden: int = 16, epochs: int = 4, seed: int = 11) -> Network | None:
-    """A network from the documents that are not held out; None where none has a language."""
-    words, langs = sample(docs, id_col, text_col, lang_col, per_lang, per_doc)
-    if not words:
+    Of each language about `per_lang` documents are read (those of the smallest id hashes; repeated rows each count),
+    of each `per_doc` stretches; null and empty texts give none. Ties in the order of the sample are broken by bytes.
+    """
+    parts, langs = sample(docs, id_col, text_col, lang_col, per_lang, per_doc, span)
+    if not parts:
         return None
     names = sorted(set(langs))
-    order = sorted(range(len(words)), key=lambda i: (words[i], langs[i]))  # the executors' order doesn't matter
+    order = sorted(range(len(parts)), key=lambda i: (parts[i], langs[i]))  # the executors' order doesn't matter
+    x = np.frombuffer(b"".join(parts[i].ljust(span) for i in order), np.uint8).reshape(-1, span)
     network = Network(names, hidden, seed)
-    network.train([b" %b " % words[i] for i in order], np.array([names.index(langs[i]) for i in order]), epochs, 256, 0.02, seed)
+    network.train(x, np.array([names.index(langs[i]) for i in order]), epochs, 128, 0.03, seed)
     return network
 
 
@@ -239,11 +263,11 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def start():
-        pool = Pool(shared.value) if shared.value else None
+        network = shared.value
 
         def of(batch: pa.RecordBatch) -> dict:
             texts = col_of(batch, "text").to_pylist()
-            labels, scores = pool.predict(texts) if pool else (["und"] * len(texts), [0.0] * len(texts))
+            labels, scores = network.predict(texts) if network else (["und"] * len(texts), [0.0] * len(texts))
             return {"doc_id": col_of(batch, "doc_id"), "held_out": col_of(batch, "held_out"), "lang_pred": labels, "score": scores}
 
         return of

@@ -57,8 +57,20 @@ def test_languages_edges(spark):
     assert langid.train(docs.limit(0)) is None and langid.identify(docs.limit(0), net).count() == 0
 
 
-def test_pieces_cover_whole_runs():
-    assert b"".join(langid.segments_of(b"x" * 500)) == b"x" * 500
+def test_windows_label_every_position_once():
+    net = langid.Network(["de", "en"], 4, 1)
+    text = b"the words " * 37 + b"x" * 300
+    x, own = langid.windows_of(text)
+    assert own.sum() == len(text) and b"".join(bytes(w[langid.EDGE : langid.EDGE + n]) for w, n in zip(x, own)) == text
+    sums = net.pooled(x, own)
+    for k in (0, 2, len(x) - 1):  # as the network itself labels the window's positions
+        whole, _ = net.positions(x[k : k + 1, : langid.EDGE + langid.OWN])
+        _, (both, _, _) = net.positions(x[k : k + 1])
+        ahead = both[0, :, :4]
+        back, _ = net.back.forward(x[k : k + 1, langid.EDGE :][:, ::-1])
+        logits = np.concatenate([ahead[langid.EDGE : langid.EDGE + langid.OWN], back[::-1, 0][: langid.OWN]], 1) @ net.v + net.c
+        p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+        assert np.allclose(p[: own[k]].sum(0), sums[k], atol=1e-3) and whole.shape[1] == langid.EDGE + langid.OWN
 
 
 def test_grades(spark):
