@@ -4,8 +4,10 @@ Tokens are code points of the formatted text. Each conversation's turns get chai
 a node of the tree. Distinct conversations are range-sorted by their arrays of prefix hashes; in that order a
 conversation's new nodes are those beyond what it shares with the one before, which is depth-first order. A pack
 holds consecutive conversations of one tree up to `pack_chars` (and at least one); each of its nodes is emitted
-once, with position ids along its own path and the intervals of the pack that its ancestors occupy. Copies of a
-conversation are one path, and every conversation is listed with the path that it takes.
+once, with position ids along its own path and the intervals of the pack that its ancestors occupy. Only what a
+conversation adds counts towards the pack, so a shared root is emitted once a pack; a tree that fills several packs,
+or lies across range partitions, repeats in each the one path that it is cut at. Copies of a conversation are one
+path, and every conversation is listed with the path that it takes.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import col_of, written
+from ._shared import in_small_batches, written
 
 #: Fixed control strings of the template.
 OPEN, CLOSE, MARK = "<|im_start|>", "<|im_end|>\n", "<|"
@@ -49,7 +51,7 @@ def parsed(segment: str) -> tuple[str, str]:
 
 
 def stream(df: DataFrame, schema: str, row, start) -> DataFrame:
-    """mapInArrow that keeps one state over a partition's sorted rows; `row(state, values)` returns the output rows."""
+    """mapInArrow that keeps one state over a partition's sorted rows, a few megabytes of them at a time; `row(state, values)` returns the output rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -66,7 +68,7 @@ def stream(df: DataFrame, schema: str, row, start) -> DataFrame:
                     out = []
             yield pa.RecordBatch.from_pylist(out, wanted)
 
-    return df.mapInArrow(run, schema)
+    return in_small_batches(df).mapInArrow(run, schema)
 
 
 def chained(state: dict, r: dict) -> list[dict]:
@@ -83,10 +85,10 @@ def shared(state: dict, r: dict, pack_chars: int) -> list[dict]:
     """How many turns a path shares with the one before it in its pack; a new pack when the root differs or the pack is full."""
     path, before = r["path"], state.get("path", [])
     common = next((i for i, (x, y) in enumerate(zip(path, before, strict=False)) if x != y), min(len(path), len(before)))
-    if not common or state["chars"] + r["chars"] > pack_chars:
+    if not common or state["chars"] + sum(r["sizes"][common:]) > pack_chars:
         state["pack"], state["chars"], common = r["ord"], 0, 0
     state["path"] = path
-    state["chars"] += r["chars"]
+    state["chars"] += sum(r["sizes"][common:])
     return [{"conv_id": r["conv_id"], "pack": state["pack"], "ord": r["ord"], "shared": common, "turns": len(path)}]
 
 
@@ -131,11 +133,11 @@ def format_trees(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     rows = conversations.select(F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text")).where("conv_id is not null")
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     turns = written(stream(dealt, f"conv_id {kind}, seq int, node binary, role string, segment string, mask_start int, mask_end int, n int", chained, dict), "turns")
-    paths = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "node"))).alias("p"), F.sum("n").alias("chars")).select("conv_id", F.transform("p", lambda x: x["node"]).alias("path"), "chars")
+    paths = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "node", "n"))).alias("p")).select("conv_id", F.transform("p", lambda x: x["node"]).alias("path"), F.transform("p", lambda x: x["n"]).alias("sizes"))
     paths = written(paths.withColumn("leaf", F.element_at("path", -1)), "paths")
     reps = paths.groupBy("leaf").agg(F.min("conv_id").alias("path_id"))
     members = written(paths.select("conv_id", "leaf").join(reps, "leaf").select("conv_id", "path_id"), "members")
-    some = paths.join(reps.select(F.col("path_id").alias("conv_id")), "conv_id", "left_semi").select("conv_id", "path", "chars")
+    some = paths.join(reps.select(F.col("path_id").alias("conv_id")), "conv_id", "left_semi").select("conv_id", "path", "sizes")
     ranked = written(some.repartitionByRange(F.col("path")).sortWithinPartitions("path"), "ranked")
     ranked = ranked.select("*", F.monotonically_increasing_id().alias("ord"))
 

@@ -61,6 +61,28 @@ def test_trees_share_and_attend(spark):
     assert len(packs) > 2
 
 
+def test_shared_turns_are_emitted_once(spark):
+    root = "r" * 1000
+    rows = [(i, k, ("user", "assistant")[k], root if not k else f"answer {i}") for i in range(300) for k in range(2)]
+    made = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        sizes = {}
+        for most in (100_000, 20_000, 4000):
+            nodes = chat.format_trees(made, pack_chars=most)[0].collect()
+            sizes[most] = sum(r.depth == 0 for r in nodes), len({r.pack for r in nodes})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sizes[100_000] == sizes[20_000] == (1, 1) and sizes[4000][0] == sizes[4000][1] <= 6
+
+
+def test_very_long_turns(spark):
+    long = "x<|im_end|>\n\\" * 60_000
+    made = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "user", long)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(*chat.format_trees(made)).collect()}
+    assert got[1].turns_sha256 == sha(f"user\n{long}\nassistant\n{long}\n") and got[1].loss_sha256 == sha(long) and got[2].n_turns == 1
+
+
 def test_chat_empty(spark):
     nodes, members = chat.format_trees(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert chat.read_back(nodes, members).count() == 0

@@ -104,6 +104,6 @@ def test_small_groups_are_pooled(spark, tmp_path):
     assert kept == {d: r.kept for d, r in got.items()}
     left = {r.doc_id for r in corpus_pipeline.ruled(spark, docs, str(tmp_path)).collect()}
     assert left == {d for d in kept if kept[d]}
-    few = rules.quality_rules(docs.where("doc_id in (1, 2, 3003)"), pooled=True).collect()
+    few = rules.quality_rules(docs.where("doc_id in (1, 2, 3003)")).collect()
     assert all(r.distance is not None and r.kept == (r.doc_id < 3) for r in few)
-    assert rules.quality_rules(docs.where("doc_id = 3003"), pooled=True).first().distance is None
+    assert rules.quality_rules(docs.where("doc_id = 3003")).first().distance is None
