@@ -1,10 +1,11 @@
 """HTML extraction by a tree-structured graphical model.
 
 The nodes of a page's element tree are content or not. A node's potential comes from its tag, the cue words of its
-class, id and role, and its text; parent-child potentials join it to its parent. Sum-product messages go up and down
-the tree, level by level over all pages of a slice at once, and give each node's marginal; text of nodes with a
-marginal over one half is kept. Weights are fitted on labelled pages: pages built from labelled fragments, and a
-bounded sample of pages whose own markup names the article.
+class, id and role, its text, and how the page's prose and links lie in and around it; parent-child potentials join it
+to its parent. Sum-product messages go up and down the tree, level by level over all pages of a slice at once, and
+give each node's marginal; text of nodes with a marginal over one half is kept. Weights are fitted on labelled pages:
+pages built from labelled fragments, many of them without any name that says what a part is, and a bounded sample of
+the table's own pages. Those are labelled by where their prose stands together, never by tag names or cue words.
 """
 
 from __future__ import annotations
@@ -24,40 +25,44 @@ from ._shared import as_bytes, col_of, map_texts
 #: Fixed by HTML: elements that end a line of text, that never hold any, whose content is no text, and what ends an open element.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe textarea title svg math object audio video canvas noframes xmp noembed".split())
-#: Those of RAW whose source is text up to their own end tag, whatever stands in it.
+#: The source of these is text up to their own end tag, whatever stands in it; what these others hold is not shown as text.
 VERBATIM = frozenset("script style title textarea iframe noframes xmp noembed".split())
+MUTE = frozenset("template noscript svg object audio video canvas".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "body": {"head"}}
 SCOPE = frozenset("html body article aside section div main table td th ul ol dl form nav header footer blockquote figure li dd".split())
-PLAIN = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+PLAIN = frozenset("math mi mn mo ms mtext mrow mfrac msqrt msup msub mover munder semantics annotation a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 
-#: Cue words by family; a class, id or role is split into words, and a word counts where it starts with one of these or, up to three letters, equals it.
+#: Cue words by family; a class, id or role is split into words, and a word counts where it starts with one of these or, up to four letters, equals it or its plural.
 CUES = {
     "menu": "nav menu breadcrumb toolbar tabs pager pagination skip toc",
     "head": "header masthead banner topbar logo branding",
     "foot": "footer footnote copyright legal bottom colophon",
-    "side": "sidebar aside rail related recommend widget complementary more-stories popular trending tags",
-    "notice": "notice cookie consent gdpr popup modal overlay alert toast disclaimer paywall message",
+    "side": "sidebar aside related recommend widget complementary more-stories popular trending tags",
+    "notice": "notice cookie consent gdpr popup modal overlay alert toast disclaimer paywall",
     "advert": "ad ads adv advert sponsor promo banner-ad outbrain taboola commercial adsense",
     "form": "form login signup subscribe newsletter search register contact",
-    "comment": "comment reply disqus discussion respond feedback reader",
-    "share": "share social follow author-bio byline meta breadcrumbs rating print",
-    "body": "article content main post entry story body text page-content prose",
+    "comment": "comment reply disqus discussion respond feedback",
+    "share": "share social follow author-bio byline breadcrumbs rating",
+    "body": "article content main post entry story body page-content prose",
 }
 WORD_CUES = [(w, family) for family, words in CUES.items() for w in words.split()]
 NAMED = {"nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "aside": "side", "form": "form", "select": "form", "button": "form", "fieldset": "form", "dialog": "notice", "article": "body", "main": "body"}
 TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "table", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "button", "label", "dialog", "html", "body", "head", "address", "dl", "dd", "dt", "inline", "other"]
 GROUPS = frozenset("div section html body table ul ol dl".split())
 KINDS = 4
-FEATURES = {name: i for i, name in enumerate(["bias", *(f"tag {t}" for t in TAGS), *(f"cue {f}" for f in CUES), "only body", "in article", "in other part", "short", "long", "links", "sentence", "no text"])}
-LOW = [FEATURES[n] for n in ("in article", "in other part", "short", "long", "links", "sentence", "no text")]
+FEATURES = {name: i for i, name in enumerate(["bias", *(f"tag {t}" for t in TAGS), *(f"cue {f}" for f in CUES), "only body", "in article", "in other part", "short", "long", "links", "sentence", "no text", "holds most prose", "holds some prose", "holds little prose", "holds links", "in most prose", "prose beside", "no prose beside"])}
+LOW = [FEATURES[n] for n in ("in article", "in other part", "short", "long", "links", "sentence", "no text", "holds most prose", "holds some prose", "holds little prose", "holds links", "in most prose", "prose beside", "no prose beside")]
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>|[^>]*+>)|<[!?/][^>]*+>""", re.DOTALL)
+#: A tag ends at the first > outside a quoted value; a quote that is not closed before a blank, / or > is none.
+TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:(?:[^>=]++|=\s*+(?:"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>])|(?!["'])))*+>|[^>]*+>)|<[!?/][^>]*+>""", re.DOTALL)
 END_TAG = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in VERBATIM}
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 SLICE_WORDS = re.compile(r"[^a-z]+")
 
 
+SENTENCE = (".", "!", "?", "。")
+
+
 class Tag:
     """What a start tag's source says: its name, its features, the label that a training page gives it."""
 
@@ -67,7 +72,7 @@ class Tag:
         self.name = name
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(source)}
         words = [w for k in ("class", "id", "role") for w in SLICE_WORDS.split(re.sub("([a-z])([A-Z])", r"\1 \2", found.get(k, "")).lower()) if w]
-        self.families = {f for w in words for cue, f in WORD_CUES if (w == cue if len(cue) <= 3 else w.startswith(cue))}
+        self.families = {f for w in words for cue, f in WORD_CUES if (w in (cue, cue + 's') if len(cue) <= 4 else w.startswith(cue))}
         if name in NAMED:
             self.families.add(NAMED[name])
         self.inline = name in PLAIN
@@ -101,53 +106,35 @@ class Page:
         self.pieces: list[tuple[int, int, str]] = []
         stack: list[tuple[str, int]] = [("html", 0)]
         opened: Counter[str] = Counter(html=1)
-        linked = block = at = 0
-        self.sizes, self.links = [0], [0]
-        raw = ""
-        read = 0
+        linked = muted = block = at = read = 0
+        self.sizes, self.links, self.prose = [0], [0], [0]
         while m := TOKEN.search(source, read):
-            read = m.end()
-            name = m[2]
-            if name and not m[1] and name.lower() in VERBATIM and not m[0].endswith("/>"):
-                read = self.end_of(source, name.lower(), read)
-                if not raw:
-                    if m.start() > at:
-                        self.piece(block, stack[-1][1], source[at : m.start()], linked)
-                    at = read
-                continue
-            if raw:  # nothing but the element's own end counts
-                if name and m[1] and name.lower() == raw:
-                    raw = ""
-                    at = read
-                continue
-            if m.start() > at:
+            if m.start() > at and not muted:
                 self.piece(block, stack[-1][1], source[at : m.start()], linked)
-            at = m.end()
-            if name is None:
+            read = m.end()
+            name = m[2] and m[2].lower()
+            if name and not m[1] and name in VERBATIM:
+                read = self.end_of(source, name, read)
+            at = read
+            if name is None or name in VERBATIM:
                 continue
-            name = name.lower()
             if m[1]:
                 if name in BLOCKS:
                     block += 1
-                if not opened[name] or len(stack) == 1:
-                    continue
-                while len(stack) > 1:
-                    last, _ = stack.pop()
-                    opened[last] -= 1
-                    linked -= last == "a"
-                    if last == name:
-                        break
+                if opened[name] and len(stack) > 1:
+                    while len(stack) > 1:
+                        last, _ = stack.pop()
+                        opened[last] -= 1
+                        if last == name:
+                            break
+                    linked, muted = opened["a"], sum(opened[x] for x in MUTE)
                 continue
             if name in VOID:
-                if name == "br":
+                if name == "br" and not muted:
                     self.pieces.append((block, stack[-1][1], " "))
                 block += name == "hr"
                 continue
-            if name in RAW:
-                if not m[0].endswith("/>"):
-                    raw = name
-                continue
-            if name == "html":
+            if name == "html" or (name in MUTE and m[0].endswith("/>")):
                 continue
             tag = tag_of(m[0], name)
             if tag.block:
@@ -156,9 +143,9 @@ class Page:
                     self.close(stack, opened, {"p"})
                 if name in ENDS:
                     self.close(stack, opened, ENDS[name])
-                linked = opened["a"]
+                linked, muted = opened["a"], sum(opened[x] for x in MUTE)
             node = stack[-1][1]
-            if tag.node:
+            if tag.node and not muted:
                 self.parents.append(node)
                 self.depths.append(self.depths[node] + 1)
                 above, (article, other) = self.tags[node], self.within[node]
@@ -167,10 +154,12 @@ class Page:
                 self.tags.append(tag)
                 self.sizes.append(0)
                 self.links.append(0)
+                self.prose.append(0)
             stack.append((name, node))
             opened[name] += 1
             linked += name == "a"
-        if not raw and at < len(source):
+            muted += name in MUTE
+        if not muted and at < len(source):
             self.piece(block, stack[-1][1], source[at:], linked)
 
     def piece(self, block: int, node: int, text: str, linked: int) -> None:
@@ -179,6 +168,8 @@ class Page:
         self.sizes[node] += n
         if linked:
             self.links[node] += n
+        elif n >= 60 or (n >= 20 and text.rstrip().endswith(SENTENCE)):
+            self.prose[node] += n
 
     @staticmethod
     def end_of(source: str, name: str, at: int) -> int:
@@ -224,16 +215,23 @@ class Forest:
         depth = np.concatenate([p.depths for p in pages])
         order = np.argsort(depth, kind="stable")
         self.levels = np.split(order, np.cumsum(np.bincount(depth))[:-1])
-        sizes, links = (np.array([x for p in pages for x in getattr(p, a)]) for a in ("sizes", "links"))
+        sizes, links, prose = (np.array([x for p in pages for x in getattr(p, a)]) for a in ("sizes", "links", "prose"))
+        self.prose, self.prose_in = prose, self.summed(prose)
+        links_in, sizes_in = self.summed(links), self.summed(sizes)
+        owner = np.repeat(np.arange(len(pages)), np.diff(firsts))
+        whole = self.prose_in[firsts[:-1]][owner]
+        share = self.prose_in / np.maximum(whole, 1)
+        up = np.maximum(self.parent, 0)
+        beside = (self.prose_in[up] - self.prose_in > 0) & (self.parent >= 0)
         tags = [t for p in pages for t in p.tags]
         ends = np.zeros(len(tags), bool)
         for p, f in zip(pages, firsts, strict=False):
             for _, node, text in p.pieces:
-                if text.rstrip().endswith((".", "!", "?", "。")):
+                if text.rstrip().endswith(SENTENCE):
                     ends[f + node] = True
         text = sizes > 0
         within = np.array([w for p in pages for w in p.within])
-        low = np.stack([within[:, 0], within[:, 1], text & (sizes < 25), sizes > 120, text & (2 * links > sizes), ends, ~text], 1)
+        low = np.stack([within[:, 0], within[:, 1], text & (sizes < 25), sizes > 120, text & (2 * links > sizes), ends, ~text, share > 0.5, (share > 0.1) & (share <= 0.5), (share <= 0.1) & (whole > 0), 2 * links_in > sizes_in, (share[up] > 0.5) & (share <= 0.5), beside, ~beside & (whole > 0)], 1)
         x = np.zeros((len(tags), len(FEATURES)), np.float32)
         for i, t in enumerate(tags):
             x[i, t.features] = 1
@@ -241,6 +239,13 @@ class Forest:
         self.x = x
         self.kind = np.array([t.kind for t in tags])
 
+    def summed(self, own: np.ndarray) -> np.ndarray:
+        """Each node's sum over its subtree."""
+        out = own.astype(np.int64)
+        for level in self.levels[:0:-1]:
+            np.add.at(out, self.parent[level], out[level])
+        return out
+
     def marginals(self, unary: np.ndarray, pair: np.ndarray):
         """(P(content) of each node, P(parent state, own state) of each, log of the partition sum); pair: (kind, parent, own)."""
         n = len(self.parent)
@@ -305,22 +310,40 @@ def labels_of(page: Page) -> np.ndarray:
     return out
 
 
-def named_labels(page: Page) -> np.ndarray | None:
-    """Labels of a page whose markup names one article: what lies in it, but for parts that name themselves otherwise."""
-    heads = [i for i, t in enumerate(page.tags) if t.name == "article"] or [i for i, t in enumerate(page.tags) if t.name == "main"]
-    if len(heads) != 1:
+def prose_labels(page: Page) -> np.ndarray | None:
+    """Labels by where prose stands together, whatever tags and names say: what the node holds whose own text and lines are the most prose.
+
+    Lines are children that are no groups. If its siblings of the same tag hold half as much together, they and it are
+    parts of what their parent holds. Parts that are mostly links are not content. None for a page without prose.
+    """
+    forest = Forest([page])
+    parent, prose, prose_in = forest.parent, forest.prose, forest.prose_in
+    lines = [t.name not in GROUPS and t.name not in SCOPE for t in page.tags]
+    held = prose.astype(np.int64)
+    for i in range(1, len(parent)):
+        if lines[i]:
+            held[parent[i]] += prose_in[i]
+    best = int(held.argmax())
+    if not held[best]:
         return None
-    out = np.zeros(len(page.tags), np.int64)
-    for i, (tag, up) in enumerate(zip(page.tags, page.parents, strict=True)):
-        if i == heads[0]:
-            out[i] = 1
-        elif up >= 0:
-            out[i] = out[up] and not (tag.families - {"body"})
+    while parent[best] > 0:
+        like = [i for i in np.flatnonzero(parent == parent[best]) if i != best and page.tags[i].name == page.tags[best].name]
+        if 2 * held[like].sum() < held[best]:
+            break
+        best = int(parent[best])
+    links = forest.summed(np.array(page.links)) * 2 > forest.summed(np.array(page.sizes))
+    out = np.zeros(len(parent), np.int64)
+    for i in range(len(parent)):
+        out[i] = i == best or (parent[i] >= 0 and out[parent[i]] and not (links[i] and not lines[i]))
     return out
 
 
-def built_pages(n: int = 200, seed: int = 4) -> list[str]:
-    """Pages built from labelled fragments: articles in several kinds of markup, with what stands around and inside them."""
+def built_pages(n: int = 320, seed: int = 4, styles: tuple[str, ...] = ("cues", "cues", "plain", "none")) -> list[str]:
+    """Pages built from labelled fragments: articles in several kinds of markup, with what stands around and inside them.
+
+    Only pages of the style `cues` have tags and names that say what a part is; `plain` ones have divs with names that
+    say nothing, `none` divs alone.
+    """
     draw = random.Random(seed)
     word = lambda: "".join(draw.choice("aeioubcdlmnrst") for _ in range(draw.randrange(2, 9)))
     words = lambda a, b: " ".join(word() for _ in range(draw.randrange(a, b)))
@@ -329,7 +352,13 @@ def built_pages(n: int = 200, seed: int = 4) -> list[str]:
     links = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(draw.randrange(2, 8))) + "</ul>"
     prose = lambda: " ".join(sentence() for _ in range(draw.randrange(1, 6)))
 
+    style = ["cues"]
+
     def attr(*cues: str) -> str:
+        if style[0] == "none":
+            return ""
+        if style[0] == "plain":  # a name that says nothing
+            return f' class="{word()}{draw.choice(["", "-" + word()])}"'
         return f' {draw.choice(["class", "id"])}="{draw.choice(["", "c-", "site-", "x_"])}{draw.choice(cues)}{draw.choice(["", "-box", " w3", "_1"])}"'
 
     def outside() -> str:
@@ -367,15 +396,25 @@ def built_pages(n: int = 200, seed: int = 4) -> list[str]:
                 lambda: f"<table><tr><th>{word()}</th><td>{words(1, 6)}</td></tr></table>",
                 lambda: f"<div><p>{prose()}</p></div>",
                 lambda: f"<section><h3>{words(1, 5)}</h3><p>{prose()}</p></section>",
+                lambda: f"<header><h1>{words(2, 7)}</h1><p>{words(2, 6)}</p></header>" if style[0] == "cues" else f"<p>{prose()}</p>",
+                lambda: f'<p class="{draw.choice(["message", "printable", "reading", "textual", "lead"])}">{prose()}</p>',
             ]
         )()
 
+    def unnamed(source: str) -> str:
+        return source if style[0] == "cues" else re.sub(r"(</?)(?:nav|header|footer|aside|section|article|main|form)\b", r"\1div", source)
+
     pages = []
     for _ in range(n):
-        parts = [f"<h1>{words(1, 9)}</h1>" * draw.randrange(2), *(inside() for _ in range(draw.randrange(1, 12)))]
-        for _ in range(draw.choice([0, 0, 1, 2])):
-            parts.insert(draw.randrange(1, len(parts) + 1), outside())
-        body = "".join(parts)
+        style[0] = draw.choice(styles)
+        parts = [f"<h1>{words(1, 9)}</h1>" * draw.randrange(2), *(inside() for _ in range(draw.randrange(1 if style[0] == "cues" else 4, 12)))]
+        for _ in range(draw.choice([0, 0, 1, 2]) if style[0] == "cues" else 0):
+            part = outside()
+            while part.startswith("<header"):  # inside an article its header belongs to it
+                part = outside()
+            parts.insert(draw.randrange(1, len(parts) + 1), part)
+        short = style[0] == "cues" and draw.random() < 0.2  # a short article and little else
+        body = draw.choice([f"<p>{sentence()}</p>", f"<p>{words(1, 5)}</p>", f"<h1>{words(1, 6)}</h1><p>{sentence()}</p>"]) if short else "".join(parts)
         body = draw.choice(
             [
                 lambda b: f"<article data-label=1>{b}</article>",
@@ -386,18 +425,24 @@ def built_pages(n: int = 200, seed: int = 4) -> list[str]:
                 lambda b: f"<div data-label=1{attr('article')}><div{attr('body', 'text')}>{b}</div></div>",
             ]
         )(body)
-        before, after = ("".join(outside() for _ in range(draw.randrange(0, 4))) for _ in range(2))
+        before, after = ("".join(outside() for _ in range(draw.randrange(0, 2 if short else 4))) for _ in range(2))
         wrap = draw.choice(["{}", "{}", "<div>{}</div>", '<div class="wrapper" data-label="0">{}</div>'])
-        pages.append(f"<html><body>{wrap.format(before + body + after)}</body></html>")
+        pages.append(unnamed(f"<html><body>{wrap.format(before + body + after)}</body></html>"))
     return pages
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = 100, max_chars: int = 200_000) -> Model:
-    """A model of the built pages and of at most `max_pages` pages that name their article: those of the smallest id hashes, each of at most `max_chars`."""
-    able = pages.where(F.col(f"`{id_col}`").isNotNull() & F.lower(F.col(f"`{html_col}`")).rlike("<(article|main)[ >]") & (F.length(f"`{html_col}`") <= max_chars))
-    few = able.select(F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("h"), F.col(f"`{html_col}`").alias("html")).orderBy("h", F.md5("html")).limit(max_pages)
+    """A model of the built pages and of at most `max_pages` pages of the table: those of the smallest id hashes, each of at most `max_chars`.
+
+    Only ids are ranked; then those pages are read. Pages without an id or html, and empty tables, give none; of
+    repeated rows as many count as fit; ties in the order are broken by the id's text.
+    """
+    named = F.col(f"`{id_col}`").cast("string")
+    able = pages.where(F.col(f"`{id_col}`").isNotNull() & (F.octet_length(F.col(f"`{html_col}`").cast("string")) <= max_chars))
+    ids = able.select(F.xxhash64(named).alias("h"), named.alias("id")).orderBy("h", "id").limit(max_pages).select("id").distinct()
+    few = able.select(named.alias("id"), F.col(f"`{html_col}`").cast("string").alias("html")).join(F.broadcast(ids), "id", "left_semi").limit(2 * max_pages).collect()
     held = [(p, labels_of(p)) for p in map(Page, built_pages())]
-    held += [(p, y) for p in (Page(r.html) for r in few.collect()) if (y := named_labels(p)) is not None]
+    held += [(p, y) for p in (Page(h) for h in sorted(r.html for r in few)[:max_pages]) if (y := prose_labels(p)) is not None]
     model = Model()
     model.fit(Forest([p for p, _ in held]), np.concatenate([y for _, y in held]))
     return model
