@@ -42,8 +42,8 @@ SIZE = len(FLOORS)
 EVERY = "all"
 #: Bins of the squared distance a doubling of 1 + d: rows of one bin differ by about one in a hundred.
 FINE = 64
-#: The determinant has settled when its logarithm moves by less.
-SETTLED = 1e-3
+#: The determinant has settled when a step lowers its logarithm by less.
+SETTLED = 1e-2
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -177,23 +177,24 @@ def estimates(rows: DataFrame, coverage: float, max_start: int, starts: int, max
             columns = [table.column("grp").to_pylist(), table.column("start").to_pylist(), [f[0].tolist() for f in fits], [f[1].ravel().tolist() for f in fits], [f[2] for f in fits]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()), strict=True)], names=["grp", "start", "mean", "inv", "logdet"])
 
-    best = lambda f: f.groupBy("grp").agg(F.min_by(F.struct("start", "mean", "inv", "logdet"), F.struct("logdet", "start")).alias("f")).select("grp", "f.*")
-    fit = written(sample.groupBy("grp").applyInArrow(search, FIT), "mcd")
-    for step in range(max_steps):
-        far = rows.join(fit.drop("logdet"), "grp").withColumn("bin", F.floor(F.log2(1 + distance()) * FINE).cast("int"))
+    active, settled = written(sample.groupBy("grp").applyInArrow(search, FIT), "mcd"), []
+    for _ in range(max_steps):
+        far = rows.join(active.drop("logdet"), "grp").withColumn("bin", F.floor(F.log2(1 + distance()) * FINE).cast("int"))
         sums = far.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)], *[F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"s{i}_{j}") for i, j in UPPER])
         own = Window.partitionBy("grp", "start")
         before = F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
         near = sums.withColumn("all", F.sum("n").over(own)).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < coverage * F.col("all"))
         held = near.groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(SIZE)], *[f"s{i}_{j}" for i, j in UPPER]]])
-        made = held.mapInArrow(solve, FIT)
-        made = written(best(made) if step == 1 else made, "mcd")  # two starts, until both have seen all rows
-        moved = made.join(fit.select("grp", "start", F.col("logdet").alias("was")), ["grp", "start"]).where(F.abs(F.col("logdet") - F.col("was")) > SETTLED)
-        settled = step > 0 and moved.isEmpty()
-        fit = made
-        if settled:
+        made = held.mapInArrow(solve, FIT).join(active.select("grp", "start", F.struct("mean", "inv", "logdet").alias("was")), ["grp", "start"])
+        # the sample's determinant is not that of all rows, so a first step always counts
+        moved = F.lit(True) if not settled else F.col("logdet") < F.col("was.logdet") - SETTLED
+        made = written(made.select("grp", "start", F.when(moved, F.struct("mean", "inv", "logdet")).otherwise(F.col("was")).alias("f"), moved.alias("moved")).select("grp", "start", "f.*", "moved"), "mcd")
+        settled.append(made.where("not moved").drop("moved"))
+        active = made.where("moved").drop("moved")
+        if active.isEmpty():
             break
-    fit = written(best(fit), "mcd")
+    fits = reduce(DataFrame.unionByName, [*settled, active])
+    fit = written(fits.groupBy("grp").agg(F.min_by(F.struct("mean", "inv", "logdet"), F.struct("logdet", "start")).alias("f")).select("grp", "f.*"), "mcd")
     scale = rows.join(fit, "grp").groupBy("grp").agg(F.percentile_approx(distance(), 0.5, 2000).alias("median"))
     return written(fit.join(scale, "grp").select("grp", "mean", "inv", F.greatest(F.col("median") / chi2_quantile(0.5), F.lit(1.0)).alias("scale")), "mcd")
 
