@@ -122,6 +122,17 @@ def texts(s: Spelling) -> dict[str, str]:
     }
 
 
+#: Derived tables that have been stored, by folder and name: what is timed on them does not include making them.
+STORED: dict[tuple[str, str], str] = {}
+
+
+def store(spark: SparkSession, sf_dir: str, names: list[str], path: str) -> None:
+    """Write derived tables of `sf_dir` under `path`; Data reads them from there from now on."""
+    for name in names:
+        getattr(Data(spark, sf_dir), name).write.parquet(f"{path}/{name}")
+        STORED[sf_dir, name] = f"{path}/{name}"
+
+
 class Data:
     """The general and derived tables of one folder as DataFrames."""
 
@@ -137,6 +148,8 @@ class Data:
             return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         if name not in self.texts:
             raise AttributeError(name)
+        if (self.dir, name) in STORED:
+            return self.spark.read.parquet(STORED[self.dir, name])
         if name not in self.made:
             text = self.texts[name].replace("{", "{{").replace("}", "}}")
             used = {t for t in re.findall(NAME, text) if t in BASE or t in self.texts}
