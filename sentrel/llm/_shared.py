@@ -44,10 +44,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Tables that the operators at work have written, innermost operator last.
+_passing: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is `written` within is deleted at the end; results that outlast it are written with `keep`."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage, survives a lost executor."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if _passing and not keep:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

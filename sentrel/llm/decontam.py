@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._shared import as_bytes, col_of, in_small_batches, map_texts, row_key, slices, without_rows, written
+from ._shared import as_bytes, col_of, in_small_batches, map_texts, passing, row_key, slices, without_rows, written
 
 #: Bytes of a word: digits, letters (A-Z become a-z) and all beyond ASCII; others become a space.
 TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -145,24 +145,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     row, and rows that share an id are each judged by their own text. A very long text is one row of one task; other
     columns, whatever their names, are not read.
     """
-    windows = written(windows_of(benchmark, item_col, item_text_col, size), "windows")
-    sizes = sorted(r.n for r in windows.select("n").distinct().collect())
-    passed = written(candidates(docs, hash_set(windows.select("h").distinct()), sizes, id_col, text_col), "candidates")
-    able = passed.where(F.size("found") > 0)
-    maybe = able.select("print", F.inline("found")).distinct()
-    same = ["n", "h", "words"]
-    spans = maybe.join(windows.select(*same).distinct(), same, "left_semi").select("print", "start", (F.col("start") + F.col("n")).alias("end"))
-    ordered = Window.partitionBy("print").orderBy("start", "end")
-    reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    united = spans.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    united = united.groupBy("print", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    hits = united.groupBy("print").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("hits"), F.sum(F.col("end") - F.col("start")).alias("n_hit"))
-    items = maybe.join(windows, same).select("print", "item").distinct().groupBy("print").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    held = written(hits.join(items, "print", "left"), "hits")
-    none = [F.array().cast(held.schema["hits"].dataType), F.lit(0).cast("long"), F.array().cast(held.schema["items"].dataType)]
-    plain = passed.where(F.size("found") == 0).select("doc_id", "n_words", *[c.alias(n) for c, n in zip(none, ("hits", "n_hit", "items"), strict=True)])
-    some = able.select("doc_id", "n_words", "print").join(held, "print", "left").select("doc_id", "n_words", *[F.coalesce(F.col(n), c).alias(n) for c, n in zip(none, ("hits", "n_hit", "items"), strict=True)])
-    return plain.unionByName(some).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    with passing(docs.sparkSession):
+        windows = written(windows_of(benchmark, item_col, item_text_col, size), "windows")
+        sizes = sorted(r.n for r in windows.select("n").distinct().collect())
+        passed = written(candidates(docs, hash_set(windows.select("h").distinct()), sizes, id_col, text_col), "candidates")
+        able = passed.where(F.size("found") > 0)
+        maybe = able.select("print", F.inline("found")).distinct()
+        same = ["n", "h", "words"]
+        spans = maybe.join(windows.select(*same).distinct(), same, "left_semi").select("print", "start", (F.col("start") + F.col("n")).alias("end"))
+        ordered = Window.partitionBy("print").orderBy("start", "end")
+        reach = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+        united = spans.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        united = united.groupBy("print", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        hits = united.groupBy("print").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("hits"), F.sum(F.col("end") - F.col("start")).alias("n_hit"))
+        items = maybe.join(windows, same).select("print", "item").distinct().groupBy("print").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        held = written(hits.join(items, "print", "left"), "hits")
+        none = [F.array().cast(held.schema["hits"].dataType), F.lit(0).cast("long"), F.array().cast(held.schema["items"].dataType)]
+        plain = passed.where(F.size("found") == 0).select("doc_id", "n_words", *[c.alias(n) for c, n in zip(none, ("hits", "n_hit", "items"), strict=True)])
+        some = able.select("doc_id", "n_words", "print").join(held, "print", "left").select("doc_id", "n_words", *[F.coalesce(F.col(n), c).alias(n) for c, n in zip(none, ("hits", "n_hit", "items"), strict=True)])
+        return written(plain.unionByName(some).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))), "contamination", keep=True)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from ._shared import BROADCAST_IDS, as_bytes, col_of, map_texts, row_key, without_ids, without_rows, written
+from ._shared import BROADCAST_IDS, as_bytes, col_of, map_texts, passing, row_key, without_ids, without_rows, written
 
 WORDS = 5
 MINIMA, BANDS = 128, 32
@@ -225,31 +225,56 @@ def selected(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
     return written(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi"), "texts")
 
 
-def block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links (a, b) across the components of one block, or between two blocks, of a bucket: enough to join what is linked.
+class Block:
+    """The members of one block of a bucket, or of two blocks that meet: which pairs are to be looked at here.
 
-    A pair that shares several bands is looked at in the first of them only.
+    A pair that shares several bands is looked at in the first of them only; sizes and signatures must allow a link,
+    and the members' components must differ.
     """
-    pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    ids, n, block = pdf["doc_id"].to_numpy(), pdf["n_shingles"].to_numpy(), pdf["own"].to_numpy()
-    within, band = pdf["i"].iloc[0] == pdf["j"].iloc[0], pdf["band"].iloc[0]
-    _, comp = np.unique(pdf["component"].to_numpy(), return_inverse=True)
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), MINIMA)
-    bands = np.stack(pdf["bands"].to_list())
-    sets = shingle_sets(pdf["text"].to_list())
+
+    def __init__(self, pdf: pd.DataFrame, percent: int):
+        self.pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
+        self.n, self.block = self.pdf["n_shingles"].to_numpy(), self.pdf["own"].to_numpy()
+        self.within, self.band, self.percent = self.pdf["i"].iloc[0] == self.pdf["j"].iloc[0], self.pdf["band"].iloc[0], percent
+        _, self.comp = np.unique(self.pdf["component"].to_numpy(), return_inverse=True)
+        self.sig = np.frombuffer(b"".join(self.pdf["sig"]), np.uint16).reshape(len(self.pdf), MINIMA)
+        self.bands = np.stack(self.pdf["bands"].to_list())
+
+    def after(self, k: int) -> np.ndarray:
+        """The later members that member k is to be compared with."""
+        rest = np.arange(k + 1, len(self.pdf))
+        rest = rest[(self.comp[rest] != self.comp[k]) & (100 * np.minimum(self.n[rest], self.n[k]) >= self.percent * np.maximum(self.n[rest], self.n[k]))]
+        if not self.within:
+            rest = rest[self.block[rest] != self.block[k]]
+        if len(rest):
+            rest = rest[(self.sig[rest] == self.sig[k]).mean(axis=1) >= AT_LEAST]
+        if len(rest):
+            rest = rest[self.bands[rest, (self.bands[rest] == self.bands[k]).argmax(axis=1)] == self.band]
+        return rest
+
+
+def block_candidates(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The members of a block that have someone to be compared with: (band, i, j, doc_id). Whole texts are fetched for these alone."""
+    block = Block(pdf, percent)
+    needed = np.zeros(len(pdf), bool)
+    for k in range(len(pdf) - 1):
+        rest = block.after(k)
+        needed[rest] = True
+        needed[k] |= len(rest) > 0
+    return block.pdf.loc[needed, ["band", "i", "j", "doc_id"]]
+
+
+def block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) across the components of one block, or between two blocks, of a bucket: enough to join what is linked."""
+    block = Block(pdf, percent)
+    ids, comp = block.pdf["doc_id"].to_numpy(), block.comp
+    sets = shingle_sets(block.pdf["text"].to_list())
     number, flat = np.unique(np.concatenate(sets), return_inverse=True)
     own = np.split(flat, np.cumsum([len(x) for x in sets])[:-1])
     mark = np.zeros(len(number), bool)
     a, b = [], []
-    for k in range(len(pdf) - 1):
-        rest = np.arange(k + 1, len(pdf))
-        rest = rest[(comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))]
-        if not within:
-            rest = rest[block[rest] != block[k]]
-        if len(rest):
-            rest = rest[(sig[rest] == sig[k]).mean(axis=1) >= AT_LEAST]
-        if len(rest):
-            rest = rest[bands[rest, (bands[rest] == bands[k]).argmax(axis=1)] == band]
+    for k in range(len(block.pdf) - 1):
+        rest = block.after(k)
         if not len(rest):
             continue
         mark[own[k]] = True
@@ -267,19 +292,22 @@ def block_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 def across(buckets: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The links that are still missing between components whose members share a bucket, confirmed on the full sets.
 
-    Members of a bucket meet in blocks of about BLOCK, so that no task holds a whole bucket; links come out, not pairs.
+    Members of a bucket meet in blocks of about BLOCK, so that no task holds a whole bucket; links come out, not
+    pairs. They meet by their signatures first; only those that then have someone to be compared with bring texts.
     """
     labelled = buckets.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     labelled = written(labelled, "labelled")
     open_ = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("band", "n")
-    rows = written(labelled.join(open_, "band"), "open")
-    texts = selected(docs, rows.select("doc_id"), id_col, text_col)
-    full = reps.select("doc_id", "n_shingles", "sig", "bands").join(texts, "doc_id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("doc_id"), blocks)
     others = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    dealt = rows.select("band", "doc_id", "component", own.alias("own"), F.explode(others).alias("at")).select("band", "doc_id", "component", "own", "at.i", "at.j").join(full, "doc_id")
+    rows = labelled.join(open_, "band").select("band", "doc_id", "component", own.alias("own"), others.alias("others")).join(reps.select("doc_id", "n_shingles", "sig", "bands"), "doc_id")
+    rows = written(rows, "open")
+    members = rows.select("band", "doc_id", "component", "own", "n_shingles", "sig", "bands", F.inline("others"))
     kind = reps.schema["doc_id"].dataType.simpleString()
+    needed = written(members.groupBy("band", "i", "j").applyInPandas(lambda pdf: block_candidates(pdf, percent), f"band long, i long, j long, doc_id {kind}"), "needed")
+    texts = selected(docs, needed.select("doc_id"), id_col, text_col)
+    dealt = needed.join(rows.drop("others"), ["band", "doc_id"]).join(texts, "doc_id")
     return dealt.groupBy("band", "i", "j").applyInPandas(lambda pdf: block_links(pdf, percent), f"a {kind}, b {kind}").distinct()
 
 
@@ -291,25 +319,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id have component_id null and are kept, and link nothing. Ids should be unique; of rows that share one
     but not a text, each gets the component of its own text. Other columns of `docs` are not read.
     """
-    sigs = written(signatures(docs, id_col, text_col), "signatures")
-    key = ["n_shingles", "print1", "print2"]
-    able = sigs.where("doc_id is not null and n_shingles > 0")
-    classes = written(able.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = written(able.join(classes, key).where("doc_id = rep").dropDuplicates(["doc_id", *key]).select("doc_id", "n_shingles", "bands", "sig"), "reps")
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi")
-    buckets = written(banded.join(shared, "band"), "buckets")
-    ends = lambda c: buckets.select(F.least("doc_id", c).alias("a"), F.greatest("doc_id", c).alias("b")).where("a != b")
-    tested = written(ends("lo").unionByName(ends("hi")).distinct(), "candidates")
-    edges = written(confirmed(verified(tested, reps, percent), docs, id_col, text_col, percent), "links")
-    comps = components(edges)
-    more = written(across(buckets.where("n >= 4").select("band", "doc_id"), comps, reps, docs, id_col, text_col, percent), "links")
-    if not more.isEmpty():
-        comps = components(edges.unionByName(more))
-    rep = sigs.select("doc_id", *key).join(classes.withColumnsRenamed({k: f"c_{k}" for k in key}), [F.col(k) == F.col(f"c_{k}") for k in key], "left")
-    found = rep.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "rep", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    with passing(docs.sparkSession):
+        sigs = written(signatures(docs, id_col, text_col), "signatures")
+        key = ["n_shingles", "print1", "print2"]
+        able = sigs.where("doc_id is not null and n_shingles > 0")
+        classes = written(able.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
+        reps = written(able.join(classes, key).where("doc_id = rep").dropDuplicates(["doc_id", *key]).select("doc_id", "n_shingles", "bands", "sig"), "reps")
+        banded = reps.select("doc_id", F.explode("bands").alias("band"))
+        shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi")
+        buckets = written(banded.join(shared, "band"), "buckets")
+        ends = lambda c: buckets.select(F.least("doc_id", c).alias("a"), F.greatest("doc_id", c).alias("b")).where("a != b")
+        tested = written(ends("lo").unionByName(ends("hi")).distinct(), "candidates")
+        edges = written(confirmed(verified(tested, reps, percent), docs, id_col, text_col, percent), "links")
+        comps = components(edges)
+        more = written(across(buckets.where("n >= 4").select("band", "doc_id"), comps, reps, docs, id_col, text_col, percent), "links")
+        if not more.isEmpty():
+            stars = comps.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comps = components(stars.unionByName(more))  # what is joined stays joined: only the stars move on
+        rep = sigs.select("doc_id", *key).join(classes.withColumnsRenamed({k: f"c_{k}" for k in key}), [F.col(k) == F.col(f"c_{k}") for k in key], "left")
+        found = rep.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+        component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "rep", "doc_id"))
+        return written(found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "duplicates", keep=True)
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._shared import as_bytes, col_of, map_texts, row_key, without_rows, written
+from ._shared import as_bytes, col_of, map_texts, passing, row_key, without_rows, written
 
 #: Fixed by the contract: white space, and the characters that count as symbols.
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -224,12 +224,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty texts have no words, so they fail; null languages or sources are groups of their own; a null id stays null;
     repeated rows each get a row. Other columns are not read.
     """
-    stats = written(measured(docs, id_col, text_col, lang_col, source_col), "statistics")
-    with_x = stats.select("*", *[x.alias(f"x{i}") for i, x in enumerate(vector())], base_failed().alias("base_failed"))
-    fit = pooled_estimates(with_x.where("not base_failed"), stats, least, coverage, max_start, starts, max_steps)
-    far = with_x.join(fit, "grp", "left").withColumn("distance", distance() / F.col("scale"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(1 - tail), F.lit(True))
-    return far.select("doc_id", *STATS, "base_failed", "distance", kept.alias("kept"))
+    with passing(docs.sparkSession):
+        stats = written(measured(docs, id_col, text_col, lang_col, source_col), "statistics")
+        with_x = stats.select("*", *[x.alias(f"x{i}") for i, x in enumerate(vector())], base_failed().alias("base_failed"))
+        fit = pooled_estimates(with_x.where("not base_failed"), stats, least, coverage, max_start, starts, max_steps)
+        far = with_x.join(fit, "grp", "left").withColumn("distance", distance() / F.col("scale"))
+        kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(1 - tail), F.lit(True))
+        return written(far.select("doc_id", *STATS, "base_failed", "distance", kept.alias("kept")), "verdicts", keep=True)
 
 
 def without_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
