@@ -1,7 +1,10 @@
 """From raw documents to token ids: rules, near duplicates, benchmark passages, secrets, encoding.
 
 Each stage reads all that its predecessor kept, written as Parquet to the shared folder, and its decisions take
-effect. All but the last return the columns of `documents`.
+effect. All but the last return the columns of `documents`, further ones whatever their names too. Rows are judged by
+their own values, also where ids are null or repeat: null and empty texts fail the quality rules; in near-dedup rows
+of a null id all stay, and of rows that share id and text one does. Whole texts are read, however long. An empty table
+passes all stages.
 """
 
 from __future__ import annotations

@@ -103,7 +103,13 @@ def rated(docs: DataFrame, ratings: DataFrame, grade, id_col: str, text_col: str
 
 
 def train(docs: DataFrame, ratings: DataFrame, grade, id_col: str = "doc_id", text_col: str = "text", max_rated: int = 6000) -> Ordinal | None:
-    """A classifier from `ratings`; `grade` is a column of them that gives 0, 1, ... A document that is rated twice counts with its lower grade."""
+    """A classifier from `ratings`; `grade` is a column of them that gives 0, 1, ...
+
+    A document that is rated twice counts with its lower grade; ratings of a null id or grade, and of ids that no
+    document has, do not count; documents that share a rated id each count. At most about `max_rated` ratings train,
+    those of the smallest id hashes, ties by id. Null and empty texts have no features. With an empty table, or one
+    grade only, there is no model (None).
+    """
     return fit(*rated(docs, ratings, grade, id_col, text_col, max_rated))
 
 

@@ -1,4 +1,7 @@
-"""The thin registered queries of the training-data operators, with SQL where it can express them."""
+"""The thin registered queries of the training-data operators, with SQL where it can express them.
+
+`op1_secrets` and `op7_rules` return more than SQL can express; `secrets_base` and `rules_base` are what it can of them.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,10 @@ from . import bpe, chat, decontam, extract, langid, minhash, quality, rules, sec
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The order of the ratings as what selection wants: a toxic document is never wanted, whatever its quality, so it ranks below a poor one.
+GRADE = "case when toxic = 1 then 0 when quality = 0 then 1 when quality = 1 then 2 end"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,9 +53,7 @@ def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    # the order of the ratings: toxic, poor, good
-    grade = F.expr("case when toxic = 1 then 0 when quality = 0 then 1 when quality = 1 then 2 end")
-    return quality.grade_documents(docs, quality.train(docs, table(spark, sf_dir, "labels"), grade))
+    return quality.grade_documents(docs, quality.train(docs, table(spark, sf_dir, "labels"), F.expr(GRADE)))
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +75,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op1 alone, for the SQL."""
+    return op1_secrets(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in secrets.KINDS])
+
+
+def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and the base verdict of op7 alone, for the SQL."""
+    return op7_rules(spark, sf_dir).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_decontam": op2_decontam,
@@ -81,6 +96,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
+    "secrets_base": secrets_base,
+    "rules_base": rules_base,
 }
 
-SQL: dict[str, str] = {}
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+NO_BLANKS = r"'[^\x20\x09-\x0D]+'"
+SQL: dict[str, str] = {
+    "op2_decontam": rf"""with words as (select doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        item as (select item_id, w, least(13, len(w)) as n from (select item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark) b where len(w) > 0),
+        part as (select distinct item_id, n, w[i : i + n - 1] as g from (select *, unnest(range(1, len(w) - n + 2)) as i from item) q),
+        place as (select doc_id, n, i, w[i : i + n - 1] as g from (select *, unnest(range(1, len(w) - n + 2)) as i from words cross join (select distinct n from item) s where len(w) >= n) q),
+        hit as (select p.doc_id, p.i, p.n, a.item_id from place p join part a on p.n = a.n and p.g = a.g),
+        hits as (select doc_id, count(distinct spot) as n_hit from (select doc_id, unnest(range(i, i + n)) as spot from hit) q group by 1),
+        items as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, cast(item_id as varchar) as item_id from hit) q group by 1)
+        select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(i.n_items, 0) as n_items, sha256(coalesce(i.ids, '')) as items_sha256, coalesce(h.n_hit > 0 and 20 * h.n_hit >= len(w.w), false) as contaminated
+        from words w left join hits h on w.doc_id = h.doc_id left join items i on w.doc_id = i.doc_id""",
+    "op9_warc": """with page as (select page_id, coalesce(html, '') as html, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes from pages),
+        best as (select html, max(page_id) as winner from page where payload_bytes >= 1000 group by 1)
+        select p.page_id, p.payload_bytes, sha1(p.html) as payload_digest, case when b.winner != p.page_id then 'revisit' else 'response' end as record_type, case when b.winner != p.page_id then b.winner end as refers_to
+        from page p left join best b on p.html = b.html and p.payload_bytes >= 1000""",
+    "op10_minhash": rf"""with recursive words as (select doc_id, regexp_extract_all({LOWERED}, {NO_BLANKS}) as w from documents),
+        shingle as (select distinct doc_id, array_to_string(case when len(w) >= 5 then w[i : i + 4] else w end, ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0) q),
+        size as (select doc_id, count(*) as n from shingle group by 1),
+        shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingle a join shingle b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+        link as (select s.a, s.b from shared s join size x on s.a = x.doc_id join size y on s.b = y.doc_id where 100 * s.n >= 75 * (x.n + y.n - s.n)),
+        way as (select a, b from link union all select b, a from link),
+        reached as (select doc_id, doc_id as other from documents union select r.doc_id, w.b from reached r join way w on r.other = w.a),
+        component as (select doc_id, min(other) as component_id from reached group by 1)
+        select d.doc_id, coalesce(s.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept from documents d join component c on d.doc_id = c.doc_id left join size s on d.doc_id = s.doc_id""",
+    "secrets_base": r"""select doc_id, cast(len(list_filter(regexp_extract_all(coalesce(text, ''), '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: len(v) >= 6)) as bigint) as n_assign,
+        cast(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: len(v) >= 20)) as bigint) as n_access, cast(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: len(v) >= 24)) as bigint) as n_hex from documents""",
+    "rules_base": rf"""with words as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), {NO_BLANKS}) as w from documents),
+        line as (select doc_id, count(*) - count(distinct x) as n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) as x from words) q where regexp_matches(x, {NO_BLANKS}) group by 1),
+        part as (select doc_id, i, w[i : i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from words where len(w) >= 3) q),
+        again as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from part) q where n >= 2),
+        repeated as (select doc_id, count(distinct spot) as n_repeat_words from (select doc_id, unnest(range(i, i + 3)) as spot from again) q group by 1)
+        select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) as bigint) as word_chars, cast(len(regexp_extract_all(w.t, '[#*$%&|<>]')) as bigint) as n_symbols, coalesce(l.n_dup_lines, 0) as n_dup_lines, coalesce(r.n_repeat_words, 0) as n_repeat_words,
+        len(w.w) < 50 or 100 * coalesce(r.n_repeat_words, 0) > 50 * len(w.w) as base_failed from words w left join line l on w.doc_id = l.doc_id left join repeated r on w.doc_id = r.doc_id""",
+}

@@ -79,6 +79,39 @@ def test_grades(spark):
     assert kept[(1, 0)][0] > 0.97 and kept[(1, 1)][0] < 0.1 and kept[(0, 0)][0] < 0.2
 
 
+def test_grades_held_out(spark):
+    """Two thirds of the ratings train, the others judge."""
+    docs, ratings = queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels").withColumn("out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    model = quality.train(docs, ratings.where("not out"), F.expr(queries.GRADE))
+    got = quality.grade_documents(docs, model).join(ratings.where("out"), "doc_id").select("grade", "tail", F.expr(queries.GRADE).alias("true")).where("true is not null").collect()
+    by = {g: [r for r in got if r.true == g] for g in range(3)}
+    assert all(len(v) > 10 for v in by.values())
+    mean = [np.mean([r.grade for r in by[g]]) for g in range(3)]
+    assert mean[0] + 0.3 < mean[1] and mean[1] + 0.3 < mean[2]
+    assert np.mean([(r.tail >= 0.5) == (r.true == 2) for r in got]) > 0.9
+
+
+def test_likelihood_against_differences():
+    """At the fitted weights no single weight or threshold can be moved to a better penalised likelihood."""
+    draw = np.random.default_rng(8)
+    grades = draw.integers(0, 3, 300)
+    rows = [sorted({int(g) * 5 + int(k) for k in draw.integers(0, 8, 4)}) for g in grades]
+    model = quality.fit(rows, grades, steps=1500)
+
+    def loss(weight, limits):
+        score = np.array([sum(weight.get(b, 0.0) for b in r) for r in rows])
+        cdf = quality.sigmoid(np.c_[np.full(300, -50.0), limits[None, :] - score[:, None], np.full(300, 50.0)])
+        return -np.log(cdf[np.arange(300), grades + 1] - cdf[np.arange(300), grades]).mean() + 1e-4 * sum(w * w for w in weight.values())
+
+    best = loss(model.weight, model.thresholds)
+    for b in list(model.weight)[:6]:
+        for step in (0.3, -0.3):
+            assert loss(model.weight | {b: model.weight[b] + step}, model.thresholds) > best - 1e-4
+    for k in range(2):
+        for step in (0.2, -0.2):
+            assert loss(model.weight, model.thresholds + step * (np.arange(2) == k)) > best - 1e-4
+
+
 def test_ordinal_fit_orders_grades():
     draw = np.random.default_rng(4)
     grades = draw.integers(0, 4, 600)
@@ -107,5 +140,5 @@ def test_every_language_is_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     able = {r.lang for r in docs.where(~langid.held_out("doc_id")).collect()}
     assert len(able) > 64 and langid.train(docs, epochs=1).labels == sorted(able)
-    words, langs = langid.sample(docs, "doc_id", "text", "lang", 2, 40)
+    words, langs = langid.sample(docs, "doc_id", "text", "lang", 2, 40, 48)
     assert len(words) == len(langs) and len(set(langs)) > 64

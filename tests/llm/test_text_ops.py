@@ -81,6 +81,35 @@ def test_formats_of_letters_or_digits_alone(spark, letters, length):
     assert all(clean[1000 + i] == f"see [format] and {words[i]}" for i in range(2))
 
 
+def test_formats_precision_and_recall(spark):
+    """Unlabelled credentials of the labelled formats among ordinary tokens, dates, addresses and names."""
+    import random
+
+    draw = random.Random(12)
+    mixed = lambda n: "".join(draw.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n))
+    word = lambda: "".join(draw.choice(["an", "the", "ing", "or", "re", "st", "e"]) for _ in range(draw.randrange(2, 6)))
+    plain = lambda: draw.choice([word, word, word, lambda: word().capitalize(), lambda: f"20{draw.randrange(10, 25)}-0{draw.randrange(1, 9)}-{draw.randrange(10, 28)}", lambda: f"{draw.randrange(1, 250)}.{draw.randrange(250)}.{draw.randrange(250)}.{draw.randrange(1, 250)}", lambda: f"{word()}.{word()}/{word()}", lambda: f"555-{draw.randrange(1000, 9999)}"])()
+    rows = [(i, f'password = "{mixed(draw.randrange(14, 32))}" ' + " ".join(plain() for _ in range(40))) for i in range(300)]
+    planted = {1000 + i: mixed(draw.randrange(14, 32)) for i in range(200)}
+    rows += [(d, " ".join([*(plain() for _ in range(20)), v, *(plain() for _ in range(20))])) for d, v in planted.items()]
+    got = {r.doc_id: [s.value for s in r.spans if s.kind == "format"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(v in got[d] for d, v in planted.items())
+    false = sum(len(v) for v in got.values()) - hit
+    assert hit > 0.75 * len(planted) and false < 0.02 * hit
+
+
+def test_no_secret_is_written(spark, monkeypatch):
+    from sentrel.llm import _shared
+
+    def refuse(*_):
+        raise AssertionError("a table was written")
+
+    monkeypatch.setattr(_shared, "scratch_path", refuse)
+    docs = spark.createDataFrame([(i, f"token = s3cretvalue{i:04} and words stand here") for i in range(50)], "doc_id long, text string")
+    assert len(secrets.scan_secrets(docs).collect()) == 50 and "s3cretvalue" not in secrets.redact(docs).first().text
+    assert "s3cret" not in str(secrets.samples(docs, "text", dict.fromkeys(secrets.KINDS, 300) | {"ordinary": 300}, 96))
+
+
 def test_automaton_merges():
     a = secrets.infer([b"9h" * n for n in range(1, 30)] * 4)
     assert len(a.ends) <= 6
@@ -142,6 +171,20 @@ def test_bpe_matches_library(spark, sf_dir):
         assert got[d].decoded_sha256 == sha(lib.decode(ids, skip_special_tokens=False))
 
 
+def test_bpe_code_points():
+    """Every code point that is a letter or gets lower case in one Unicode version only, and each seventh other one."""
+    lib = Tokenizer.from_file(path("word_bpe_49k.json"))
+    odd = {c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c in bpe.NEW_LOWER or (c < 0x32400 and bpe.LATE.match(chr(c))) or c % 7 == 0)}
+    encoder = bpe.Encoder(bpe.vocabulary(queries.VOCABULARY), True, True)
+    points = sorted(odd)
+    for k in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}B {chr(c)}{chr(c)}" for c in points[k : k + 20_000]]
+        counts, ids, tokens = encoder.encode(texts)
+        for text, n, own, shown, want in zip(texts, counts, ids, tokens, lib.encode_batch(texts, add_special_tokens=False)):
+            assert (n, own) == (len(want.ids), " ".join(map(str, want.ids))), ascii(text)
+        assert tokens[-1] == lib.decode(want.ids, skip_special_tokens=False)
+
+
 def test_bpe_edges(spark, edges):
     lib = Tokenizer.from_file(path("word_bpe_49k.json"))
     coded = bpe.encode(edges, queries.VOCABULARY)
