@@ -71,7 +71,8 @@ def earlier(batch: DataFrame, stored: DataFrame, rules: list[Rule]) -> DataFrame
     first = span.first - dt.timedelta(minutes=max(minutes for _, minutes in wanted))
     near = stored.where((F.col("ts") >= F.lit(first)) & (F.col("ts") <= F.lit(span.last)))
     if "event_date" in stored.columns:
-        near = near.where((F.col("event_date") >= F.lit(first.date())) & (F.col("event_date") <= F.lit(span.last.date())))
+        day = dt.timedelta(days=1)  # days are those of the session's zone, dates here of the driver's
+        near = near.where((F.col("event_date") >= F.lit(first.date() - day)) & (F.col("event_date") <= F.lit(span.last.date() + day)))
     near = near.select("event_id", "ts", "source_ip", "username").join(batch.select("event_id"), "event_id", "left_anti")
     own = [near.join(batch.select(key).where(f"{key} != ''").distinct(), key, "left_semi").select("event_id", "ts", "source_ip", "username") for key in sorted({key for key, _ in wanted})]
     return own[0] if len(own) == 1 else own[0].unionByName(own[1])
