@@ -81,14 +81,14 @@ def test_grades(spark):
 
 def test_grades_held_out(spark):
     """Two thirds of the ratings train, the others judge."""
-    docs, ratings = queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels").withColumn("out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    docs, ratings = (queries.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    ratings = ratings.withColumn("out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
     model = quality.train(docs, ratings.where("not out"), F.expr(queries.GRADE))
-    got = quality.grade_documents(docs, model).join(ratings.where("out"), "doc_id").select("grade", "tail", F.expr(queries.GRADE).alias("true")).where("true is not null").collect()
-    by = {g: [r for r in got if r.true == g] for g in range(3)}
-    assert all(len(v) > 10 for v in by.values())
-    mean = [np.mean([r.grade for r in by[g]]) for g in range(3)]
+    got = quality.grade_documents(docs, model).join(ratings.where("out"), "doc_id").select("grade", "kept", "quality", F.expr(queries.GRADE).alias("true")).where("true is not null").collect()
+    mean = [np.mean([r.grade for r in got if r.true == g]) for g in range(3)]
     assert mean[0] + 0.3 < mean[1] and mean[1] + 0.3 < mean[2]
-    assert np.mean([(r.tail >= 0.5) == (r.true == 2) for r in got]) > 0.9
+    kept = lambda g: np.mean([r.kept for r in got if r.true == g])
+    assert kept(2) > 0.98 and kept(1) < 0.3 and kept(0) < 0.15
 
 
 def test_likelihood_against_differences():
@@ -101,7 +101,7 @@ def test_likelihood_against_differences():
     def loss(weight, limits):
         score = np.array([sum(weight.get(b, 0.0) for b in r) for r in rows])
         cdf = quality.sigmoid(np.c_[np.full(300, -50.0), limits[None, :] - score[:, None], np.full(300, 50.0)])
-        return -np.log(cdf[np.arange(300), grades + 1] - cdf[np.arange(300), grades]).mean() + 1e-4 * sum(w * w for w in weight.values())
+        return -np.log(cdf[np.arange(300), grades + 1] - cdf[np.arange(300), grades]).mean() + 3e-4 * sum(map(abs, weight.values()))
 
     best = loss(model.weight, model.thresholds)
     for b in list(model.weight)[:6]:
