@@ -63,11 +63,3 @@ def infer_type(message: Column, lowered: bool = False) -> Column:
     for kind, category, words in TYPE_WORDS[1:]:
         out = out.when(mentions(low, words), made(kind, category))
     return out.otherwise(made(*DEFAULT_TYPE))
-
-
-def syslog_part(payload: Column, group: int) -> Column:
-    return or_null(F.regexp_extract(payload, SYSLOG, group))
-
-
-def username_of(message: Column) -> Column:
-    return F.coalesce(or_null(F.regexp_extract(message, USER_BY_NAME, 1)), or_null(F.regexp_extract(message, USER_BY_PHRASE, 1)))

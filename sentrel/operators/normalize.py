@@ -47,11 +47,13 @@ def normalize_events(logs: DataFrame) -> DataFrame:
     rows = rows.select("*", F.inline_outer(F.array(parsed)).alias(*[f"__j_{n}" for n in names], BROKEN))
     rows = rows.withColumn("__whole", F.col("__object") & F.col(BROKEN).isNull())
     field = lambda name: F.when(F.col("__whole"), F.coalesce(*[F.col(f"__j_{n}") for n in ALIASES[name]]))
-    line = lambda k: F.when(F.col("__syslog"), T.syslog_part(p, k))
+    rows = once(rows, **{f"__g{k}": F.when(F.col("__syslog"), F.regexp_extract(p, T.SYSLOG, k)) for k in (2, 3, 4)})
+    line = lambda k: T.or_null(F.col(f"__g{k}"))
     rows = once(rows, __m=F.when(F.col("__syslog"), F.coalesce(line(4), p)).otherwise(F.coalesce(field("message"), p, F.lit(""))), __p=F.when(~F.col("__syslog"), F.when(F.col("__whole"), p).otherwise(safe_json(p))), __src=field("source_ip"), __dst=field("destination_ip"), __host=F.coalesce(line(2), field("hostname")))
     searched = F.when(F.col("__syslog"), m).otherwise(F.concat_ws(" ", m, "__p"))
     rows = once(rows, __low=F.lower(m), __ips=F.when(F.col("__src").isNull() | F.col("__dst").isNull(), T.extract_ips(searched)))
-    rows = once(rows, __t=T.infer_type(F.col("__low"), lowered=True))
+    rows = once(rows, __t=T.infer_type(F.col("__low"), lowered=True), __u1=F.when(F.col("__syslog"), F.regexp_extract(m, T.USER_BY_NAME, 1)))
+    rows = once(rows, __u2=F.when(F.col("__u1") == "", F.regexp_extract(m, T.USER_BY_PHRASE, 1)))
     stated = F.to_json(F.struct(F.col("__host").alias("syslogHost"), line(3).alias("syslogApp"), m.alias("message")))
     return rows.select(
         "event_id", "ts", "source_type", "asset_id",
@@ -62,7 +64,7 @@ def normalize_events(logs: DataFrame) -> DataFrame:
         F.coalesce(F.col("__dst"), F.get("__ips", F.lit(1))).alias("destination_ip"),
         T.extract_port(field("source_port")).alias("source_port"), T.extract_port(field("destination_port")).alias("destination_port"),
         field("protocol").alias("protocol"), F.col("__host").alias("hostname"),
-        F.when(F.col("__syslog"), T.username_of(m)).otherwise(field("username")).alias("username"),
+        F.when(F.col("__syslog"), F.coalesce(T.or_null(F.col("__u1")), T.or_null(F.col("__u2")))).otherwise(field("username")).alias("username"),
         p.alias("raw_log"), F.when(F.col("__syslog"), stated).otherwise(F.col("__p")).alias("parsed_data"),
     )
 

@@ -123,17 +123,16 @@ def sliding_counts(events: DataFrame, wanted: dict[str, tuple[str, Column, int]]
     in the events of a key, and a key spreads over as many tasks as it has buckets. The counts come back by event id.
     """
     context = events if past is None else events.unionByName(past)
-    parts = []
+    marks = []
     for name, (key, at, width) in wanted.items():
-        own = F.floor(F.col("at") / width).cast("long")
-        rows = context.select("event_id", F.col(key).cast("string").alias("key"), at.cast("long").alias("at")).where("key != '' and at is not null")
-        twice = F.array(F.struct(own.alias("bucket"), F.col("at").alias("place"), F.lit(0).alias("ends")), F.struct((own + 1).alias("bucket"), (F.col("at") + width).alias("place"), F.lit(1).alias("ends")))
-        parts.append(rows.select(F.lit(name).alias("name"), "event_id", "key", F.inline(twice)))
+        place, own = at.cast("long"), F.floor(at / width).cast("long")
+        for ends in (0, 1):
+            marks.append(F.struct(F.lit(name).alias("name"), F.col(key).cast("string").alias("key"), (own + ends).alias("bucket"), (place + ends * width).alias("place"), F.lit(ends).alias("ends")))
     whole = Window.partitionBy("name", "key", "bucket")
     ordered = whole.orderBy("place", "ends", "event_id")
     before = F.lag(F.struct("place", "ends", "event_id")).over(ordered)
     fresh = F.when(before.isNull() | (before != F.struct("place", "ends", "event_id")), 1).otherwise(0)
-    rows = reduce(DataFrame.unionByName, parts).withColumn("fresh", fresh)
+    rows = context.select("event_id", F.inline(F.array(*marks))).where("key != '' and place is not null").withColumn("fresh", fresh)
     begun = F.sum(F.col("fresh") * F.col("ends")).over(whole)
     running = F.sum(F.col("fresh") * (1 - 2 * F.col("ends"))).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     counted = rows.withColumn("n", begun + running).where("ends = 0 and fresh = 1")
