@@ -12,6 +12,7 @@ import heapq
 import json
 import unicodedata
 from collections import defaultdict
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,11 @@ from ._shared import as_bytes, col_of, map_texts
 SPACE = r"[\t-\r \x85\xa0  -     　]+"
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Bytes of text that are encoded at once: each slice passes all its ranks once, so larger ones cost less.
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: str.split() also parts at these, which are not White_Space.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Bytes (about) that a generation of a task's memory holds before it becomes the old one; two are kept. Longer chunks are encoded anew each time.
-KNOWN_BYTES = 16 << 20
+KNOWN_BYTES = 8 << 20
 KNOWN_LENGTH = 100
 
 #: Fixed by the library's Unicode version. Code points that are letters or numbers in later versions only: symbols here.
@@ -63,20 +64,31 @@ class Vocabulary:
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         mark = spec["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = [""] * (1 + max([*vocab.values(), *self.special.values()]))
-        for token, i in [*vocab.items(), *self.special.items()]:
-            self.tokens[i] = token
-        self.names = [str(i) for i in range(len(self.tokens))]
+        self.path, self.size = path, 1 + max([*vocab.values(), *self.special.values()])
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + mark] for c in letters], np.int64)
         keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in merges], np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order
-        self.pairs = [(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in keys]  # by rank
+        self.keys, self.ranks, self.pairs = keys[order], order, keys  # pairs: by rank
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    @cached_property
+    def tokens(self) -> list[str]:
+        """Each id's token; only decoding needs them."""
+        with open(self.path, encoding="utf-8") as file:
+            vocab = json.load(file)["model"]["vocab"]
+        out = [""] * self.size
+        for token, i in [*vocab.items(), *self.special.items()]:
+            out[i] = token
+        return out
+
+    @cached_property
+    def names(self) -> list[str]:
+        """Each id in decimal; only ids as texts need them."""
+        return [str(i) for i in range(self.size)]
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or -1."""
         key = (left << 32) | right
@@ -139,7 +151,8 @@ def merge_all(symbols: np.ndarray, ends: np.ndarray, vocab: Vocabulary) -> np.nd
     while heap:
         r = heapq.heappop(heap)
         lists = index.pop(r)
-        a, b = vocab.pairs[r]
+        key = int(vocab.pairs[r])
+        a, b = key >> 32, key & 0xFFFFFFFF
         at = np.unique(np.concatenate(lists)) if len(lists) > 1 else lists[0]
         at = at[alive[at] & (symbols[at] == a)]
         right = after[at]
