@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,18 +45,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-#: Tables that the operators at work have written, innermost operator last.
-_passing: list[list[str]] = []
+#: Tables that the operator at work in this thread has written.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 @contextlib.contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
-    """What is `written` within is deleted at the end; results that outlast it are written with `keep`."""
-    _passing.append([])
+    """What is `written` within, by this thread, is deleted at the end; results that outlast it are written with `keep`."""
+    own: list[str] = []
+    before = _passing.set(own)
     try:
         yield
     finally:
-        for path in _passing.pop():
+        _passing.reset(before)
+        for path in own:
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -64,8 +67,9 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage, survives a lost executor."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    if _passing and not keep:
-        _passing[-1].append(path)
+    own = _passing.get()
+    if own is not None and not keep:
+        own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

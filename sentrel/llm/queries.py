@@ -1,6 +1,7 @@
 """The thin registered queries of the training-data operators, with SQL where it can express them.
 
-`op1_secrets` and `op7_rules` return more than SQL can express; `secrets_base` and `rules_base` are what it can of them.
+`op1_secrets`, `op7_rules` and `op13_mixing` return more than SQL can express; `secrets_base`, `rules_base` and `mixing_base`
+are what it can of them.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, extract, langid, minhash, quality, rules, secrets, warc
+from . import bpe, chat, codes, decontam, extract, langid, lexical, minhash, mixing, quality, rules, secrets, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -75,6 +76,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.drop("label").withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op1 alone, for the SQL."""
     return op1_secrets(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in secrets.KINDS])
@@ -85,6 +100,11 @@ def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_rules(spark, sf_dir).drop("kept")
 
 
+def mixing_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets of op13 alone, for the SQL."""
+    return op13_mixing(spark, sf_dir).drop("taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_decontam": op2_decontam,
@@ -96,12 +116,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
+    "op11_lexical": op11_lexical,
+    "op12_codes": op12_codes,
+    "op13_mixing": op13_mixing,
     "secrets_base": secrets_base,
     "rules_base": rules_base,
+    "mixing_base": mixing_base,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 NO_BLANKS = r"'[^\x20\x09-\x0D]+'"
+TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(LOWERED)
+
+
+def codes_sql() -> str:
+    """op12's rounds written out: near{k} assigns all parts to book{k}, which is the mean of near{k - 1}'s."""
+    near = """near{0} as materialized (select vec_id, label, part, v, cast(least_key // 256 as bigint) as error, cast(least_key % 256 as int) as entry from (
+        select p.vec_id, p.label, p.part, p.v, min(list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 256 + b.entry) as least_key
+        from piece p join book{0} b on p.part = b.part group by all) q)"""
+    book = """book{1} as materialized (select b.part, b.entry, coalesce(m.v, b.v) as v from book{0} b left join (
+        select part, entry, list(mean order by i) as v from (select part, entry, i, cast(floor(sum(x) / count(*)) as bigint) as mean from (select part, entry, unnest(v) as x, generate_subscripts(v, 1) as i from near{0}) q group by all) r group by all) m
+        on b.part = m.part and b.entry = m.entry)"""
+    parts = [
+        "kept as (select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        "piece as materialized (select vec_id, label, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] as v from kept cross join (select unnest(range(4)) as part) s)",
+        "seed as (select vec_id, row_number() over (order by vec_id) - 1 as entry from kept order by vec_id limit 256)",
+        "book0 as materialized (select p.part, s.entry, p.v from piece p join seed s on p.vec_id = s.vec_id)",
+        *[x for k in range(4) for x in (near.format(k), book.format(k, k + 1))],
+        near.format(4),
+        "digest as (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as codebooks_sha256 from book4)",
+        "coded as (select vec_id, label, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(error) as bigint) as error from near4 group by all)",
+    ]
+    return f"with {', '.join(parts)} select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from coded cross join digest"
+
+
 SQL: dict[str, str] = {
     "op2_decontam": rf"""with words as (select doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
         item as (select item_id, w, least(13, len(w)) as n from (select item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark) b where len(w) > 0),
@@ -125,6 +173,20 @@ SQL: dict[str, str] = {
         reached as (select doc_id, doc_id as other from documents union select r.doc_id, w.b from reached r join way w on r.other = w.a),
         component as (select doc_id, min(other) as component_id from reached group by 1)
         select d.doc_id, coalesce(s.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept from documents d join component c on d.doc_id = c.doc_id left join size s on d.doc_id = s.doc_id""",
+    "op11_lexical": f"""with doc as (select doc_id, {TERMS} as w from documents), whole as (select count(*) filter (where len(w) > 0) as n, sum(len(w)) as l from doc),
+        asked as (select distinct item_id, t from (select item_id, unnest({TERMS}) as t from benchmark) q),
+        held as (select doc_id, len(w) as n, unnest(w) as t from doc), freq as (select doc_id, n, t, count(*) as tf from held where t in (select t from asked) group by all),
+        weight as (select t, cast(floor(1000 * ln((2 * any_value(w.n) + 2) / (2 * count(*) + 1))) as bigint) as w from freq cross join whole w group by 1),
+        impact as (select f.doc_id, f.t, g.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + cast((50 * f.n * w.n) // w.l as bigint)))) as s from freq f join weight g on f.t = g.t cross join whole w),
+        score as (select item_id, doc_id, cast(sum(s) as bigint) as score from asked a join impact i on a.t = i.t group by 1, 2 having sum(s) > 0)
+        select item_id, cast(rank as int) as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from score) q where rank <= 50""",
+    "op12_codes": codes_sql(),
+    "mixing_base": rf"""with recursive doc as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), {NO_BLANKS})) as bigint) as size from documents),
+        own as (select source, cast(sum(size) as bigint) as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from doc group by 1),
+        step as (select 0 as k, cast(-1 as bigint) as held, cast(0 as bigint) as now, (select sum(source_size) / sum(weight) from own) as rate
+            union all select k + 1, now, c.held, coalesce(c.rate, s.rate) from step s, lateral (select cast(count(*) filter (where weight * s.rate >= 3 * source_size) as bigint) as held,
+                ((select sum(source_size) from own) - coalesce(sum(3 * source_size) filter (where weight * s.rate >= 3 * source_size), 0)) / nullif(sum(weight) filter (where weight * s.rate < 3 * source_size), 0) as rate from own) c where s.held != s.now)
+        select doc_id, size, source_size, least(cast(3 * source_size as double), weight * (select arg_max(rate, k) from step)) as target from doc d join own o on d.source is not distinct from o.source""",
     "secrets_base": r"""select doc_id, cast(len(list_filter(regexp_extract_all(coalesce(text, ''), '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: len(v) >= 6)) as bigint) as n_assign,
         cast(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: len(v) >= 20)) as bigint) as n_access, cast(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: len(v) >= 24)) as bigint) as n_hex from documents""",
     "rules_base": rf"""with words as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), {NO_BLANKS}) as w from documents),
