@@ -81,7 +81,7 @@ def detect(events: DataFrame, assets: DataFrame, iocs: DataFrame, cves: DataFram
 
     No rule reads CVEs, so they are not joined here; enrich_events gives the whole record of an event.
     """
-    return evaluate_rules(ioc_hits(asset_lookup(events, assets), iocs), rules, past)
+    return evaluate_rules(ioc_hits(asset_lookup(events, assets), iocs), rules, past, events)
 
 
 def outputs(matches: DataFrame) -> dict[str, DataFrame]:

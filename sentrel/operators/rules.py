@@ -1,7 +1,9 @@
 """Detection rules: from documents to column predicates, keyed sliding thresholds, scores and reasons.
 
-Rules are a small dimension that is read to the driver and compiled; each event then meets all rules inside one
-projection, so the rows grow only where a rule matches.
+Rules are a small dimension that is read to the driver. A few are compiled, so that each event meets all of them inside
+one projection; many are a table, and an index from a list value or a piece of a keyword to rules leads each event to
+the few that it may match. Either way rows grow only where a rule may match, and nothing is shuffled. Thresholds are
+tested last: counts are made over narrow rows, and only those that reach some rule's count meet the matches.
 """
 
 from __future__ import annotations
@@ -15,9 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.scoring import mitre_lookup, severity_weight
+from ..sources.scratch import shared_dir
 
-#: Rules in one array: a projection of many is several generated methods.
+#: Up to so many rules are compiled; more are looked up.
 CHUNK = 60
+#: Rules that one job takes: they are held by the driver, and broadcast where they are many.
+MOST_RULES = 50_000
+#: Marks of one key and bucket that are counted in one task, where they aren't few for the size of the data; and the cells that their numbers are watched in.
+BURST, CELLS = 500_000, 1 << 16
 #: IN-list predicates of a rule document and the event column of each.
 LISTS = {"eventTypes": "event_type", "categories": "event_category", "protocols": "protocol", "destinationPorts": "destination_port", "sourcePorts": "source_port", "usernames": "username"}
 
@@ -59,8 +66,10 @@ def normalize_rule_logic(logic: Column, pattern: Column) -> Column:
 
 
 def load_rules(rules: DataFrame) -> list[Rule]:
-    """Active rules in order, their logic read. The rule set is a hand-written dimension, so it is collected."""
-    rows = active_rules(rules).withColumn("logic", normalize_rule_logic(F.col("detection_logic"), F.col("pattern"))).collect()
+    """Active rules in order, their logic read. They are collected, so ValueError if there are more than MOST_RULES."""
+    rows = active_rules(rules).withColumn("logic", normalize_rule_logic(F.col("detection_logic"), F.col("pattern"))).limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} active rules")
     names = [f for f in Rule.__dataclass_fields__ if f != "logic"]
     return [Rule(**{n: r[n] for n in names}, logic=json.loads(r.logic)) for r in rows]
 
@@ -117,28 +126,73 @@ def sliding_counts(events: DataFrame, wanted: dict[str, tuple[str, Column, int]]
 
     Events of `past` (the same columns) are counted too, but not returned. 1 for null and empty keys and positions. An
     event id stands for one event: rows that repeat it count once and get the same number.
+    """
+    wide = counts_by_id(events if past is None else events.unionByName(past), wanted)
+    joint = events.join(wide, F.col("event_id") == F.col("__id"), "left")
+    return joint.select(*[c for c in events.columns if c not in wanted], *[F.coalesce(F.col(f"__{name}"), F.lit(1)).cast("long").alias(name) for name in wanted])
+
+
+#: What marks are sorted by within a key's bucket.
+PLACE = ["place", "ends", "event_id"]
+GROUP = ["name", "key", "bucket"]
+
+
+def counts_by_id(context: DataFrame, wanted: dict[str, tuple[str, Column, int]]) -> DataFrame:
+    """(__id, __<name>, ...): the counts of sliding_counts for each event id that has a key.
 
     Only (event id, key, position) moves: an event counts up in the bucket of `width` that it lies in and down in the
     next one, `width` after its position. One running sum in order of position gives all counts, so the work is linear
-    in the events of a key, and a key spreads over as many tasks as it has buckets. The counts come back by event id.
+    in the events of a key, and a key spreads over as many tasks as it has buckets. Buckets that hold a burst are
+    spread too: see `in_parts`.
     """
-    context = events if past is None else events.unionByName(past)
     marks = []
     for name, (key, at, width) in wanted.items():
         place, own = at.cast("long"), F.floor(at / width).cast("long")
         for ends in (0, 1):
             marks.append(F.struct(F.lit(name).alias("name"), F.col(key).cast("string").alias("key"), (own + ends).alias("bucket"), (place + ends * width).alias("place"), F.lit(ends).alias("ends")))
-    whole = Window.partitionBy("name", "key", "bucket")
-    ordered = whole.orderBy("place", "ends", "event_id")
-    before = F.lag(F.struct("place", "ends", "event_id")).over(ordered)
-    fresh = F.when(before.isNull() | (before != F.struct("place", "ends", "event_id")), 1).otherwise(0)
-    rows = context.select("event_id", F.inline(F.array(*marks))).where("key != '' and place is not null").withColumn("fresh", fresh)
+    rows = context.select("event_id", F.inline(F.array(*marks))).where("key != '' and place is not null")
+    cell = F.pmod(F.xxhash64(*GROUP), F.lit(CELLS)).cast("int")
+    crowded = crowded_cells(rows.select(cell.alias("cell")))
+    counted = in_buckets(rows.where(~cell.isin(crowded)) if crowded else rows)
+    if crowded:
+        counted = counted.unionByName(in_parts(rows.where(cell.isin(crowded))))
+    return counted.groupBy(F.col("event_id").alias("__id")).agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(f"__{name}") for name in wanted])
+
+
+def crowded_cells(cells: DataFrame) -> list[int]:
+    """The cells of which one holds more than BURST rows, and four times the mean: counted in tasks first, at most CELLS rows a task. A bucket of many rows is in one of them."""
+    sizes = cells.groupBy("cell").count()
+    found = sizes.agg(F.sum("count").alias("total"), F.collect_list(F.when(F.col("count") > BURST, F.struct("cell", "count"))).alias("large")).first()
+    least = max(BURST, 4 * (found.total or 0) // CELLS)
+    return [r.cell for r in found.large if r["count"] > least]
+
+
+def in_buckets(rows: DataFrame) -> DataFrame:
+    """(name, event_id, n) of marks: a running sum over each bucket."""
+    whole = Window.partitionBy(*GROUP)
+    ordered = whole.orderBy(*PLACE)
+    before = F.lag(F.struct(*PLACE)).over(ordered)
+    fresh = F.when(before.isNull() | (before != F.struct(*PLACE)), 1).otherwise(0)
+    rows = rows.withColumn("fresh", fresh)
     begun = F.sum(F.col("fresh") * F.col("ends")).over(whole)
     running = F.sum(F.col("fresh") * (1 - 2 * F.col("ends"))).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = rows.withColumn("n", begun + running).where("ends = 0 and fresh = 1")
-    wide = counted.groupBy(F.col("event_id").alias("__id")).agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(f"__{name}") for name in wanted])
-    joint = events.join(wide, F.col("event_id") == F.col("__id"), "left")
-    return joint.select(*[c for c in events.columns if c not in wanted], *[F.coalesce(F.col(f"__{name}"), F.lit(1)).cast("long").alias(name) for name in wanted])
+    return rows.withColumn("n", begun + running).where("ends = 0 and fresh = 1").select("name", "event_id", "n")
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """As in_buckets, for buckets of any size: marks are dealt by ranges of their order, so that a burst, even of one moment, is spread by its event ids.
+
+    Two levels of sums: one a part and bucket, of which a running sum over the parts gives where each part begins; and
+    the running sum inside a part. The ranges are checkpointed (spark.checkpoint.dir), as both must see the same parts.
+    """
+    shared_dir(rows.sparkSession)
+    parts = [*GROUP, "part"]
+    dealt = rows.dropDuplicates([*GROUP, *PLACE]).repartitionByRange(*GROUP, *PLACE).withColumn("part", F.spark_partition_id()).checkpoint()
+    sums = dealt.groupBy(*parts).agg(F.sum(1 - 2 * F.col("ends")).alias("change"), F.sum("ends").alias("ended"))
+    earlier = F.sum("change").over(Window.partitionBy(*GROUP).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    begins = sums.select(*parts, (F.coalesce(earlier, F.lit(0)) + F.sum("ended").over(Window.partitionBy(*GROUP))).alias("begins"))
+    inside = F.sum(1 - 2 * F.col("ends")).over(Window.partitionBy(*parts).orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.withColumn("inside", inside).join(begins, parts).where("ends = 0").select("name", "event_id", (F.col("begins") + F.col("inside")).alias("n"))
 
 
 def micros() -> Column:
@@ -180,14 +234,18 @@ def thresholds_of(rules: list[Rule]) -> list[tuple[str, int]]:
     return sorted({r.threshold[::2] for r in rules if r.threshold[1] > 1})
 
 
-def with_thresholds(events: DataFrame, rules: list[Rule], past: DataFrame | None = None) -> DataFrame:
-    """A count column for each distinct (key, minutes) that a rule needs, over `events` and the earlier ones in `past`; one pass for all."""
-    wanted = {count_name(key, minutes): (key, micros(), minutes * 60_000_000) for key, minutes in thresholds_of(rules)}
-    if past is not None:
-        past = past.select(*[F.col(c) if c in past.columns else F.lit(None).alias(c) for c in ("event_id", "ts", "source_ip", "username")])
-        counted = sliding_counts(events.select("event_id", "ts", "source_ip", "username"), wanted, past) if wanted else None
-        return events.join(counted.drop("ts", "source_ip", "username").dropDuplicates(["event_id"]), "event_id", "left") if wanted else events
-    return sliding_counts(events, wanted) if wanted else events
+def reached(events: DataFrame, rules: list[Rule], past: DataFrame | None = None) -> DataFrame:
+    """(__id, __<count name>, ...) of the events that reach the least count of some rule: counted over all of `events` and the earlier ones in `past`, in one pass."""
+    narrow = [F.col(c) for c in ("event_id", "ts", "source_ip", "username")]
+    context = events.select(*narrow) if past is None else events.select(*narrow).unionByName(past.select(*[F.col(c) if c in past.columns else F.lit(None).alias(c) for c in ("event_id", "ts", "source_ip", "username")]))
+    wide = counts_by_id(context, {count_name(key, minutes): (key, micros(), minutes * 60_000_000) for key, minutes in thresholds_of(rules)})
+    least: dict[str, int] = {}
+    for r in rules:
+        key, count, minutes = r.threshold
+        if count > 1:
+            name = count_name(key, minutes)
+            least[name] = min(count, least.get(name, count))
+    return wide.where(reduce(Column.__or__, [F.col(f"__{name}") >= n for name, n in least.items()]))
 
 
 def count_name(key: str, minutes: int) -> str:
@@ -195,65 +253,189 @@ def count_name(key: str, minutes: int) -> str:
 
 
 #: The wordings of reasons are fixed values.
-def match_reasons(rule: Rule) -> list[Column]:
-    """Reasons in order, each null where it doesn't apply."""
+def reasons_of(rule: Rule) -> list[tuple[str, str]]:
+    """(what the reason shows of the event, its wording before that) for each reason in order, but for the threshold's."""
     logic, out = rule.logic, []
     if logic.get("rawRegex"):
-        out.append(F.lit(f"Matched regex {logic['rawRegex']}"))
+        out.append(("", f"Matched regex {logic['rawRegex']}"))
     if logic.get("matchIoc"):
-        out.append(F.lit("Matched IOC enrichment hit"))
+        out.append(("", "Matched IOC enrichment hit"))
     if logic.get("assetCriticalities"):
-        out.append(F.concat(F.lit("Asset criticality "), F.col("asset.criticality")))
-    key, count, minutes = rule.threshold
-    if count > 1:
-        shown = "username" if key == "username" else "sourceIp"
-        if (logic.get("threshold") or {}).get("field") not in (None, "sourceIp", "username"):
-            shown = str(logic["threshold"]["field"])
-        out.append(F.concat(F.lit(f"Threshold met on {shown}: "), F.col(count_name(key, minutes)).cast("string"), F.lit(f"/{count} in {minutes}m")))
+        out.append(("criticality", "Asset criticality "))
     return out
 
 
-def rule_confidence(rule: Rule, reasons: int) -> Column:
-    """At most 99: weight, event severity, indicator hit, asset criticality, three a reason."""
-    weight = 50 if rule.confidence_weight is None else int(rule.confidence_weight)
+def threshold_reason(rule: Rule) -> tuple[str, str] | None:
+    """What stands before and after the count in the threshold's reason."""
+    key, count, minutes = rule.threshold
+    if count <= 1:
+        return None
+    shown = "username" if key == "username" else "sourceIp"
+    if (rule.logic.get("threshold") or {}).get("field") not in (None, "sourceIp", "username"):
+        shown = str(rule.logic["threshold"]["field"])
+    return f"Threshold met on {shown}: ", f"/{count} in {minutes}m"
+
+
+def match_reasons(rule: Rule) -> Column:
+    """Reasons in order, but for the threshold's, which is added when the count is known; the default one where there is no other."""
+    reasons = [F.concat(F.lit(text), F.col("asset.criticality")) if shows else F.lit(text) for shows, text in reasons_of(rule)]
+    if reasons:
+        return F.array(*reasons)
+    return F.array().cast("array<string>") if threshold_reason(rule) else F.array(F.lit(default_reason(rule)))
+
+
+def default_reason(rule: Rule) -> str:
+    return f"Matched Sigma-like logic for {rule.rule_name}"
+
+
+def weight_of(rule: Rule) -> int:
+    """The part of the score that the rule alone gives: its weight, and three a reason."""
+    return (50 if rule.confidence_weight is None else int(rule.confidence_weight)) + 3 * (len(reasons_of(rule)) + (rule.threshold[1] > 1))
+
+
+def rule_confidence(weight: Column) -> Column:
+    """At most 99: the rule's weight, event severity, indicator hit, asset criticality."""
     asset = F.when(F.col("asset.criticality") == "critical", 12).when(F.col("asset.criticality") == "high", 8).otherwise(0)
-    return F.least(F.lit(99), F.lit(weight) + severity_weight(F.col("severity")) + F.when(F.size("ioc_hits") > 0, 15).otherwise(0) + asset + F.lit(3 * reasons)).cast("int")
+    return F.least(F.lit(99), weight + severity_weight(F.col("severity")) + F.when(F.size("ioc_hits") > 0, 15).otherwise(0) + asset).cast("int")
 
 
-def match_mitre(rule: Rule) -> tuple[Column, Column]:
+def match_mitre(technique: Column, tactic: Column) -> tuple[Column, Column]:
     """(technique, tactic): the event type's, else the rule's; a technique without tactic is of tactic Detection."""
     known = mitre_lookup(F.col("event_type"))
-    technique = F.coalesce(known["technique"], F.nullif(F.lit(rule.attack_technique).cast("string"), F.lit("")))
-    tactic = F.coalesce(known["tactic"], F.nullif(F.lit(rule.attack_tactic).cast("string"), F.lit("")), F.lit("Detection" if rule.attack_technique else None).cast("string"))
-    return technique, tactic
+    own = F.nullif(technique, F.lit(""))
+    return F.coalesce(known["technique"], own), F.coalesce(known["tactic"], F.nullif(tactic, F.lit("")), F.when(own.isNotNull(), "Detection"))
 
 
-def compiled(rule: Rule, text: Column) -> Column:
-    """struct of the match, or null."""
+MATCH = ["rule_pk", "rule_id", "rule_name", "rule_severity", "confidence", "reasons", "mitre_technique", "mitre_tactic"]
+NEEDS = "struct<name:string,count:int,before:string,after:string>"
+
+
+def needs_of(rule: Rule) -> tuple[str, int, str, str] | None:
+    """(count name, count, wording before it, wording after it) of a rule with a threshold."""
     key, count, minutes = rule.threshold
+    reason = threshold_reason(rule)
+    return (count_name(key, minutes), count, *reason) if reason else None
+
+
+def compiled(rule: Rule, text: Column) -> Column:
+    """struct of the match, or null; a threshold is what it still `needs`."""
     test = rule_membership(rule.logic) & rule_keywords(rule.logic, text) & rule_regex(rule.logic) & rule_ioc_gate(rule.logic) & rule_asset_gate(rule.logic)
-    if count > 1:
-        test = test & (F.col(count_name(key, minutes)) >= count)
-    reasons = match_reasons(rule)
-    technique, tactic = match_mitre(rule)
-    shown = F.array(*reasons) if reasons else F.array(F.lit(f"Matched Sigma-like logic for {rule.rule_name}"))
-    return F.when(
-        test,
-        F.struct(
-            F.lit(rule.id).cast("long").alias("rule_pk"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.rule_name).alias("rule_name"), F.lit(rule.severity).cast("string").alias("rule_severity"),
-            rule_confidence(rule, len(reasons)).alias("confidence"), shown.alias("reasons"), technique.alias("mitre_technique"), tactic.alias("mitre_tactic"),
-        ),
-    )
-
-
-def evaluate_rules(events: DataFrame, rules: list[Rule], past: DataFrame | None = None) -> DataFrame:
+    technique, tactic = match_mitre(F.lit(rule.attack_technique).cast("string"), F.lit(rule.attack_tactic).cast("string"))
+    needs = needs_of(rule)
+    values = [F.lit(rule.id).cast("long"), F.lit(rule.rule_id), F.lit(rule.rule_name), F.lit(rule.severity).cast("string"), rule_confidence(F.lit(weight_of(rule))), match_reasons(rule), technique, tactic]
+    open_ = F.struct(*[F.lit(v).alias(n) for v, n in zip(needs, ("name", "count", "before", "after"), strict=True)]) if needs else F.lit(None).cast(NEEDS)
+    return F.when(test, F.struct(*[v.alias(n) for v, n in zip(values, MATCH, strict=True)], open_.cast(NEEDS).alias("needs")))
+
+
+def by_projection(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """`rows` (with __text) exploded by `match`: all rules in one projection."""
+    found = F.filter(F.array(*[compiled(r, F.col("__text")) for r in rules]), lambda m: m.isNotNull())
+    return rows.withColumn("match", F.explode(found))
+
+
+#: Parts of keywords that the index holds.
+GRAM = 3
+
+
+def anchors_of(rule: Rule, shared: dict[str, int]) -> list[str]:
+    """Keys of which an event that matches the rule has at least one: of the predicates that give such keys the one that tells most.
+
+    `shared` has the number of rules that each gram occurs in; a keyword's key is the gram that the fewest share. A rule
+    without such a predicate has the key that all events have.
+    """
+    logic = rule.logic
+    rarest = lambda k: min((k[i : i + GRAM] for i in range(len(k) - GRAM + 1)), key=lambda g: (shared[g], g))
+    words = lambda name: [str(k).lower() for k in logic.get(name) or ()]
+    every = [k for k in words("allKeywords") if len(k) >= GRAM]
+    if every:
+        return [f"k:{min((rarest(k) for k in every), key=lambda g: (shared[g], g))}"]
+    for name in ("usernames", "destinationPorts", "sourcePorts"):
+        if logic.get(name):
+            return sorted({f"{name}:{v}" for v in logic[name]})
+    some = words("anyKeywords")
+    if some and all(len(k) >= GRAM for k in some):
+        return sorted({f"k:{rarest(k)}" for k in some})
+    if logic.get("matchIoc"):
+        return ["ioc"]
+    if logic.get("assetCriticalities"):
+        return sorted({f"asset:{v}" for v in logic["assetCriticalities"]})
+    for name in ("eventTypes", "protocols", "categories"):
+        if logic.get(name):
+            return sorted({f"{name}:{v}" for v in logic[name]})
+    return ["any"]
+
+
+def rule_table(spark, rules: list[Rule]) -> DataFrame:
+    """(__at: a key, __rule: struct of the rule's predicates and wordings): a row for each rule and key."""
+    shared: dict[str, int] = {}
+    for r in rules:
+        for g in {str(k).lower()[i : i + GRAM] for name in ("allKeywords", "anyKeywords") for k in r.logic.get(name) or () for i in range(max(0, len(str(k)) - GRAM + 1))}:
+            shared[g] = shared.get(g, 0) + 1
+    out = []
+    for r in rules:
+        own = anchors_of(r, shared)
+        lists = [[str(v) if not c.endswith("port") else int(v) for v in r.logic.get(k) or ()] for k, c in LISTS.items()]
+        keywords = [[str(k).lower() for k in r.logic.get(name) or ()] for name in ("allKeywords", "anyKeywords")]
+        regex = f"(?i){r.logic['rawRegex']}" if r.logic.get("rawRegex") else None
+        reasons = [(bool(shows), text) for shows, text in reasons_of(r)] or ([] if needs_of(r) else [(False, default_reason(r))])
+        row = (own, *lists, *keywords, regex, bool(r.logic.get("matchIoc")), [str(v) for v in r.logic.get("assetCriticalities") or ()], r.id, r.rule_id, r.rule_name, r.severity, weight_of(r), reasons, r.attack_technique, r.attack_tactic, needs_of(r))
+        out += [(a, row) for a in own]
+    lists = ", ".join(f"{k}: array<{'int' if c.endswith('port') else 'string'}>" for k, c in LISTS.items())
+    fields = f"anchors: array<string>, {lists}, all_words: array<string>, any_words: array<string>, regex: string, ioc: boolean, criticalities: array<string>, pk: long, rule_id: string, rule_name: string, severity: string, weight: int, reasons: array<struct<shows:boolean,text:string>>, technique: string, tactic: string, needs: {NEEDS}"
+    return spark.createDataFrame(out, f"__at string, __rule struct<{fields}>")
+
+
+def by_index(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """`rows` (with __text) exploded by `match`: an event meets the rules that its keys lead to, and each rule by the first of its keys only.
+
+    The table of rules is broadcast (MOST_RULES at most), so no event moves.
+    """
+    table = rule_table(rows.sparkSession, rules)
+    held = sorted({r["__at"] for r in table.select("__at").distinct().collect()})
+    grams = [a[2:] for a in held if a.startswith("k:")]
+    keyed = lambda name, value: F.concat(F.lit(f"{name}:"), value.cast("string"))
+    keys = [F.array(F.lit("any"), F.when(F.size("ioc_hits") > 0, "ioc"), keyed("asset", F.col("asset.criticality")), *[keyed(k, F.col(c)) for k, c in LISTS.items()])]
+    if grams:
+        n = F.char_length("__text")
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(n - (GRAM - 1), F.lit(1))), lambda i: F.substring("__text", i, F.lit(GRAM)))
+        keys.append(F.transform(F.filter(F.array_distinct(cut), lambda g: g.isin(grams)), lambda g: F.concat(F.lit("k:"), g)))
+    rows = rows.withColumn("__keys", F.filter(F.concat(*keys), lambda k: k.isin(held)))
+    rows = rows.withColumn("__anchor", F.explode("__keys")).join(F.broadcast(table), F.col("__anchor") == F.col("__at"))
+    r = lambda name: F.col(f"__rule.{name}")
+    tests = [F.get(F.filter(r("anchors"), lambda a: F.array_contains(F.col("__keys"), a)), F.lit(0)) == F.col("__anchor")]
+    tests += [(F.size(r(k)) == 0) | F.coalesce(F.array_contains(r(k), F.col(c)), F.lit(False)) for k, c in LISTS.items()]
+    tests += [F.forall(r("all_words"), lambda k: F.col("__text").contains(k)), (F.size(r("any_words")) == 0) | F.exists(r("any_words"), lambda k: F.col("__text").contains(k))]
+    tests += [r("regex").isNull() | F.rlike(F.coalesce("raw_log", F.lit("")), r("regex")), ~r("ioc") | (F.size("ioc_hits") > 0)]
+    tests += [(F.size(r("criticalities")) == 0) | F.coalesce(F.array_contains(r("criticalities"), F.col("asset.criticality")), F.lit(False))]
+    technique, tactic = match_mitre(r("technique"), r("tactic"))
+    reasons = F.transform(r("reasons"), lambda x: F.when(x["shows"], F.concat(x["text"], F.col("asset.criticality"))).otherwise(x["text"]))
+    values = [r("pk"), r("rule_id"), r("rule_name"), r("severity"), rule_confidence(r("weight")), reasons, technique, tactic]
+    found = rows.where(reduce(Column.__and__, tests))
+    return found.withColumn("match", F.struct(*[v.alias(n) for v, n in zip(values, MATCH, strict=True)], r("needs").alias("needs"))).drop("__keys", "__anchor", "__at", "__rule")
+
+
+def evaluate_rules(events: DataFrame, rules: list[Rule], past: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
     """One row for each event and rule that match: the event's columns and `match`. Events carry `asset` and `ioc_hits`.
 
     Thresholds are counted over all of them, and over `past` (earlier events, of which only id, time and keys are
-    read). All rules are arrays of one projection, exploded once.
+    read). `counted` is the same events before they were joined with anything, where there is such a table: the counts
+    are then made without those joins. ValueError if there are more than MOST_RULES rules.
     """
-    rows = with_thresholds(events, rules, past).withColumn("__text", searchable())
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    rows = events.withColumn("__text", searchable())
+    found = (by_projection(rows, rules or [Rule(0, "", "")]) if len(rules) <= CHUNK else by_index(rows, rules)).drop("__text")
+    final = lambda *reasons: F.struct(*[F.col(f"match.{n}") if n != "reasons" else (reasons[0] if reasons else F.col("match.reasons")).alias(n) for n in MATCH])
     if not rules:
-        return rows.where("false").withColumn("match", compiled(Rule(0, "", ""), F.col("__text"))).drop("__text")
-    found = [F.filter(F.array(*[compiled(r, F.col("__text")) for r in rules[k : k + CHUNK]]), lambda m: m.isNotNull()) for k in range(0, len(rules), CHUNK)]
-    return rows.withColumn("match", F.explode_outer(F.concat(*found) if len(found) > 1 else found[0])).where("match is not null").drop("__text")
+        return found.where("false").withColumn("match", final())
+    if not thresholds_of(rules):
+        return found.withColumn("match", final())
+    counts = reached(events if counted is None else counted, rules, past)
+    # matches without a threshold have keys that no count has, so they spread and stay
+    own = F.when(F.col("match.needs").isNotNull(), F.col("event_id").cast("string")).otherwise(F.concat(F.lit("\x00"), F.col("event_id").cast("string")))
+    joint = found.withColumn("__own", own).join(counts.withColumn("__id", F.col("__id").cast("string")), F.col("__own") == F.col("__id"), "left")
+    names = [count_name(*t) for t in thresholds_of(rules)]
+    n = F.coalesce(*[F.when(F.col("match.needs.name") == name, F.col(f"__{name}")) for name in names])
+    met = joint.where(F.col("match.needs").isNull() | (n >= F.col("match.needs.count")))
+    reasons = F.when(F.col("match.needs").isNull(), F.col("match.reasons")).otherwise(F.array_append("match.reasons", F.concat("match.needs.before", n.cast("string"), "match.needs.after")))
+    return met.withColumn("match", final(reasons)).drop("__own", "__id", *[f"__{name}" for name in names])

@@ -97,9 +97,10 @@ NORM = {
     "split_json": f"select *, coalesce(case when object then coalesce(json_extract_string(p, '$.message'), json_extract_string(p, '$.log'), json_extract_string(p, '$.event')) end, payload, '') as m from (select *, {SAFE_JSON} as p, coalesce(json_type(try_cast(payload as json)) = 'OBJECT', false) as object from logs where source_type != 'syslog' or payload is null) q",
     "norm": f"""select event_id, ts, source_type, {type_sql('m', 0)} as event_type, {type_sql('m', 1)} as event_category, {severity_sql('m')} as severity, {IPS('m')}[1] as source_ip, {IPS('m')}[2] as destination_ip,
         cast(null as int) as destination_port, nullif(regexp_extract(payload, '{SYSLOG}', 2), '') as hostname,
-        coalesce(nullif(regexp_extract(m, '{USER_BY_NAME}', 1), ''), nullif(regexp_extract(m, '{USER_BY_PHRASE}', 1), '')) as username, payload as raw_log from split_sys
+        coalesce(nullif(regexp_extract(m, '{USER_BY_NAME}', 1), ''), nullif(regexp_extract(m, '{USER_BY_PHRASE}', 1), '')) as username, payload as raw_log,
+        concat('{{', concat_ws(',', case when regexp_extract(payload, '{SYSLOG}', 2) != '' then concat('"syslogHost":', to_json(regexp_extract(payload, '{SYSLOG}', 2))) end, case when regexp_extract(payload, '{SYSLOG}', 3) != '' then concat('"syslogApp":', to_json(regexp_extract(payload, '{SYSLOG}', 3))) end, concat('"message":', to_json(m))), '}}') as parsed from split_sys
         union all select event_id, ts, source_type, coalesce({J('eventType')}, {type_sql('m', 0)}), coalesce({J('eventCategory', 'category')}, {type_sql('m', 1)}), coalesce({J('severity')}, {severity_sql('m')}),
-        coalesce({J('sourceIp', 'src_ip')}, {IPS("concat_ws(' ', m, p)")}[1]), coalesce({J('destinationIp', 'dst_ip')}, {IPS("concat_ws(' ', m, p)")}[2]), try_cast({J('destinationPort', 'dst_port')} as int), {J('hostname', 'host')}, {J('username', 'user')}, payload from split_json""",
+        coalesce({J('sourceIp', 'src_ip')}, {IPS("concat_ws(' ', m, p)")}[1]), coalesce({J('destinationIp', 'dst_ip')}, {IPS("concat_ws(' ', m, p)")}[2]), try_cast({J('destinationPort', 'dst_port')} as int), {J('hostname', 'host')}, {J('username', 'user')}, payload, p from split_json""",
     "by_host": "select lower(hostname) as k, min(id) as id from assets group by 1",
     "by_ip": "select lower(ip_address) as k, min(id) as id from assets group by 1",
     "found_asset": "select n.*, coalesce(h.id, i.id) as asset_pk from norm n left join by_host h on lower(nullif(n.hostname, '')) = h.k left join by_ip i on lower(coalesce(nullif(n.source_ip, ''), nullif(n.destination_ip, ''))) = i.k",
@@ -128,12 +129,13 @@ RULES = [
     rules.Rule(6, "R6", "Weighty asset", "medium", {"assetCriticalities": ["critical", "high"], "eventTypes": ["port_scan"]}, None, None, None, None, 50),
     rules.Rule(7, "R7", "Busy source", "high", {"threshold": {"field": "sourceIp", "count": 3, "windowMinutes": 720}}, None, None, None, None, 55),
     rules.Rule(8, "R8", "Busy user", "medium", {"matchIoc": True, "threshold": {"field": "username", "count": 2, "windowMinutes": 720}}, None, None, None, None, 60),
+    rules.Rule(9, "R9", "Parsed words", "low", {"anyKeywords": ['"syslogHost":"HOST-7', '{"value":']}, None, None, None, None, 10),
 ]
 
 
 def matches_sql() -> str:
     """(event columns, rule, confidence, reasons, technique, tactic) of every match of RULES."""
-    low = "lower(concat(raw_log, ' ', event_type, ' ', event_category))"
+    low = "lower(concat(raw_log, ' ', coalesce(parsed, '{}'), ' ', event_type, ' ', event_category))"
     tests = {
         1: ("event_type = 'authentication_failed' and event_category = 'identity'", []),
         2: (f"contains({low}, 'failed') and contains({low}, 'ssh2')", []),
@@ -143,6 +145,7 @@ def matches_sql() -> str:
         6: ("criticality in ('critical', 'high') and event_type = 'port_scan'", ["concat('Asset criticality ', criticality)"]),
         7: ("n_ip >= 3", ["concat('Threshold met on sourceIp: ', n_ip, '/3 in 720m')"]),
         8: ("n_ioc > 0 and n_user >= 2", ["'Matched IOC enrichment hit'", "concat('Threshold met on username: ', n_user, '/2 in 720m')"]),
+        9: (f"contains({low}, '\"sysloghost\":\"host-7') or contains({low}, '{{\"value\":')", []),
     }
     parts = []
     for r in RULES:
@@ -169,8 +172,7 @@ def normed(d: Data) -> DataFrame:
 
 
 def matched(d: Data) -> DataFrame:
-    events = enrich.ioc_hits(enrich.asset_lookup(normed(d), d.assets), d.iocs)
-    return rules.evaluate_rules(events, RULES)
+    return detect.detect(normed(d), d.assets, d.iocs, d.cves, RULES)
 
 
 # ---- sources ------------------------------------------------------------------------------------------------------
@@ -204,11 +206,13 @@ def read_table(d: Data) -> DataFrame:
     return tables.read_table(d.spark, "assets", held(d, d.assets, "assets")).select("id", "asset_id", "hostname", "criticality", F.size("services").cast("long").alias("services"), "operating_system")
 
 
-@query("select payload, count(*) as lines, 'raw' as source_type, cast(7 as bigint) as asset_id from (select concat('line ', user_id, ' ', event_type) as payload from events) q group by payload")
+@query("select payload, count(*) as lines, count(*) as ids, count(*) as again, 'raw' as source_type, cast(7 as bigint) as asset_id from (select concat('line ', user_id, ' ', event_type) as payload from events) q group by payload")
 def read_raw_logs(d: Data) -> DataFrame:
     path = scratch_path(d.spark, "lines")
     d.events.select(F.concat_ws(" ", F.lit("line"), "user_id", "event_type")).write.text(path)
-    return tables.read_raw_logs(d.spark, path, "raw", asset_id=7).groupBy("payload", "source_type", "asset_id").agg(F.count("*").alias("lines"))
+    lines, again = [tables.read_raw_logs(d.spark, path, "raw", asset_id=7, split_bytes=1 << 14) for _ in range(2)]
+    met = lines.join(again.select(F.col("event_id").alias("__id")), F.col("event_id") == F.col("__id"), "left")
+    return met.groupBy("payload", "source_type", "asset_id").agg(F.count("*").alias("lines"), F.count_distinct("event_id").alias("ids"), F.count("__id").alias("again"))
 
 
 @query("select cast(s_suppkey as bigint) as id, case s_suppkey % 5 when 0 then 'critical' when 1 then 'medium' when 2 then 'odd' else 'low' end as criticality, case when s_suppkey % 5 = 2 then 'criticality=odd' end as reject_reason from supplier")
@@ -401,9 +405,27 @@ def rule_membership(d: Data) -> DataFrame:
     return normed(d).where(rules.rule_membership({"eventTypes": ["authentication_failed", "port_scan"], "usernames": ["u1", "u7", "u12"], "protocols": []})).select("event_id")
 
 
-@query("select event_id from norm where contains(lower(concat(raw_log, ' ', event_type)), 'scan') and (contains(lower(raw_log), 'host-1') or contains(lower(raw_log), 'nmap'))", NORM)
+@query("""select event_id from (select event_id, lower(concat(coalesce(raw_log, ''), ' ', coalesce(parsed, '{}'), ' ', event_type, ' ', event_category)) as low from norm) q where contains(low, 'scan') and (contains(low, 'sysloghost":"host-1') or contains(low, 'nmap'))""", NORM)
 def rule_keywords(d: Data) -> DataFrame:
-    return normed(d).where(rules.rule_keywords({"allKeywords": ["SCAN"], "anyKeywords": ["host-1", "Nmap"]}, rules.searchable())).select("event_id")
+    return normed(d).where(rules.rule_keywords({"allKeywords": ["SCAN"], "anyKeywords": ['syslogHost":"host-1', "Nmap"]}, rules.searchable())).select("event_id")
+
+
+#: So many rules that they are looked up by their keys.
+MANY = [
+    rules.Rule(k, f"K{k}", f"Rule {k}", None, [
+        {"anyKeywords": [f"U{k} from", f"user=u{k} ", f'"user":"u{k}"']}, {"usernames": [f"u{k}"], "eventTypes": ["authentication_failed", "port_scan"]}, {"allKeywords": [f"host-{k % 100}", "Failed"]},
+        {"rawRegex": rf"\bu{k}\b.*ssh2", "categories": ["identity"]}, {"threshold": {"field": "username", "count": 2 + k % 7, "windowMinutes": 720}, "anyKeywords": [f"u{k % 40} "]}, {"matchIoc": True, "assetCriticalities": ["high", "low"], "destinationPorts": [k, k + 1]},
+    ][k % 6]) for k in range(300)
+]
+MANY_SQL = r"""select event_id, concat('K', k) as rule_id from (select *, lower(concat(coalesce(raw_log, ''), ' ', coalesce(parsed, '{}'), ' ', event_type, ' ', event_category)) as low from counted) e cross join (select unnest(range(300)) as k) r where case k % 6
+    when 0 then contains(low, concat('u', k, ' from')) or contains(low, concat('user=u', k, ' ')) or contains(low, concat('"user":"u', k, '"')) when 1 then username = concat('u', k) and event_type in ('authentication_failed', 'port_scan')
+    when 2 then contains(low, concat('host-', k % 100)) and contains(low, 'failed') when 3 then event_category = 'identity' and regexp_matches(coalesce(raw_log, ''), concat('(?i)\bu', k, '\b.*ssh2'))
+    when 4 then contains(low, concat('u', k % 40, ' ')) and n_user >= 2 + k % 7 else n_ioc > 0 and criticality in ('high', 'low') and destination_port in (k, k + 1) end"""
+
+
+@query(MANY_SQL, NORM)
+def rule_index(d: Data) -> DataFrame:
+    return detect.detect(normed(d), d.assets, d.iocs, d.cves, MANY).select("event_id", "match.rule_id")
 
 
 @query(r"select event_id from norm where regexp_matches(raw_log, '(?i)PORT \d+5\b')", NORM)

@@ -105,7 +105,7 @@ def stream_detect(raw: DataFrame, assets: DataFrame, iocs: DataFrame, cves: Data
                 stored = stored.where(F.col("run") < run)
             past = None if stored is None else earlier(own, stored, rules)
             known = enrich_events(own, assets, iocs, cves).persist()
-            matches = evaluate_rules(known, rules, past).persist()
+            matches = evaluate_rules(known, rules, past, own).persist()
             try:
                 write_facts({"security_events": known.withColumn("enrichment", F.to_json("enrichment")), **outputs(matches)}, path, run)
             finally:

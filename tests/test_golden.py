@@ -158,6 +158,28 @@ def test_raw_logs(spark, tmp_path):
         tables.read_raw_logs(spark, str(tmp_path), "other")
 
 
+def test_equal_lines_are_events_of_their_own(spark, tmp_path):
+    line = "Failed password for root from 9.9.9.9"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.log").write_text("\n".join([line] * 5 + [f"other {i}" for i in range(300)] + [line] * 2) + "\n")
+    (tmp_path / "in/b.log").write_text("\r\n".join([line] * 5) + "\r\n")
+    read = lambda **more: tables.read_raw_logs(spark, f"{tmp_path}/in", "syslog", split_bytes=500, **more)
+    rows = read()
+    assert rows.rdd.getNumPartitions() > 3
+    ids = {r.event_id: r.payload for r in rows.collect()}
+    assert len(ids) == 312 and list(ids.values()).count(line) == 12
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "90")  # another cluster deals files out otherwise
+    try:
+        assert {r.event_id for r in read().collect()} == set(ids)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    query = read(stream=True).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()} == set(ids)
+    events = normalize.dedupe_event_id(normalize.normalize_events(rows))
+    assert {r.n for r in rules.threshold_window(events.where("source_ip = '9.9.9.9'"), "source_ip", 5, "n").collect()} >= {1, 2, 3, 4, 5}
+
+
 def test_upsert_overwrites_with_null(spark):
     target = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, name string, mail string")
     new = spark.createDataFrame([(1, "old", 1), (1, None, 2), (3, "c", 1)], "id long, name string, o long")
