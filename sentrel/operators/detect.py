@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import stable_id
 from ..functions.text import or_null
+from ..sources.tables import write_facts
 from .enrich import asset_lookup, ioc_hits
 from .normalize import normalize_events
 from .rules import Rule, evaluate_rules
@@ -92,3 +93,14 @@ def outputs(matches: DataFrame) -> dict[str, DataFrame]:
 def ingest(raw: DataFrame, assets: DataFrame, iocs: DataFrame, cves: DataFrame, rules: list[Rule]) -> DataFrame:
     """Raw logs to matches."""
     return detect(normalize_events(raw), assets, iocs, cves, rules)
+
+
+def store(raw: DataFrame, assets: DataFrame, iocs: DataFrame, cves: DataFrame, rules: list[Rule], path: str, run: str | None = None) -> bool:
+    """Raw logs through the job into the fact tables under `path`, as one committed run; events and matches are made once. False if the run is there already."""
+    events = normalize_events(raw).persist()
+    matches = detect(events, assets, iocs, cves, rules).persist()
+    try:
+        return write_facts({"security_events": events, **outputs(matches)}, path, run)
+    finally:
+        matches.unpersist()
+        events.unpersist()

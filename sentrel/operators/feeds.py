@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.text import or_null
+from ..sources import commits
+
+#: The partition of rows without a day.
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
 
 
 def latest_feed(rows: DataFrame, order: str, tie: str, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -16,6 +22,30 @@ def latest_feed(rows: DataFrame, order: str, tie: str, limit: int = 100, offset:
     return rows.orderBy(F.col(order).desc_nulls_last(), F.col(tie).desc()).offset(offset).limit(limit)
 
 
+def stored_page(rows: DataFrame, order: str, tie: str, limit: int = 100, after: tuple | None = None, day: str = "event_date") -> DataFrame:
+    """The newest rows of a stored table that is partitioned by the day of `order`: only as many of the newest days are read as fill the page.
+
+    `after` is the (order, tie) of the last page's last row, and this page is what follows it, so that no page reads the
+    earlier ones. Rows without a time come last. Days are known from the names of the files; twice as many are
+    looked at each time a page isn't full.
+    """
+    found = {m[1] for f in rows.inputFiles() if (m := re.search(rf"/{day}=([^/]+)/", f))}
+    dated, undated = sorted(found - {NO_DAY}, reverse=True), found & {NO_DAY}
+    if after is not None:
+        at, last = after
+        rows = rows.where(F.col(order).isNull() & (F.col(tie) < last) if at is None else F.col(order).isNull() | (F.col(order) < F.lit(at)) | ((F.col(order) == F.lit(at)) & (F.col(tie) < last)))
+        latest = None if at is None else str(at + dt.timedelta(days=1))[:10]  # dates here are the driver's, days the session's
+        dated = [d for d in dated if at is not None and d <= latest]
+    size = 1
+    while True:
+        own = rows.where(F.col(day).isin(*dated[:size])) if dated[:size] else rows.where("false")
+        if size > len(dated):
+            return latest_feed(own.unionByName(rows.where(F.col(day).isNull())) if undated else own, order, tie, limit)
+        if own.limit(limit).count() >= limit:
+            return latest_feed(own, order, tie, limit)
+        size *= 2
+
+
 def search_ioc(iocs: DataFrame, value: str) -> DataFrame:
     """Indicators whose value holds `value` in any case; % and _ in it are wildcards."""
     return iocs.where(F.lower("ioc_value").like(f"%{value.lower()}%"))
@@ -87,6 +117,22 @@ def dashboard_metrics(alerts: DataFrame, incidents: DataFrame, counted: dict[str
     return reduce(DataFrame.unionByName, parts)
 
 
+def kept_metrics(spark: SparkSession, path: str, counted: dict[str, str], page: int = 10) -> DataFrame:
+    """What dashboard_metrics gives, from the counts that the commits under `path` keep: no fact is read. `counted` has the table of each shown name."""
+    kept = commits.counts(spark, path)
+    rows = [(f"{table}.{key.partition('=')[2]}", n, n) for table, column in (("alerts", "severity"), ("incidents", "status")) for key, n in kept.get(table, {}).items() if key.startswith(f"{column}=") and n]
+    rows += [(f"{name}.count", n, min(n, page)) for name, table in counted.items() for n in [kept.get(table, {}).get("", 0)]]
+    return spark.createDataFrame(sorted(rows), "metric string, value long, shown long")
+
+
+def kept_cards(spark: SparkSession, path: str) -> DataFrame:
+    """What kpi_cards gives, from kept counts."""
+    kept = commits.counts(spark, path)
+    of = lambda table, key: kept.get(table, {}).get(key, 0)
+    row = (of("alerts", "severity=critical"), of("alerts", "severity=high"), of("incidents", "status=open"), of("incidents", "status=resolved"))
+    return spark.createDataFrame([row], "critical_alerts long, high_alerts long, open_incidents long, resolved_incidents long")
+
+
 def kpi_cards(alerts: DataFrame, incidents: DataFrame) -> DataFrame:
     """One row: critical and high alerts, open and resolved incidents."""
     count = lambda c, v: F.count_if(F.col(c) == v)

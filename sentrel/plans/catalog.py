@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import net, scoring
 from ..functions import text as T
 from ..operators import cases, detect, domains, enrich, feeds, normalize, phishing, rules, vuln
-from ..sources import tables
+from ..sources import commits, tables
 from ..sources.scratch import scratch_path
 from ..streaming import detect as detect_stream
 from .fixtures import Data, Spelling, duck
@@ -222,7 +222,7 @@ def append_rows(d: Data) -> DataFrame:
     tables.append_rows(rows.where("id % 2 = 0"), "assets", path)
     tables.append_rows(rows.where("id % 2 = 1"), "assets", path)
     taken = tables.read_table(d.spark, "assets", path).withColumn("reject_reason", F.lit(None).cast("string"))
-    return taken.unionByName(d.spark.read.parquet(f"{path}_rejects")).select("id", "criticality", "reject_reason")
+    return taken.unionByName(tables.read_rejected(d.spark, "assets", path)).select("id", "criticality", "reject_reason")
 
 
 # ---- normalisation ------------------------------------------------------------------------------------------------
@@ -835,15 +835,63 @@ def detection_job(d: Data) -> DataFrame:
     return detect.ingest(d.logs, d.assets, d.iocs, d.cves, RULES).select("event_id", "match.rule_id", "match.confidence", F.array_join("match.reasons", "; ").alias("reasons"))
 
 
-@query("select 'alerts' as fact, count(*) as n from alert_fact union all select 'ids_detections', count(*) from matched union all select 'incidents', count(*) from matched where " + OPENS + " union all select 'security_events', count(*) from norm ", NORM | {"alert_fact": ALERTS_SQL})
+FACTS = ("security_events", "alerts", "ids_detections", "incidents", "incident_audit_trail")
+FACTS_SQL = "select 'alerts' as fact, count(*) as n from alert_fact union all select 'ids_detections', count(*) from matched union all select 'incidents', count(*) from matched where " + OPENS + " union all select 'incident_audit_trail', count(*) from matched where " + OPENS + " union all select 'security_events', count(*) from norm"
+
+
+@query(f"select fact, n, n as counted from ({FACTS_SQL}) q", NORM | {"alert_fact": ALERTS_SQL})
 def write_facts(d: Data) -> DataFrame:
-    """A job's facts, written twice as one run: each stays once."""
-    matches, path = matched(d), scratch_path(d.spark, "facts")
-    facts = {"security_events": normed(d), **detect.outputs(matches)}
+    """A job's facts, written twice as one run: each stays once, and its commit has counted it."""
+    path = scratch_path(d.spark, "facts")
     for _ in range(2):
-        tables.write_facts({t: facts[t] for t in ("security_events", "alerts", "ids_detections", "incidents")}, path, "job")
-    counts = [tables.read_table(d.spark, t, f"{path}/{t}").agg(F.lit(t).alias("fact"), F.count("*").alias("n")) for t in ("security_events", "alerts", "ids_detections", "incidents")]
-    return reduce(DataFrame.unionByName, counts)
+        detect.store(d.logs, d.assets, d.iocs, d.cves, RULES, path, "job")
+    kept = commits.counts(d.spark, path)
+    rows = [tables.read_table(d.spark, t, f"{path}/{t}").agg(F.lit(t).alias("fact"), F.count("*").alias("n"), F.lit(kept[t][""]).cast("long").alias("counted")) for t in FACTS]
+    return reduce(DataFrame.unionByName, rows)
+
+
+#: Where the tables that the dashboard polls have been stored, by session and folder.
+POLLED: dict[tuple[str, str], str] = {}
+
+
+def polled(d: Data) -> str:
+    """The dashboard's tables as committed facts: stored once a session, and read by every poll after that."""
+    key = (d.spark.sparkContext.applicationId, d.dir)
+    if key not in POLLED:
+        path = scratch_path(d.spark, "polled")
+        tables.write_facts({"alerts": detect.alerts(matched(d))}, path)
+        for part in (0, 1):
+            own = {"incidents": d.incidents, "assets": d.assets, "cloud_findings": d.cloud, "endpoint_telemetry": d.endpoint, "phishing_analyses": d.mails.select(F.col("mail_id").alias("analysis_id"))}
+            tables.write_facts({t: df.where(F.pmod(F.xxhash64(df.columns[0]), F.lit(2)) == part) for t, df in own.items()}, path)
+        # every tenth incident is resolved, and open again: counts follow changes
+        changed = d.incidents.where("cast(incident_id as bigint) % 10 = 0").select(F.col("status").alias("before"), F.lit("resolved").alias("after"))
+        commits.count_changes(changed, path, "incidents", "status", "there")
+        commits.count_changes(changed.select(F.col("after").alias("before"), F.col("before").alias("after")), path, "incidents", "status", "back")
+        POLLED[key] = path
+    return POLLED[key]
+
+
+@query()
+def kept_metrics(d: Data) -> DataFrame:
+    """The dashboard's metrics from kept counts."""
+    return feeds.kept_metrics(d.spark, polled(d), {"assets": "assets", "cloud": "cloud_findings", "endpoint": "endpoint_telemetry", "phishing": "phishing_analyses"})
+
+
+@query()
+def kept_cards(d: Data) -> DataFrame:
+    return feeds.kept_cards(d.spark, polled(d))
+
+
+SQL |= {"kept_metrics": SQL["dashboard_metrics"], "kept_cards": SQL["kpi_cards"]}
+
+
+@query("select alert_id, ts from alert_fact order by ts desc nulls last, alert_id desc limit 250 offset 50", {"alert_fact": ALERTS_SQL} | NORM)
+def stored_page(d: Data) -> DataFrame:
+    """A page of the stored alerts after the newest 50."""
+    rows = commits.read_runs(d.spark, "alerts", polled(d), "alert_id string, ts timestamp, event_date date")
+    last = feeds.stored_page(rows, "ts", "alert_id", 50).collect()[-1]
+    page = feeds.stored_page(rows, "ts", "alert_id", 250, (last.ts, last.alert_id))
+    return page.select("alert_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 # ---- streams: the whole table as a stream that is read to its end ---------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,8 @@ from ..operators.detect import outputs
 from ..operators.enrich import enrich_events
 from ..operators.normalize import dedupe_event_id, normalize_events
 from ..operators.rules import Rule, evaluate_rules, thresholds_of
-from ..sources.schemas import schema
+from ..sources import commits
+from ..sources.schemas import TABLES
 from ..sources.tables import write_facts
 
 
@@ -78,41 +80,50 @@ def earlier(batch: DataFrame, stored: DataFrame, rules: list[Rule]) -> DataFrame
     return own[0] if len(own) == 1 else own[0].unionByName(own[1])
 
 
-def stored_events(spark, path: str) -> DataFrame | None:
-    """The security events under `path` with their day, or None where none are written yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/security_events")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema("security_events"))
-    return spark.read.schema(f"{ddl}, event_date date, run string").parquet(f"{path}/security_events")
+def stored_events(spark, path: str, first: dt.datetime, last: dt.datetime) -> DataFrame:
+    """The committed security events under `path` of runs that have some between two times, with their day."""
+    day = dt.timedelta(days=1)  # commits have times in the session's zone, dates here are the driver's
+    return commits.read_runs(spark, "security_events", path, f"{TABLES['security_events']}, event_date date", first=str(first - day), last=str(last + day))
+
+
+def query_id(spark, checkpoint: str) -> str:
+    """The id that a stream keeps over restarts, from its checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first().value)["id"]
 
 
 def stream_detect(raw: DataFrame, assets: DataFrame, iocs: DataFrame, cves: DataFrame, rules: list[Rule], path: str, checkpoint: str, history: Callable[[], DataFrame | None] | None = None, delay: str = "1 hour", once: bool = False) -> StreamingQuery:
-    """Each micro-batch of a raw stream through the batch job into the fact tables under `path`, as the run of its number: a replayed batch writes once.
+    """Each micro-batch of a raw stream through the batch job into the fact tables under `path`, as one committed run of this query and batch: a replayed batch writes once.
 
-    Thresholds look back over stored events besides the batch itself: those under `path` from earlier batches, or
-    what `history()` returns. Of these only id, time and keys are read, for the batch's keys and the longest window.
-    `once` reads what there is and stops.
+    Other streams and batches may write to the same tables. Events whose id is stored already, with a time in the
+    batch's span, are left out: a stream that begins anew with a fresh checkpoint adds only what is new. Thresholds look back
+    over stored events besides the batch itself: those under `path`, or what `history()` returns. Of these only id,
+    time and keys are read, of the batch's span and the longest window before it. `once` reads what there is and stops.
     """
     spark = raw.sparkSession
+    back = dt.timedelta(minutes=max([0, *(minutes for _, minutes in thresholds_of(rules))]))
 
     def work(batch: DataFrame, number: int) -> None:
-        run = f"batch-{number:09}"
-        own = batch.persist()
+        run = f"{query_id(spark, checkpoint)}-{number:09}"
+        if commits.is_committed(spark, path, run):
+            return
+        own = known = matches = None
+        span = batch.persist()
         try:
-            stored = history() if history is not None else stored_events(spark, path)
-            if stored is not None and "run" in stored.columns:
-                stored = stored.where(F.col("run") < run)
-            past = None if stored is None else earlier(own, stored, rules)
+            ends = span.agg(F.count("*").alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+            if not ends.rows:
+                return
+            stored = None if ends.first is None else stored_events(spark, path, ends.first - back, ends.last)
+            fresh = span if stored is None else span.join(stored.where(F.col("ts").between(F.lit(ends.first), F.lit(ends.last))).select("event_id"), "event_id", "left_anti")
+            own = fresh.persist()
+            context = history() if history is not None else stored
+            past = None if context is None else earlier(own, context, rules)
             known = enrich_events(own, assets, iocs, cves).persist()
             matches = evaluate_rules(known, rules, past, own).persist()
-            try:
-                write_facts({"security_events": known.withColumn("enrichment", F.to_json("enrichment")), **outputs(matches)}, path, run)
-            finally:
-                matches.unpersist()
-                known.unpersist()
+            write_facts({"security_events": known.withColumn("enrichment", F.to_json("enrichment")), **outputs(matches)}, path, run)
         finally:
-            own.unpersist()
+            for df in (matches, known, own, span):
+                if df is not None:
+                    df.unpersist()
 
     writer = stream_events(raw, delay).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -118,7 +118,7 @@ def test_rows_outside_an_enum_are_returned(spark, tmp_path):
     rows = spark.createDataFrame([("e1", "warning", T0), ("e2", "high", T0), ("e3", None, T0)], "event_id string, severity string, ts timestamp")
     assert [(r.event_id, r.reject_reason) for r in tables.rejected(rows, "security_events").collect()] == [("e1", "severity=warning")]
     tables.write_facts({"security_events": rows}, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/security_events").count() == 2 and spark.read.parquet(f"{tmp_path}/security_events_rejects").count() == 1
+    assert tables.read_table(spark, "security_events", f"{tmp_path}/security_events").count() == 2 and tables.read_rejected(spark, "security_events", f"{tmp_path}/security_events").count() == 1
 
 
 def test_upserts_row_by_row(spark):
