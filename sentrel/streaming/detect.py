@@ -10,8 +10,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..operators.detect import outputs
 from ..operators.enrich import enrich_events
@@ -27,41 +27,114 @@ def stream_events(raw: DataFrame, delay: str = "1 hour") -> DataFrame:
     return dedupe_event_id(normalize_events(raw), within=delay)
 
 
-def stream_threshold(events: DataFrame, key: str, minutes: int, delay: str = "1 hour") -> DataFrame:
-    """(event_id, key, ts, n): events of the same key in the window before each one, and itself, as threshold_window counts them.
+#: A key's times are kept in so many parts of the window, of which a batch rewrites only those that it adds to.
+PARTS = 64
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    An event is counted once the watermark has reached it, so events that come late by up to `delay` count and are
-    counted exactly as in a batch. State is a key's waiting events and its times from the watermark less the window
-    on; it ends when both are gone. Null and empty keys are left out: their count is 1.
+
+class Counter(StatefulProcessor):
+    """Counts the events of a key in the window before each one, once the watermark has reached it.
+
+    State is three maps by part of the window: events that wait, times that have been counted, and how many these are.
+    A count adds up the sizes of the parts inside the window and looks into the one that it begins in, so neither what
+    is read nor what is written grows with the events of the window, but for that part.
     """
-    width = minutes * 60_000_000
-
-    def count(of: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, times = [], []
-        if state.exists:
-            ids, places, times = state.get
-            waiting, times = list(zip(places, ids, strict=True)), list(times)
-        for rows in frames if not state.hasTimedOut else ():
-            waiting += zip((pd.to_datetime(rows["ts"]).astype("datetime64[us]").astype("int64")).tolist(), rows["event_id"].tolist(), strict=True)
-        waiting.sort()
-        reached = state.getCurrentWatermarkMs() * 1000 + 999  # the watermark is cut to milliseconds
-        ready = bisect_right(waiting, reached, key=lambda w: w[0])
-        out = []
-        for at, event_id in waiting[:ready]:
-            insort(times, at)
-            out.append((event_id, of[0], pd.Timestamp(at, unit="us"), len(times) - bisect_left(times, at - width)))
-        waiting = waiting[ready:]
-        times = times[bisect_left(times, reached - width) :]
-        if waiting or times:
-            state.update(([w[1] for w in waiting], [w[0] for w in waiting], times))
-            state.setTimeoutTimestamp(max((waiting[0][0] if waiting else times[-1] + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
+
+    def __init__(self, width: int):
+        self.width, self.part = width, max(1, width // PARTS)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "part long", "ids array<string>, places array<long>")
+        self.times = handle.getMapState("times", "part long", "places array<long>")
+        self.sizes = handle.getMapState("sizes", "part long", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list[tuple[int, str]]] = {}
+        for frame in rows:
+            places = pd.to_datetime(frame["ts"]).astype("datetime64[us]").astype("int64").tolist()
+            for at, event_id in zip(places, frame["event_id"].tolist(), strict=True):
+                new.setdefault(at // self.part, []).append((at, event_id))
+        for part, events in new.items():
+            if self.waiting.containsKey((part,)):
+                ids, places = self.waiting.getValue((part,))
+                events = [*zip(places, ids, strict=True), *events]
+            self.waiting.updateValue((part,), ([e for _, e in events], [at for at, _ in events]))
+        yield from self.released(key, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.released(key, timerValues)
+
+    def released(self, key: tuple, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        """The counts of what the watermark has reached; the rest waits for a timer."""
+        reached = timerValues.getCurrentWatermarkInMs() * 1000 + 999  # the watermark is cut to milliseconds
+        sizes = {p[0]: n[0] for p, n in self.sizes.iterator()}
+        held: dict[int, list[int]] = {}
+
+        def times(part: int) -> list[int]:
+            if part not in held:
+                held[part] = list(self.times.getValue((part,))[0]) if part in sizes else []
+            return held[part]
+
+        out, changed = [], set()
+        first = None
+        for part in sorted(p[0] for p in self.waiting.keys()):
+            if part * self.part > reached:
+                first = part * self.part if first is None else first
+                break
+            ids, places = self.waiting.getValue((part,))
+            events = sorted(zip(places, ids, strict=True))
+            ready = bisect_right(events, reached, key=lambda e: e[0])
+            for at, event_id in events[:ready]:
+                own, begins = times(part), (at - self.width) // self.part
+                insort(own, at)
+                sizes[part] = len(own)
+                changed.add(part)
+                earlier = times(begins)
+                n = len(earlier) - bisect_left(earlier, at - self.width) + sum(k for p, k in sizes.items() if begins < p <= part)
+                out.append((event_id, key[0], pd.Timestamp(at, unit="us"), n))
+            left = events[ready:]
+            if left:
+                first = left[0][0] if first is None else first
+                if ready:
+                    self.waiting.updateValue((part,), ([e for _, e in left], [at for at, _ in left]))
+            else:
+                self.waiting.removeKey((part,))
+        for part in list(sizes):
+            if (part + 1) * self.part <= reached - self.width:  # no later event counts these
+                sizes.pop(part)
+                changed.discard(part)
+                if self.sizes.containsKey((part,)):
+                    self.times.removeKey((part,))
+                    self.sizes.removeKey((part,))
+        for part in changed:
+            self.times.updateValue((part,), (held[part],))
+            self.sizes.updateValue((part,), (sizes[part],))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        due = first if first is not None else (max(sizes) + 1) * self.part + self.width if sizes else None
+        if due is not None:
+            self.handle.registerTimer(max(due // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["event_id", "key", "ts", "n"])
 
-    keyed = events.where(f"{key} is not null and {key} != ''").select("event_id", key, "ts").withWatermark("ts", delay)
-    return keyed.groupBy(key).applyInPandasWithState(count, "event_id string, key string, ts timestamp, n long", "ids array<string>, places array<long>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
+
+
+def stream_threshold(events: DataFrame, key: str, minutes: int, delay: str = "1 hour") -> DataFrame:
+    """(event_id, key, ts, n): events of the same key in the window before each one, and itself, as threshold_window counts them.
+
+    An event is counted once the watermark has reached it, so events that come late by up to `delay` count and are
+    counted exactly as in a batch. State ends when nothing waits and no time is in the window any more. Null and
+    empty keys are left out: their count is 1. State is kept in RocksDB, which the session is set to where it still has
+    the default store, as that is the only one that holds maps and timers.
+    """
+    conf, name = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in (conf.get(name, None) or "HDFSBacked"):
+        conf.set(name, ROCKS)
+    keyed = events.where(f"{key} is not null and {key} != ''").select("event_id", F.col(key).alias("key"), "ts").withWatermark("ts", delay)
+    return keyed.groupBy("key").transformWithStateInPandas(Counter(minutes * 60_000_000), "event_id string, key string, ts timestamp, n long", "Append", "EventTime")
 
 
 def earlier(batch: DataFrame, stored: DataFrame, rules: list[Rule]) -> DataFrame | None:

@@ -1,12 +1,14 @@
 """The stream gives what the batch gives."""
 
 import datetime as dt
+import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sentrel.operators import detect, normalize, rules
 from sentrel.sources import tables
-from sentrel.streaming.detect import stream_detect, stream_threshold
+from sentrel.streaming.detect import Counter, stream_detect, stream_threshold
 
 from test_golden import scenario
 
@@ -47,6 +49,79 @@ def test_stream_threshold_matches_batch_with_late_events(spark, tmp_path):
     assert got == want
 
 
+class Kept:
+    """A map of state that notes how much is written to it."""
+
+    def __init__(self):
+        self.held, self.written = {}, 0
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+        self.written += len(value[0]) if isinstance(value[0], list) else 1
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+
+class Handle:
+    def __init__(self):
+        self.maps, self.timers = {}, []
+
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, Kept())
+
+    def listTimers(self):
+        return iter(list(self.timers))
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def test_state_written_follows_what_is_new():
+    """One key, 200 batches of 50 events in a window that holds 6400: a batch writes its own events and one part of the window, not the window."""
+    draw = random.Random(3)
+    handle, counter = Handle(), Counter(128 * 60_000_000)
+    counter.init(handle)
+    got, rows, sent = {}, [], []
+    for batch in range(200):
+        own = [(batch * 60_000_000 + draw.randrange(60_000_000), f"{batch}-{i}") for i in range(50)]
+        rows += own
+        frame = pd.DataFrame({"event_id": [i for _, i in own], "ts": pd.to_datetime([at for at, _ in own], unit="us")})
+        before = sum(m.written for m in handle.maps.values())
+        for out in counter.handleInputRows(("k",), iter([frame]), Clock((batch - 5) * 60_000)):
+            got |= dict(zip(out["event_id"], out["n"], strict=True))
+        sent.append(sum(m.written for m in handle.maps.values()) - before)
+    assert max(sent) <= 600 and len(handle.timers) == 1
+    width, rows = 128 * 60_000_000, sorted(rows)
+    assert len(got) > 9000 and all(got[i] == sum(at - width <= t and (t, j) <= (at, i) for t, j in rows) for at, i in rows[::97] if i in got)
+    assert len(handle.maps["sizes"].held) <= 70
+    list(counter.handleExpiredTimer(("k",), Clock(10**9), None))
+    assert not any(m.held for m in handle.maps.values()) and not handle.timers
+
+
 def test_thresholds_look_back_over_batches_and_replays_write_once(spark, tmp_path):
     raw, assets, iocs, cves, loaded = scenario(spark, "web-01")
     parts = [raw.where(f"event_id = 'e{k}'") for k in range(3)]
