@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import net, scoring
 from ..functions import text as T
 from ..operators import cases, detect, domains, enrich, feeds, normalize, phishing, rules, vuln
-from ..sources import commits, tables
+from ..sources import commits, merge, tables
 from ..sources.scratch import scratch_path
 from ..streaming import detect as detect_stream
 from .fixtures import Data, Spelling, duck
@@ -194,6 +195,20 @@ def upsert_by_key(d: Data) -> DataFrame:
     return upsert(d.supplier.selectExpr("s_suppkey as k", "s_name as name", "s_nationkey"), new, "k", ["name"], "o")
 
 
+@query()
+def merge_by_key(d: Data) -> DataFrame:
+    """The same as upsert_by_key, by a stored table that takes the updates of one order after the other."""
+    path, ddl = scratch_path(d.spark, "merged"), "k long, name string, s_nationkey int"
+    merge.merge_by_key(d.supplier.selectExpr("cast(s_suppkey as bigint) as k", "s_name as name", "s_nationkey", "'' as o"), path, ddl, "k", ["name", "s_nationkey"], "o", buckets=16)
+    new = d.lineitem.groupBy((F.col("l_suppkey") * 2).cast("long").alias("k"), F.col("l_returnflag").alias("o")).agg(F.expr("case when max(l_orderkey) % 3 = 0 then null else cast(max(l_orderkey) as string) end").alias("name"))
+    for flag in ("A", "N", "R"):
+        merge.merge_by_key(new.where(F.col("o") == flag), path, ddl, "k", ["name"], "o")
+    return merge.read_merged(d.spark, path, ddl)
+
+
+SQL["merge_by_key"] = SQL["upsert_by_key"]
+
+
 def held(d: Data, df: DataFrame, label: str) -> str:
     """`df` as a Parquet table in a folder of its own under the shared one; its path."""
     path = scratch_path(d.spark, label)
@@ -206,6 +221,16 @@ def read_table(d: Data) -> DataFrame:
     return tables.read_table(d.spark, "assets", held(d, d.assets, "assets")).select("id", "asset_id", "hostname", "criticality", F.size("services").cast("long").alias("services"), "operating_system")
 
 
+@query("select id, asset_id, hostname, criticality, len(services) as services, cast(null as string) as operating_system from assets where criticality != 'low'")
+def read_table_jdbc(d: Data) -> DataFrame:
+    """The same table from a database (the one that Spark brings, in memory), in splits, with a condition that the database answers."""
+    where = {"url": f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = d.assets.select(F.col("id").alias("ID"), F.col("asset_id").alias("ASSETID"), F.col("hostname").alias("HOSTNAME"), F.col("criticality").alias("CRITICALITY"), F.to_json("services").alias("SERVICES"))
+    rows.write.format("jdbc").options(**where, dbtable="ASSETS", createTableColumnTypes="CRITICALITY varchar(20)").mode("append").save()
+    found = tables.read_table(d.spark, "assets", where="CRITICALITY != 'low'", dbtable="ASSETS", partitionColumn="ID", numPartitions=4, **where)
+    return found.select("id", "asset_id", "hostname", "criticality", F.size("services").cast("long").alias("services"), "operating_system")
+
+
 @query("select payload, count(*) as lines, count(*) as ids, count(*) as again, 'raw' as source_type, cast(7 as bigint) as asset_id from (select concat('line ', user_id, ' ', event_type) as payload from events) q group by payload")
 def read_raw_logs(d: Data) -> DataFrame:
     path = scratch_path(d.spark, "lines")
