@@ -48,6 +48,15 @@ NEW_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c
 BEYOND_LATIN = regex.compile("[\u0558-\U0010ffff]")
 
 
+#: Fixed by the library's Unicode version. Marks that later versions move into canonical order or compose: here they stay where they are, and nothing moves across them.
+LATE_MARKS = regex.compile(
+    "([\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27\U00010eab\U00010eac"
+    "\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e\U00011839\U0001183a\U00011930\U0001193d\U0001193e\U00011943"
+    "\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44\U00011d45\U00011d97\U00011f41\U00011f42\U00016ff0\U00016ff1\U0001e08f"
+    "\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef])"
+)
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte: itself where Latin-1 prints it, else the next letter from U+0100."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -109,7 +118,10 @@ def normal(chunk: str) -> str:
     """NFC, then lower case letter by letter (no final sigma)."""
     if chunk.isascii():
         return chunk.lower()
-    chunk = unicodedata.normalize("NFC", chunk)
+    if LATE_MARKS.search(chunk):
+        chunk = "".join(unicodedata.normalize("NFC", part) for part in LATE_MARKS.split(chunk))
+    else:
+        chunk = unicodedata.normalize("NFC", chunk)
     low = (chunk.replace("Σ", "σ") if "Σ" in chunk else chunk).lower()
     return low.translate(NEW_LOWER) if BEYOND_LATIN.search(low) else low
 

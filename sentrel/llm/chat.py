@@ -126,17 +126,21 @@ def format_trees(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     nodes: pack, start, end, depth, position (id of the first token; the others follow), attends (intervals of the
     pack that the ancestors occupy; within the node attention is causal), loss (intervals under the mask: assistant
     texts), segment, path_id (the conversation that ends here, or null). members: conv_id, path_id.
+    path_id is the key of a conversation: its id as text after "=", or empty for null.
     Turns run by number (nulls first), then role and text; repeated rows are turns of their own. Null texts and
-    roles are empty. Rows of a null conversation id belong to none and are left out. Other columns are not read.
+    roles are empty. Rows of a null conversation id are one more conversation. Very long texts are one node, however
+    long. An empty table gives no nodes and no members. Other columns, whatever their names, are not read.
     """
-    kind = conversations.schema[conv_col].dataType.simpleString()
-    rows = conversations.select(F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text")).where("conv_id is not null")
+    kind = "string"
+    key = F.concat(F.lit("="), F.col(f"`{conv_col}`").cast("string"))
+    rows = conversations.select(F.coalesce(key, F.lit("")).alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     turns = written(stream(dealt, f"conv_id {kind}, seq int, node binary, role string, segment string, mask_start int, mask_end int, n int", chained, dict), "turns")
     paths = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "node", "n"))).alias("p")).select("conv_id", F.transform("p", lambda x: x["node"]).alias("path"), F.transform("p", lambda x: x["n"]).alias("sizes"))
     paths = written(paths.withColumn("leaf", F.element_at("path", -1)), "paths")
     reps = paths.groupBy("leaf").agg(F.min("conv_id").alias("path_id"))
-    members = written(paths.select("conv_id", "leaf").join(reps, "leaf").select("conv_id", "path_id"), "members")
+    real = F.when(F.col("conv_id") != "", F.substring("conv_id", 2, 2**31 - 1)).cast(conversations.schema[conv_col].dataType).alias("conv_id")
+    members = written(paths.select("conv_id", "leaf").join(reps, "leaf").select(real, "path_id"), "members")
     some = paths.join(reps.select(F.col("path_id").alias("conv_id")), "conv_id", "left_semi").select("conv_id", "path", "sizes")
     ranked = written(some.repartitionByRange(F.col("path")).sortWithinPartitions("path"), "ranked")
     ranked = ranked.select("*", F.monotonically_increasing_id().alias("ord"))
@@ -155,9 +159,9 @@ def format_trees(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of every member, from the packs alone.
 
-    A pack is read by start; what a node's ancestors gave is kept as hash states by depth, not as text.
+    A pack is read by start; what a node's ancestors gave is kept as hash states by depth, not as text. Null
+    conversations, empty and very long texts and copies come back as they went in; no members give no rows.
     """
-    kind = members.schema["conv_id"].dataType.simpleString()
 
     def row(state: dict, r: dict) -> list[dict]:
         if state.get("pack", state) != r["pack"]:
@@ -180,5 +184,5 @@ def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
         return [{"path_id": r["path_id"], "n_turns": len(stack), "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": total}]
 
     dealt = nodes.select("pack", "start", "depth", "loss", "segment", "path_id").repartition("pack").sortWithinPartitions("pack", "start")
-    found = stream(dealt, f"path_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", row, dict)
+    found = stream(dealt, "path_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", row, dict)
     return members.join(found, "path_id").drop("path_id")

@@ -59,6 +59,12 @@ END_TAG = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in V
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 SLICE_WORDS = re.compile(r"[^a-z]+")
 
+#: Fixed by HTML: a drawing that is still open ends where one of these begins.
+LEAVES_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: What these are is said by their tag; their class or id is about what they tell, so it is no cue.
+NO_CUES = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+#: Start tags of up to so many characters are remembered.
+TAG_LENGTH = 500
 
 SENTENCE = (".", "!", "?", "。")
 
@@ -71,7 +77,7 @@ class Tag:
     def __init__(self, source: str, name: str):
         self.name = name
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(source)}
-        words = [w for k in ("class", "id", "role") for w in SLICE_WORDS.split(re.sub("([a-z])([A-Z])", r"\1 \2", found.get(k, "")).lower()) if w]
+        words = [w for k in ("class", "id", "role") if name not in NO_CUES for w in SLICE_WORDS.split(re.sub("([a-z])([A-Z])", r"\1 \2", found.get(k, "")).lower()) if w]
         self.families = {f for w in words for cue, f in WORD_CUES if (w in (cue, cue + 's') if len(cue) <= 4 else w.startswith(cue))}
         if name in NAMED:
             self.families.add(NAMED[name])
@@ -91,9 +97,11 @@ _tags: dict[str, Tag] = {}
 def tag_of(source: str, name: str) -> Tag:
     tag = _tags.get(source)
     if tag is None:
-        if len(_tags) > 50_000:
-            _tags.clear()
-        tag = _tags[source] = Tag(source, name)
+        tag = Tag(source, name)
+        if len(source) <= TAG_LENGTH:
+            if len(_tags) > 50_000:
+                _tags.clear()
+            _tags[source] = tag
     return tag
 
 
@@ -129,6 +137,11 @@ class Page:
                             break
                     linked, muted = opened["a"], sum(opened[x] for x in MUTE)
                 continue
+            if opened["svg"] and name in LEAVES_SVG and not opened["foreignobject"]:
+                while opened["svg"]:
+                    last, _ = stack.pop()
+                    opened[last] -= 1
+                linked, muted = opened["a"], sum(opened[x] for x in MUTE)
             if name in VOID:
                 if name == "br" and not muted:
                     self.pieces.append((block, stack[-1][1], " "))

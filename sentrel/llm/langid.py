@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from ._shared import as_bytes, col_of, map_texts
+from ._shared import BROADCAST_IDS, as_bytes, col_of, map_texts, passing, written
 
 #: A-Z become a-z; other ASCII than letters is a blank.
 TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -211,15 +212,10 @@ def held_out(id_col: str):
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, per_doc: int, span: int) -> tuple[list[bytes], list[str]]:
-    """Stretches of `span` bytes of about `per_lang` documents of every language, `per_doc` of each spread over its whole text."""
+    """Stretches of `span` bytes of the `per_lang` documents of every language whose ids have the smallest hashes, `per_doc` of each spread over its whole text."""
     able = docs.where(~held_out(id_col) & F.col(f"`{id_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull())
-    counts = able.groupBy(F.col(f"`{lang_col}`").cast("string").alias("lang")).count().collect()
-    if not counts:
-        return [], []
-    often = {r.lang: per_lang / r["count"] for r in counts if r["count"] > per_lang}  # of the others every document is read
-    share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in often.items() for x in pair]), F.col("lang")), F.lit(1.0)) if often else F.lit(1.0)
-    few = able.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), as_bytes(text_col).alias("text"), F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(1 << 20)).alias("h"))
-    few = few.where((F.col("h") < share * (1 << 20)) & F.col("text").isNotNull()).select("lang", "text")
+    lang, own = F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{id_col}`").cast("string")
+    first = Window.partitionBy("lang").orderBy("h", "id")
 
     def start():
         def of(batch: pa.RecordBatch) -> dict:
@@ -232,15 +228,21 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
 
         return of
 
-    rows = map_texts(few, "text", "lang string, parts array<binary>", start).limit(3 * per_lang * len(counts)).collect()
+    with passing(docs.sparkSession):
+        chosen = able.where(F.col(f"`{text_col}`").isNotNull()).select(lang, F.xxhash64(own).alias("h"), own.alias("id")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang)
+        chosen = written(chosen.select("lang", "id").distinct(), "chosen")
+        same = (lang == F.col("__lang")) & (own == F.col("__id"))
+        ids = chosen.toDF("__lang", "__id")
+        few = able.where(F.col(f"`{text_col}`").isNotNull()).join(F.broadcast(ids) if chosen.count() <= BROADCAST_IDS else ids, same, "left_semi").groupBy(lang, own.alias("id")).agg(F.min(as_bytes(text_col)).alias("text"))
+        rows = map_texts(few.select("lang", "text"), "text", "lang string, parts array<binary>", start).collect()
     return [bytes(w) for r in rows for w in r.parts], [r.lang for r in rows for _ in r.parts]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, per_doc: int = 8, span: int = 48, hidden: int = 8, epochs: int = 4, seed: int = 11) -> Network | None:
     """A network from the documents that are not held out; None where none has a language.
 
-    Of each language about `per_lang` documents are read (those of the smallest id hashes; repeated rows each count),
-    of each `per_doc` stretches; null and empty texts give none. Ties in the order of the sample are broken by bytes.
+    Of each language `per_lang` documents are read at most (those of the smallest id hashes, ties by id; of rows
+    that share an id the one of the smallest text), of each `per_doc` stretches; null and empty texts give none. Ties in the order of the sample are broken by bytes.
     """
     parts, langs = sample(docs, id_col, text_col, lang_col, per_lang, per_doc, span)
     if not parts:

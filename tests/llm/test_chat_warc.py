@@ -13,7 +13,7 @@ def sha(s):
 
 def brute(rows):
     out = {}
-    for c, _, role, text in sorted(rows, key=lambda r: (r[0], r[1])):
+    for c, _, role, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
         out.setdefault(c, []).append((role or "", text or ""))
     return {c: (len(t), sha("".join(f"{r}\n{x}\n" for r, x in t)), sum(len(x) for r, x in t if r == "assistant"), sha("".join(x for r, x in t if r == "assistant"))) for c, t in out.items()}
 
@@ -36,7 +36,8 @@ def test_trees_share_and_attend(spark):
         rows += [(c, k, r, t) for k, (r, t) in enumerate(turns)]
     rows += [(100, None, None, None), (100, 1, "user", ""), (100, 1, "user", ""), (None, 1, "user", "lost")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'c' as node", "1 as pack")
-    want = brute([(c, -1 if t is None else t, r, x) for c, t, r, x in rows if c is not None])
+    want = brute([(c, -1 if t is None else t, r, x) for c, t, r, x in rows])
+    assert None in want
     for pack_chars in (1_000_000, 60):
         nodes, members = chat.format_trees(df, pack_chars=pack_chars)
         nodes = nodes.cache()

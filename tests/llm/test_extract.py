@@ -84,6 +84,11 @@ WANT = "A long enough sentence stands here, and goes on for a while.\n\nAnother
         (f"<article>{PROSE}<p>Let <math><mi>x</mi></math> be a number.</p></article>", WANT + "\n\nLet x be a number."),
         (f"<article><div><svg><path d='m'></div>{PROSE}</article>", WANT),
         (f"<article><p><svg><text>no</text>{PROSE}</article>", WANT),
+        (f"<article><svg><path d='m'>{PROSE}</article>", WANT),
+        (f"<article><svg><text>no<foreignObject><p>nor this</p></foreignObject></svg>{PROSE}</article>", WANT),
+        (f'<article id="social-history">{PROSE}</article>', WANT),
+        (f'<article class="post contact-report">{PROSE}</article>', WANT),
+        (f'<body class="page sidebar-left"><nav><a href=/>Home</a></nav><article><h2 id="related-work">Work of others</h2>{PROSE}<h2 id="discussion">What it means</h2>{PROSE}</article>', f"Work of others\n\n{WANT}\n\nWhat it means\n\n{WANT}"),
         (f"<article><header><h1>The title of it</h1></header>{PROSE}</article>", "The title of it\n\n" + WANT),
         (f'<article>{PROSE}<p class="message">The message reads so, and this was all.</p></article>', WANT + "\n\nThe message reads so, and this was all."),
         (f'<article>{PROSE}<p class="printable">It can be printed as well, they say.</p></article>', WANT + "\n\nIt can be printed as well, they say."),

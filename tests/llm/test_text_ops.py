@@ -1,11 +1,13 @@
 """Operators 1, 2 and 3 against brute force over whole tables, and their edge cases."""
 
 import hashlib
+import random
 import re
+import unicodedata
 
 import pytest
 from public_tokenizers import path
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from sentrel.llm import bpe, decontam, queries, secrets
 
@@ -185,6 +187,17 @@ def test_bpe_code_points():
         assert tokens[-1] == lib.decode(want.ids, skip_special_tokens=False)
 
 
+def test_bpe_marks():
+    """Each mark among marks of other classes, random stacks of marks, and every canonical decomposition."""
+    lib = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    marks = [chr(c) for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    texts = [f"q{x}{m}{y}" for m in marks for x, y in (("\u0301", "\u0323"), ("\u0334", "\u0301"), ("\u0345", "\u05b0"))]
+    draw = random.Random(1)
+    texts += ["".join(draw.choice("ao\u0915\U00011935") + "".join(draw.choice([*marks, "\U00011930"]) for _ in range(5)) for _ in range(5)) for _ in range(20_000)]
+    texts += [unicodedata.normalize("NFD", chr(c)) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000]
+    assert [t for t in texts if bpe.normal(t) != lib.normalize_str(t)] == []
+
+
 def test_bpe_edges(spark, edges):
     lib = Tokenizer.from_file(path("word_bpe_49k.json"))
     coded = bpe.encode(edges, queries.VOCABULARY)
