@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions.scoring import stable_id
 
@@ -108,14 +109,25 @@ def custody_chain(events: DataFrame, evidence_id: object) -> DataFrame:
     return events.where(F.col("evidence_id") == evidence_id).orderBy(F.col("ts").desc())
 
 
-def case_overview(incidents: DataFrame, evidence: DataFrame, entries: DataFrame, found: DataFrame, audit: DataFrame) -> DataFrame:
-    """Incidents with sorted arrays of their children: each child is gathered first, so that no two are joined raw."""
+#: Children of each kind that an overview lists.
+LISTED = 1000
+
+
+def case_overview(incidents: DataFrame, evidence: DataFrame, entries: DataFrame, found: DataFrame, audit: DataFrame, most: int = LISTED) -> DataFrame:
+    """Incidents with sorted arrays of their children, the latest `most` of each kind, and `<kind>_total`: how many there are.
+
+    Each child is gathered first, so that no two are joined raw; tasks keep `most` of an incident before anything is
+    shuffled, so a hot incident is no large group. The rest is read by pages (`timeline`, `artifacts`, `audit_trail`).
+    """
 
     def gathered(rows: DataFrame, name: str, *fields: str) -> DataFrame:
-        return rows.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+        latest = Window.partitionBy("incident_id").orderBy(*[F.col(f).desc_nulls_last() for f in fields])
+        listed = rows.select("incident_id", *fields).withColumn("__n", F.row_number().over(latest)).where(F.col("__n") <= most)
+        totals = rows.groupBy("incident_id").agg(F.count("*").alias(f"{name}_total"))
+        return totals.join(listed.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name)), "incident_id")
 
     out = incidents
     for rows, name, fields in ((evidence, "evidence", ("id", "filename")), (entries, "timeline", ("event_ts", "event_description")), (found, "artifacts", ("created_at", "title")), (audit, "audit", ("ts", "action"))):
         out = out.join(gathered(rows, name, *fields), "incident_id", "left")
-        out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
+        out = out.withColumns({name: F.coalesce(name, F.array().cast(out.schema[name].dataType)), f"{name}_total": F.coalesce(f"{name}_total", F.lit(0)).cast("long")})
     return out

@@ -46,17 +46,41 @@ def ioc_candidates(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.explode(F.filter(values, lambda v: v.isNotNull() & (v != ""))).alias("value"))
 
 
+#: Bits of the set that thins candidates out, 64 to a word: a fixed size, so the broadcast is at most a million words (about 30 MB) however many indicators there are.
+BITS = 1 << 26
+
+
+def too_large_to_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own estimate puts this table beyond the session's threshold."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > limit
+
+
+def thinned(candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """`candidates` (with `value`) without most of those that are no value of `known`: a bit of each value's hash, joined by word, so that the others are not shuffled. None that is one is lost."""
+    bit = F.pmod(F.xxhash64("value"), F.lit(BITS))
+    words = known.select(F.shiftright(bit, 6).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))
+    held = candidates.withColumn("__word", F.shiftright(bit, 6)).join(F.broadcast(words), "__word")
+    return held.where(F.getbit("__bits", F.pmod(bit, F.lit(64)).cast("int")) == 1).drop("__word", "__bits")
+
+
+def candidate_hits(events: DataFrame, known: DataFrame) -> DataFrame:
+    """The candidates of events joined with `known` by value. A table of indicators that is too large to be broadcast thins the candidates out before they are shuffled."""
+    candidates = ioc_candidates(events)
+    return (thinned(candidates, known.select("value")) if too_large_to_broadcast(known) else candidates).join(known, "value")
+
+
 def ioc_hits(events: DataFrame, iocs: DataFrame, keep_all: bool = True) -> DataFrame:
     """Events with `ioc_hits`, their matching indicators sorted by id: only hits are gathered, and joined back."""
     known = iocs.select(F.col("ioc_value").alias("value"), F.struct("id", F.col("ioc_value").alias("value"), F.col("ioc_type").alias("type"), "threat_level", "confidence").alias("ioc"))
-    hits = ioc_candidates(events).join(known, "value").groupBy("event_id").agg(F.array_sort(F.collect_set("ioc")).alias("ioc_hits"))
+    hits = candidate_hits(events, known).groupBy("event_id").agg(F.array_sort(F.collect_set("ioc")).alias("ioc_hits"))
     joint = events.join(hits, "event_id", "left" if keep_all else "inner")
     return joint.withColumn("ioc_hits", F.coalesce("ioc_hits", F.array().cast(joint.schema["ioc_hits"].dataType)))
 
 
 def ioc_semi(events: DataFrame, iocs: DataFrame, has: bool = True) -> DataFrame:
     """Events with (or, has=False, without) an indicator."""
-    hit = ioc_candidates(events).join(iocs.select(F.col("ioc_value").alias("value")), "value", "left_semi").select("event_id").distinct()
+    hit = candidate_hits(events, iocs.select(F.col("ioc_value").alias("value")).distinct()).select("event_id").distinct()
     return events.join(hit, "event_id", "left_semi" if has else "left_anti")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net, scoring
 from ..functions import text as T
-from ..operators import cases, detect, domains, enrich, feeds, normalize, phishing, rules, vuln
+from ..operators import cases, detect, domains, enrich, feeds, normalize, phishing, rules, search, vuln
 from ..sources import commits, merge, tables
 from ..sources.scratch import scratch_path
 from ..streaming import detect as detect_stream
@@ -752,7 +752,7 @@ def artifacts(d: Data) -> DataFrame:
 @query("select i.incident_id as incident_id, coalesce(e.v, '') as evidence, coalesce(t.n, 0) as timeline, coalesce(a.n, 0) as artifacts, coalesce(u.v, '') as audit from incidents i left join (select incident_id, string_agg(filename, '|' order by id) as v from evidence group by 1) e on i.incident_id = e.incident_id left join (select incident_id, count(*) as n from entries group by 1) t on i.incident_id = t.incident_id left join (select incident_id, count(*) as n from found group by 1) a on i.incident_id = a.incident_id left join (select incident_id, string_agg(action, '|' order by turn, action) as v from audit group by 1) u on i.incident_id = u.incident_id")
 def case_overview(d: Data) -> DataFrame:
     whole = cases.case_overview(d.incidents, d.evidence, d.entries, d.found, d.audit.withColumnRenamed("turn", "ts"))
-    return whole.select("incident_id", bar("evidence.filename").alias("evidence"), F.size("timeline").cast("long").alias("timeline"), F.size("artifacts").cast("long").alias("artifacts"), bar("audit.action").alias("audit"))
+    return whole.select("incident_id", bar("evidence.filename").alias("evidence"), F.col("timeline_total").alias("timeline"), F.col("artifacts_total").alias("artifacts"), bar("audit.action").alias("audit"))
 
 
 # ---- intelligence, feeds, dashboard -------------------------------------------------------------------------------
@@ -763,6 +763,22 @@ def search_ioc(d: Data) -> DataFrame:
     return feeds.search_ioc(d.iocs, ".1_.").select("id", "ioc_value")
 
 
+@query("select id, ioc_value, 'some' as pattern from iocs where lower(ioc_value) like '%1.1_%.2%' union all select id, ioc_value, 'short' from iocs where lower(ioc_value) like '%9_.%' union all select id, ioc_value, 'long' from iocs where lower(ioc_value) like '%10.10.1.%'")
+def find_iocs(d: Data) -> DataFrame:
+    """Three searches by the stored index."""
+    path = scratch_path(d.spark, "grams")
+    search.index_iocs(d.iocs, path, 16)
+    return reduce(DataFrame.unionByName, [search.find_iocs(d.spark, path, value, 16).select("id", "ioc_value", F.lit(name).alias("pattern")) for name, value in (("some", "1.1_%.2"), ("short", "9_."), ("long", "10.10.1."))])
+
+
+@query("select event_id, cast(coalesce(h.n, 0) as bigint) as hits from norm n left join hits h using (event_id)", NORM)
+def ioc_hits_thinned(d: Data) -> DataFrame:
+    """Hits as if the indicators were too many to be broadcast."""
+    rows, known = normed(d), d.iocs.select(F.col("ioc_value").alias("value"), "id")
+    found = enrich.thinned(enrich.ioc_candidates(rows), known.select("value")).join(known, "value").groupBy("event_id").agg(F.count("*").alias("hits"))
+    return rows.select("event_id").join(found, "event_id", "left").select("event_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
+
+
 @query("select id, ioc_value, created_at from iocs order by created_at desc, id desc limit 100 offset 10")
 def list_iocs(d: Data) -> DataFrame:
     return feeds.list_iocs(d.iocs, 100, 10).select("id", "ioc_value", "created_at")
