@@ -82,3 +82,17 @@ def test_rows_of_null_and_repeated_ids(spark, sf_dir):
     docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     left = [(r.doc_id, r.text) for r in corpus_pipeline.deduplicated(spark, docs, sf_dir).collect()]
     assert sorted(left, key=str) == sorted([(-3, copy), (7, clean("u")), (9, clean("w")), (11, None), (None, "a b"), (None, clean("t"))], key=str)
+
+
+def test_operators_in_threads_leave_each_other_alone(spark, sf_dir):
+    """Four operators at once, of which each deletes what it wrote on the way: the rows are those of one after the other."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from sentrel.llm import decontam, lexical, minhash, rules
+
+    docs, bench = queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "benchmark")
+    work = [lambda: decontam.decontaminate(docs, bench), lambda: rules.quality_rules(docs), lambda: minhash.near_duplicates(docs), lambda: lexical.search(docs, bench, 5)]
+    rows = lambda of: sorted(map(str, of().collect()))
+    with ThreadPoolExecutor(4) as pool:
+        together = list(pool.map(rows, work))
+    assert together == [rows(w) for w in work] and all(together)
