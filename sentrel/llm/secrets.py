@@ -4,8 +4,8 @@
    hashes, as strings of character classes: no credential is written anywhere or sent to the driver.
 2. The bounded samples that follow build prefix trees; states whose outgoing frequencies agree within a Hoeffding
    bound are merged (red-blue order), which gives one probabilistic automaton a kind and one of ordinary tokens.
-3. A second pass finds the base spans again and scores every other token: the best kind's log-likelihood less that of
-   the ordinary automaton. Those over `margin` become spans of kind `format`. Automata read classes, so a task scores
+3. A second pass finds the base spans again and scores every other token: the best kind's log-likelihood, of its
+   automaton and of the value's length, less that of ordinary tokens. Those over `margin` become spans of kind `format`. Automata read classes, so a task scores
    each string of classes once.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 import xxhash
@@ -51,6 +51,7 @@ CLASSES = bytes(ord(symbol(chr(b))) if b < 128 else b for b in range(256))
 #: A hex run of the base kind, in classes.
 LONG_HEX = re.compile(b"[9h]{24}")
 SYMBOLS = 12  # classes that a candidate can hold, and the end
+LENGTHS = 28  # steps of length up to some hundred characters
 
 SPANS = "array<struct<kind:string,start:long,end:long,value:string>>"
 
@@ -232,26 +233,46 @@ def samples(docs: DataFrame, text_col: str, sizes: dict[str, int], max_chars: in
     return out
 
 
+class Lengths:
+    """Log-probabilities of a value's length, by quarters of an octave: the loops that merging makes in an automaton forget it."""
+
+    def __init__(self, values: list[bytes]):
+        held = Counter(self.step(len(v)) for v in values)
+        self.known = {step: math.log((n + 0.5) / (len(values) + 0.5 * LENGTHS)) for step, n in held.items()}
+        self.rare = math.log(0.5 / (len(values) + 0.5 * LENGTHS))
+
+    @staticmethod
+    def step(n: int) -> int:
+        return int(4 * math.log2(n))
+
+    def likelihood(self, n: int) -> float:
+        return self.known.get(self.step(n), self.rare)
+
+
 class Judge:
-    """Whether a string of classes reads like a credential: its best automaton's log-likelihood less the ordinary one's passes the margin."""
+    """Whether a string of classes reads like a credential: the likelihood of its best format, by automaton and length, less the ordinary one's passes the margin."""
 
-    def __init__(self, automata: dict[str, Automaton], ordinary: Automaton, margin: float):
-        self.automata, self.ordinary, self.margin = automata, ordinary, margin
+    def __init__(self, formats: dict[str, tuple[Automaton, Lengths]], ordinary: tuple[Automaton, Lengths], margin: float):
+        self.formats, self.ordinary, self.margin = formats, ordinary, margin
         self.known: dict[bytes, bool] = {}
 
+    def score(self, classes: bytes) -> float:
+        of = lambda f: f[0].likelihood(classes) + f[1].likelihood(len(classes))
+        return max(map(of, self.formats.values())) - of(self.ordinary)
+
     def __call__(self, classes: bytes) -> bool:
         found = self.known.get(classes)
         if found is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            found = self.known[classes] = max(a.likelihood(classes) for a in self.automata.values()) - self.ordinary.likelihood(classes) > self.margin
+            found = self.known[classes] = self.score(classes) > self.margin
         return found
 
 
 def learn(docs: DataFrame, text_col: str, max_labels: int, max_ordinary: int, max_label_chars: int, margin: float) -> Judge | None:
     values = samples(docs, text_col, dict.fromkeys(KINDS, max_labels) | {"ordinary": max_ordinary}, max_label_chars)
-    automata = {k: infer(values[k]) for k in KINDS if values[k]}
-    return Judge(automata, infer(values["ordinary"]), margin) if values["ordinary"] and automata else None
+    formats = {k: (infer(values[k]), Lengths(values[k])) for k in KINDS if values[k]}
+    return Judge(formats, (infer(values["ordinary"]), Lengths(values["ordinary"])), margin) if values["ordinary"] and formats else None
 
 
 def spans_of(raw: bytes | None, judge: Judge | None) -> tuple[str, list[tuple[str, int, int, str]]]:

@@ -100,6 +100,18 @@ def test_formats_precision_and_recall(spark):
     assert hit > 0.75 * len(planted) and false < 0.02 * hit
 
 
+def test_short_odd_words_are_no_secrets(spark):
+    """Labels of one long format, and among ordinary words a few odd ones: capitals, abbreviations with a number."""
+    draw = random.Random(2)
+    word = lambda: "".join(draw.choice(["an", "ed", "ing", "or", "de", "st", "ea"]) for _ in range(draw.randrange(3, 8)))
+    hexes = ["".join(draw.choice("0123456789abcdef") for _ in range(40)) for _ in range(130)]
+    odd = ["EDEDEA", "edan.55", "eau.42", "der.33", "del.05", "del.47"]
+    rows = [(i, " ".join(word() for _ in range(60)) + f' secret = "{h}" ') for i, h in enumerate(hexes)]
+    rows += [(1000 + i, " ".join(word() for _ in range(9)) + f" {o} ") for i, o in enumerate(odd)] + [(2000, f"see ghp_{hexes[0][:18].upper()}{hexes[1][:18]}")]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[1000 + i] for i in range(len(odd))) and got[2000] == ["format"]
+
+
 def test_no_secret_is_written(spark, monkeypatch):
     from sentrel.llm import _shared
 
