@@ -286,7 +286,8 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     `ids_as="array"` gives array<int>; "text" gives decimal ids joined by one space. `decoded` adds the text that
     decoding the ids gives, special tokens kept: for this vocabulary (no decoder) its tokens joined by one space.
     Null is as empty: no ids. Special tokens' own strings in a text become those tokens. Repeated rows each get a
-    row; other columns are not read. Every executor must be able to open `vocab_path`.
+    row, an empty table gives none; other columns, whatever their names, are not read. A very long text is encoded in
+    slices by one task. Every executor must be able to open `vocab_path`.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     as_array = ids_as == "array"
@@ -308,7 +309,11 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, decoded) of rows with an array of ids; null ids give null, ids outside the vocabulary are skipped."""
+    """(doc_id, decoded) of rows with an array of ids; null ids give null, no ids an empty text, ids outside the vocabulary are skipped.
+
+    Repeated rows each get a row, an empty table gives none; very long arrays are decoded whole, in one task; other
+    columns, whatever their names, are not read.
+    """
 
     @F.pandas_udf("string")
     def text(ids):

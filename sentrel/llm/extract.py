@@ -465,7 +465,9 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: st
     """(page_id, url, text) for each row: blocks of the main text, joined by two line ends; "" where there is none.
 
     White space inside a block is one space, character references are decoded, <br> is white space. Null and empty
-    html give "". Broken markup is read as far as it goes. Repeated rows each get a row; other columns are not read.
+    html give "". Broken markup is read as far as it goes. Repeated rows each get a row, an empty
+    table gives none. A very long page is read whole by one task. A node is content at over one half, so a tie is
+    not. Other columns, whatever their names, are not read.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     shared = pages.sparkSession.sparkContext.broadcast(model)

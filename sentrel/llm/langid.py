@@ -259,7 +259,8 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     """(doc_id, held_out, lang_pred, score) for each row, from the whole text alone.
 
     Null, empty and letterless texts, and all texts where no language was learned, are `und` with score 0. A null
-    id stays null and is not held out; repeated rows each get a row; other columns are not read.
+    id stays null and is not held out; repeated rows each get a row, an empty table gives none; of equal scores the
+    first label counts. Very long texts are read whole, window by window; other columns, whatever their names, are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(network)

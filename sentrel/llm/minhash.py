@@ -317,7 +317,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs without white space (ASCII), A-Z lower-cased; a set holds the distinct 5-word shingles, or the
     whole sequence if it has fewer words. Texts without words, and null texts, are linked with nothing. Rows of a
     null id have component_id null and are kept, and link nothing. Ids should be unique; of rows that share one
-    but not a text, each gets the component of its own text. Other columns of `docs` are not read.
+    but not a text, each gets the component of its own text. An empty table gives no rows. A very long text is one
+    row of one task, as a set of 8 bytes a shingle. Other columns of `docs`, whatever their names, are not read.
     """
     with passing(docs.sparkSession):
         sigs = written(signatures(docs, id_col, text_col), "signatures")

@@ -122,7 +122,8 @@ def grade_documents(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_i
     """(doc_id, grade: expected, tail: probability of the top grade, kept: tail >= least_tail) for each row, from whole texts.
 
     Null and empty texts have score 0, so their grade is what the thresholds alone give. Without a model grade and
-    tail are null and every row is kept. A null id stays null; repeated rows each get a row.
+    tail are null and every row is kept. A null id stays null; repeated rows each get a row, an empty table gives none.
+    A very long text is one row of one task. Other columns, whatever their names, are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -337,6 +337,7 @@ def masked(value: str | None, judge: Judge | None) -> str | None:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = 300, max_ordinary: int = 5000, max_label_chars: int = 96, margin: float = 12.0) -> DataFrame:
     """`docs` with every found span masked; rows and columns stay, nulls too, and each row is judged by its own text.
 
+    Empty texts stay empty, an empty table stays one, very long texts are masked whole, repeated rows alike.
     The automata are learned as in scan_secrets; the rows are rewritten where they lie, without a shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, text_col, max_labels, max_ordinary, max_label_chars, margin))
