@@ -396,9 +396,8 @@ def by_index(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     keyed = lambda name, value: F.concat(F.lit(f"{name}:"), value.cast("string"))
     keys = [F.array(F.lit("any"), F.when(F.size("ioc_hits") > 0, "ioc"), keyed("asset", F.col("asset.criticality")), *[keyed(k, F.col(c)) for k, c in LISTS.items()])]
     if grams:
-        n = F.char_length("__text")
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(n - (GRAM - 1), F.lit(1))), lambda i: F.substring("__text", i, F.lit(GRAM)))
-        keys.append(F.transform(F.filter(F.array_distinct(cut), lambda g: g.isin(grams)), lambda g: F.concat(F.lit("k:"), g)))
+        cut = F.regexp_extract_all("__text", F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1)
+        keys.append(F.transform(F.array_distinct(F.filter(cut, lambda g: g.isin(grams))), lambda g: F.concat(F.lit("k:"), g)))
     rows = rows.withColumn("__keys", F.filter(F.concat(*keys), lambda k: k.isin(held)))
     rows = rows.withColumn("__anchor", F.explode("__keys")).join(F.broadcast(table), F.col("__anchor") == F.col("__at"))
     r = lambda name: F.col(f"__rule.{name}")
