@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from .schemas import ENUMS
 
-COMMITS = "_commits"
+COMMITS, REPLACED = "_commits", "_commits/replaced"
 
 
 @dataclass
@@ -79,13 +79,13 @@ def committed(spark: SparkSession, path: str) -> list[Commit]:
     return [found[r] for r in sorted(found) if r not in gone]
 
 
-def commit_path(path: str, run: str) -> str:
-    return f"{path}/{COMMITS}/{quote(run, safe='')}.json"
+def commit_path(path: str, run: str, folder: str = COMMITS) -> str:
+    return f"{path}/{folder}/{quote(run, safe='')}.json"
 
 
 def is_committed(spark: SparkSession, path: str, run: str) -> bool:
     """Whether this run has been written, also where another one has replaced it since: its commit stays."""
-    return exists(spark, commit_path(path, run))
+    return exists(spark, commit_path(path, run)) or exists(spark, commit_path(path, run, REPLACED))
 
 
 def table_folder(path: str, table: str, single: bool) -> str:
@@ -172,11 +172,17 @@ def compact(spark: SparkSession, path: str, ddl: dict[str, str], times: dict[str
         refused = read_runs(spark, table, path, f"{ddl[table]}, reject_reason string", rejected=True)
         both = rows.unionByName(refused)
         outputs[table] = both.repartition(F.to_date(times[table]), F.pmod(F.xxhash64(*both.columns[:1]), F.lit(8))) if table in times else both
-    return write_run(outputs, path, times, f"compact-{uuid.uuid4().hex}", replaces=[c.run for c in old])
+    return write_run(outputs, path, times, f"compact-{uuid.uuid4().hex}", replaces=sorted({r for c in old for r in (c.run, *c.replaces)}))
 
 
 def vacuum(spark: SparkSession, path: str, tables: list[str], single: bool = False) -> list[str]:
-    """Delete the folders of runs that no commit names: of writes that failed, and of runs that were replaced. Run it while nobody writes or reads old runs. Their names."""
+    """Delete the folders of runs that no commit names: of writes that failed, and of runs that were replaced, whose commits are put away. Run it while nobody writes or reads old runs. The folders' names."""
+    for run in sorted({r for c in committed(spark, path) for r in c.replaces}):
+        fs, old = file_system(spark, commit_path(path, run))
+        if fs.exists(old):
+            new = spark._jvm.org.apache.hadoop.fs.Path(commit_path(path, run, REPLACED))
+            fs.mkdirs(new.getParent())
+            fs.rename(old, new)
     named = {own["folder"] for c in committed(spark, path) for own in c.tables.values()}
     gone = []
     for table in tables:

@@ -43,6 +43,20 @@ def test_runs_are_written_once_and_whole(spark, tmp_path):
     assert not tables.write_facts({"alerts": first}, path, "one/1"), "a run that was made part of another one is still written"
     assert len(commits.vacuum(spark, path, ["alerts"])) == 3 and ids(read()) == ["a1", "a3", "a4"]
     assert not tables.compact_facts(spark, path)
+    assert len(list((tmp_path / "_commits").glob("*.json"))) == 1 and not tables.write_facts({"alerts": first}, path, "one/1")
+
+
+def test_what_is_made_one_twice_stays_one(spark, tmp_path):
+    path = str(tmp_path)
+    read = lambda: ids(tables.read_table(spark, "alerts", f"{path}/alerts"))
+    for k in range(2):
+        tables.write_facts({"alerts": alerts(spark, (f"a{k}", "high", 0))}, path, f"r{k}")
+    assert tables.compact_facts(spark, path)
+    tables.write_facts({"alerts": alerts(spark, ("a5", "high", 0))}, path, "r5")
+    assert tables.compact_facts(spark, path)
+    commits.vacuum(spark, path, ["alerts"])
+    assert read() == ["a0", "a1", "a5"] and len(commits.committed(spark, path)) == 1
+    assert not any(tables.write_facts({"alerts": alerts(spark, ("a9", "high", 0))}, path, r) for r in ("r0", "r1", "r5"))
 
 
 def test_put_once(spark, tmp_path):
