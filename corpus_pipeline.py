@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sentrel.llm import bpe, decontam, minhash, queries, rules, secrets
-from sentrel.llm._shared import written
+from sentrel.llm._shared import scratch_path
+from sentrel.sources.commits import remove as deleted
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    """The rows of the last stage. Each stage's documents are written once, and deleted when the next stage's are; the last ones stay, as the result reads them."""
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            deleted(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
