@@ -240,3 +240,12 @@ def test_appends_conform(spark, tmp_path):
 def test_search_takes_wildcards(spark):
     iocs = spark.createDataFrame([(1, "Evil.Example"), (2, "good")], "id long, ioc_value string")
     assert [r.id for r in feeds.search_ioc(iocs, "evil_ex").collect()] == [1]
+
+
+def test_all_digests_of_a_table(spark, sf_dir):
+    import hashlib
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for r in docs.select("text", *[c.alias(n) for n, c in scoring.content_hashes(F.col("text")).items()]).collect():
+        for name in ("md5", "sha1", "sha256", "sha512"):
+            assert r[f"{name}_hash"] == (None if r.text is None else hashlib.new(name, r.text.encode()).hexdigest())
