@@ -118,12 +118,13 @@ def normal(chunk: str) -> str:
     """NFC, then lower case letter by letter (no final sigma)."""
     if chunk.isascii():
         return chunk.lower()
-    if LATE_MARKS.search(chunk):
+    beyond = BEYOND_LATIN.search(chunk) is not None  # else there are neither late marks nor new letters, in the chunk or made of it
+    if beyond and LATE_MARKS.search(chunk):
         chunk = "".join(unicodedata.normalize("NFC", part) for part in LATE_MARKS.split(chunk))
     else:
         chunk = unicodedata.normalize("NFC", chunk)
     low = (chunk.replace("Σ", "σ") if "Σ" in chunk else chunk).lower()
-    return low.translate(NEW_LOWER) if BEYOND_LATIN.search(low) else low
+    return low.translate(NEW_LOWER) if beyond else low
 
 
 def parted(text: str) -> list[str]:
