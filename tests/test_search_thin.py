@@ -66,3 +66,12 @@ def test_overviews_list_the_latest_and_count_the_rest(spark):
     assert (got["a"].timeline_total, got["a"].evidence_total, got["a"].artifacts_total, got["a"].audit_total) == (500, 30, 3, 0)
     assert [e.event_ts for e in got["a"].timeline] == [f"x{i:04}" for i in range(490, 500)] and len(got["a"].artifacts) == 3 and got["a"].audit == []
     assert got["b"].timeline == [] and got["b"].timeline_total == 0
+
+
+def test_overviews_list_every_child_of_a_large_incident(spark):
+    incidents = spark.createDataFrame([("a",), ("b",)], "incident_id string")
+    children = lambda n, *names: spark.range(n).select(F.lit("a").alias("incident_id"), *[F.concat(F.lit("x"), F.lpad(F.col("id").cast("string"), 4, "0")).alias(c) for c in names])
+    whole = cases.case_overview(incidents, children(1500, "id", "filename"), children(1200, "event_ts", "event_description"), children(3, "created_at", "title"), children(0, "ts", "action"))
+    got = {r.incident_id: r for r in whole.collect()}
+    assert [e.filename for e in got["a"].evidence] == [f"x{i:04}" for i in range(1500)] and got["a"].evidence_total == 1500
+    assert len(got["a"].timeline) == got["a"].timeline_total == 1200 and got["b"].evidence == [] and got["b"].timeline_total == 0
