@@ -129,3 +129,24 @@ def test_rules_are_bounded(spark, monkeypatch):
     with pytest.raises(ValueError, match="more than 2"):
         rules.load_rules(table)
     assert len(rules.load_rules(table.where("id < 2"))) == 2
+
+
+def test_a_job_parses_each_event_once_and_carries_no_indicators(spark):
+    from sentrel.operators import detect
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    logs = spark.range(300).selectExpr("cast(id as string) as event_id", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(id as int)) as ts", "'raw' as source_type", "cast(null as long) as asset_id", "concat('port scan from 9.9.9.', id % 3) as payload")
+    raw = logs.mapInArrow(passed, logs.schema)
+    assets = spark.createDataFrame([(1, "h", "9.9.9.1", "high")], "id long, hostname string, ip_address string, criticality string")
+    iocs = spark.range(500).selectExpr("id", "'ip' as ioc_type", "'9.9.9.2' as ioc_value", "'high' as threat_level", "1 as confidence")
+    wanted = [rules.Rule(1, "R1", "Indicator", "high", {"matchIoc": True}), rules.Rule(2, "R2", "Busy", "high", {"threshold": {"field": "sourceIp", "count": 50, "windowMinutes": 60}})]
+    rows = detect.ingest(raw, assets, iocs, None, wanted).collect()
+    assert seen.value == 300
+    assert sum(r.match.rule_id == "R1" for r in rows) == 100 and sum(r.match.rule_id == "R2" for r in rows) == 153
+    assert all(r.ioc_hits == ["9.9.9.2"] for r in rows if r.match.rule_id == "R1")
