@@ -19,12 +19,13 @@ from ..operators.normalize import dedupe_event_id, normalize_events
 from ..operators.rules import Rule, evaluate_rules, thresholds_of
 from ..sources import commits
 from ..sources.schemas import TABLES
+from ..sources.scratch import written
 from ..sources.tables import write_facts
 
 
 def stream_events(raw: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Normalised events of a raw stream, each id once within the watermark."""
-    return dedupe_event_id(normalize_events(raw), within=delay)
+    """Normalised events of a raw stream, each id once within the watermark: rows are dealt by id for that, and parsed in all tasks after it."""
+    return normalize_events(dedupe_event_id(raw.select("event_id", "ts", "source_type", "asset_id", "payload"), within=delay))
 
 
 #: A key's times are kept in so many parts of the window, of which a batch rewrites only those that it adds to.
@@ -179,24 +180,28 @@ def stream_detect(raw: DataFrame, assets: DataFrame, iocs: DataFrame, cves: Data
         run = f"{query_id(spark, checkpoint)}-{number:09}"
         if commits.is_committed(spark, path, run):
             return
-        own = known = matches = None
-        span = batch.persist()
+        paths: list[str] = []
+        # a stream's session plans without sizes, so each step and each day's files would have all its shuffle partitions
+        conf, name = batch.sparkSession.conf, "spark.sql.adaptive.enabled"
+        before = conf.get(name)
+        conf.set(name, "true")
         try:
+            span = written(batch.repartition("event_id"), "span", paths)
             ends = span.agg(F.count("*").alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last")).first()
             if not ends.rows:
                 return
             stored = None if ends.first is None else stored_events(spark, path, ends.first - back, ends.last)
             fresh = span if stored is None else span.join(stored.where(F.col("ts").between(F.lit(ends.first), F.lit(ends.last))).select("event_id"), "event_id", "left_anti")
-            own = fresh.persist()
+            own = span if stored is None else written(fresh, "fresh", paths)
             context = history() if history is not None else stored
             past = None if context is None else earlier(own, context, rules)
-            known = enrich_events(own, assets, iocs, cves).persist()
-            matches = evaluate_rules(known, rules, past, own).persist()
+            known = written(enrich_events(own, assets, iocs, cves), "known", paths)
+            matches = written(evaluate_rules(known, rules, past, own).drop("raw_log", "parsed_data", "enrichment"), "matches", paths)
             write_facts({"security_events": known.withColumn("enrichment", F.to_json("enrichment")), **outputs(matches)}, path, run)
         finally:
-            for df in (matches, known, own, span):
-                if df is not None:
-                    df.unpersist()
+            for folder in paths:
+                commits.remove(spark, folder)
+            conf.set(name, before)
 
     writer = stream_events(raw, delay).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
