@@ -180,6 +180,18 @@ def test_equal_lines_are_events_of_their_own(spark, tmp_path):
     assert {r.n for r in rules.threshold_window(events.where("source_ip = '9.9.9.9'"), "source_ip", 5, "n").collect()} >= {1, 2, 3, 4, 5}
 
 
+def test_small_splits_share_tasks_and_name_lines_as_before(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.log").write_text("".join(f"line {i % 7}\n" for i in range(4000)))
+    read = lambda: tables.read_raw_logs(spark, str(tmp_path), "raw", split_bytes=300)
+    rows = read()
+    assert rows.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    ids = {r.event_id: r.payload for r in rows.collect()}
+    assert len(ids) == 4000
+    monkeypatch.setattr(tables, "SPLIT_BYTES", 300)  # a task for each split
+    alone = read()
+    assert alone.rdd.getNumPartitions() > 90 and {r.event_id: r.payload for r in alone.collect()} == ids
+
+
 def test_upsert_overwrites_with_null(spark):
     target = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, name string, mail string")
     new = spark.createDataFrame([(1, "old", 1), (1, None, 2), (3, "c", 1)], "id long, name string, o long")
