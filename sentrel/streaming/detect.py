@@ -30,15 +30,19 @@ def stream_events(raw: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 #: A key's times are kept in so many parts of the window, of which a batch rewrites only those that it adds to.
 PARTS = 64
+#: Events that wait are kept in lots of up to so many, of which a batch reads those that the watermark has reached.
+LOT = 512
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Counter(StatefulProcessor):
     """Counts the events of a key in the window before each one, once the watermark has reached it.
 
-    State is three maps by part of the window: events that wait, times that have been counted, and how many these are.
-    A count adds up the sizes of the parts inside the window and looks into the one that it begins in, so neither what
-    is read nor what is written grows with the events of the window, but for that part.
+    State is three maps: lots of events that wait, by their first place, and by part of the window times that have been
+    counted, and how many these are. A count adds up the sizes of the parts inside the window and looks into the one
+    that it begins in, so neither what is read nor what is written grows with the events of the window, but for that
+    part and the lot that the watermark is in. Each use of state is a message to the JVM, so a key's uses in a batch
+    grow with its lots and the parts that stay, not with its events.
     """
 
     def __init__(self, width: int):
@@ -46,76 +50,88 @@ class Counter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "part long", "ids array<string>, places array<long>")
+        self.waiting = handle.getMapState("waiting", "first long, number long", "ids array<string>, places array<long>")
         self.times = handle.getMapState("times", "part long", "places array<long>")
         self.sizes = handle.getMapState("sizes", "part long", "n long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list[tuple[int, str]]] = {}
+        new: list[tuple[int, str]] = []
         for frame in rows:
             places = pd.to_datetime(frame["ts"]).astype("datetime64[us]").astype("int64").tolist()
-            for at, event_id in zip(places, frame["event_id"].tolist(), strict=True):
-                new.setdefault(at // self.part, []).append((at, event_id))
-        for part, events in new.items():
-            if self.waiting.containsKey((part,)):
-                ids, places = self.waiting.getValue((part,))
-                events = [*zip(places, ids, strict=True), *events]
-            self.waiting.updateValue((part,), ([e for _, e in events], [at for at, _ in events]))
-        yield from self.released(key, timerValues)
+            new += zip(places, frame["event_id"].tolist(), strict=True)
+        yield from self.released(key, timerValues, new)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.released(key, timerValues)
-
-    def released(self, key: tuple, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        yield from self.released(key, timerValues, [])
+
+    def split(self, new: list[tuple[int, str]], reached: int) -> tuple[list[tuple[int, str]], int | None]:
+        """What the watermark has reached of the new events and of those that waited, in order, and the first place that still waits. The rest is kept in lots."""
+        lots, events = sorted(self.waiting.keys()), list(new)
+        begun = [lot for lot in lots if lot[0] <= reached]
+        for lot in begun:
+            ids, places = self.waiting.getValue(lot)
+            events += zip(places, ids, strict=True)
+            self.waiting.removeKey(lot)
+        events.sort()
+        ready = bisect_right(events, reached, key=lambda e: e[0])
+        later, left = events[ready:], set(lots[len(begun) :])
+        for k in range(0, len(later), LOT):
+            lot, number = later[k : k + LOT], 0
+            while (lot[0][0], number) in left:
+                number += 1
+            left.add((lot[0][0], number))
+            self.waiting.updateValue((lot[0][0], number), ([e for _, e in lot], [at for at, _ in lot]))
+        return events[:ready], min(left)[0] if left else None
+
+    def released(self, key: tuple, timerValues: TimerValues, new: list[tuple[int, str]]) -> Iterator[pd.DataFrame]:
         """The counts of what the watermark has reached; the rest waits for a timer."""
         reached = timerValues.getCurrentWatermarkInMs() * 1000 + 999  # the watermark is cut to milliseconds
+        events, first = self.split(new, reached)
         sizes = {p[0]: n[0] for p, n in self.sizes.iterator()}
-        held: dict[int, list[int]] = {}
+        stored, held = set(sizes), {}
 
         def times(part: int) -> list[int]:
             if part not in held:
-                held[part] = list(self.times.getValue((part,))[0]) if part in sizes else []
+                held[part] = list(self.times.getValue((part,))[0]) if part in stored else []
             return held[part]
 
         out, changed = [], set()
-        first = None
-        for part in sorted(p[0] for p in self.waiting.keys()):
-            if part * self.part > reached:
-                first = part * self.part if first is None else first
-                break
-            ids, places = self.waiting.getValue((part,))
-            events = sorted(zip(places, ids, strict=True))
-            ready = bisect_right(events, reached, key=lambda e: e[0])
-            for at, event_id in events[:ready]:
-                own, begins = times(part), (at - self.width) // self.part
-                insort(own, at)
-                sizes[part] = len(own)
-                changed.add(part)
-                earlier = times(begins)
-                n = len(earlier) - bisect_left(earlier, at - self.width) + sum(k for p, k in sizes.items() if begins < p <= part)
-                out.append((event_id, key[0], pd.Timestamp(at, unit="us"), n))
-            left = events[ready:]
-            if left:
-                first = left[0][0] if first is None else first
-                if ready:
-                    self.waiting.updateValue((part,), ([e for _, e in left], [at for at, _ in left]))
-            else:
-                self.waiting.removeKey((part,))
+        # events come in order, so the parts that a count adds up move forward: those of `parts` from `low` to `high`
+        parts, low, high, inside = sorted(sizes), 0, 0, 0
+        for at, event_id in events:
+            own, begins = at // self.part, (at - self.width) // self.part
+            if own not in sizes:
+                sizes[own] = 0
+                insort(parts, own)
+            while high < len(parts) and parts[high] <= own:
+                inside += sizes[parts[high]]
+                high += 1
+            while low < high and parts[low] <= begins:
+                inside -= sizes[parts[low]]
+                low += 1
+            insort(times(own), at)
+            sizes[own] += 1
+            inside += 1
+            changed.add(own)
+            earlier = times(begins)
+            out.append((event_id, key[0], pd.Timestamp(at, unit="us"), len(earlier) - bisect_left(earlier, at - self.width) + inside))
         for part in list(sizes):
             if (part + 1) * self.part <= reached - self.width:  # no later event counts these
                 sizes.pop(part)
                 changed.discard(part)
-                if self.sizes.containsKey((part,)):
+                if part in stored:
                     self.times.removeKey((part,))
                     self.sizes.removeKey((part,))
         for part in changed:
             self.times.updateValue((part,), (held[part],))
             self.sizes.updateValue((part,), (sizes[part],))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         due = first if first is not None else (max(sizes) + 1) * self.part + self.width if sizes else None
-        if due is not None:
-            self.handle.registerTimer(max(due // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        timers = list(self.handle.listTimers())
+        wanted = [] if due is None else [max(due // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1)]
+        for timer in set(timers) - set(wanted):
+            self.handle.deleteTimer(timer)
+        for timer in set(wanted) - set(timers):
+            self.handle.registerTimer(timer)
         if out:
             yield pd.DataFrame(out, columns=["event_id", "key", "ts", "n"])
 

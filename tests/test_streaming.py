@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sentrel.operators import detect, normalize, rules
+from sentrel.plans import catalog
 from sentrel.sources import tables
 from sentrel.streaming.detect import Counter, stream_detect, stream_threshold
 
@@ -122,6 +123,36 @@ def test_state_written_follows_what_is_new():
     assert not any(m.held for m in handle.maps.values()) and not handle.timers
 
 
+class Noted(Kept):
+    """A map of state that counts its uses."""
+
+    uses = 0
+
+    def __getattribute__(self, name):
+        Noted.uses += name in ("updateValue", "getValue", "containsKey", "removeKey", "keys", "iterator")
+        return super().__getattribute__(name)
+
+
+def test_uses_of_state_do_not_follow_events():
+    """One key, 2000 events over as many parts of the window in one batch: a use of state is a message, so it is made for lots and for the parts that stay."""
+    handle, counter = Handle(), Counter(64 * 60_000_000)
+    handle.maps = {name: Noted() for name in ("waiting", "times", "sizes")}
+    counter.init(handle)
+    rows = [(i * 60_000_000, f"e{i:04}") for i in range(2000)]
+    frame = pd.DataFrame({"event_id": [i for _, i in rows], "ts": pd.to_datetime([at for at, _ in rows], unit="us")})
+    got = [n for out in counter.handleInputRows(("k",), iter([frame]), Clock(0)) for n in out["n"]]
+    got += [n for out in counter.handleExpiredTimer(("k",), Clock(10**9), None) for n in out["n"]]
+    assert Noted.uses < 40 and got == [min(i + 1, 65) for i in range(2000)] and not any(m.held for m in handle.maps.values())
+
+
+def test_delayed_batches_hold_each_event_once(spark):
+    """However the span is rounded when it is parted."""
+    for micros in (0, 1, 2):
+        events = spark.range(3000).selectExpr("cast(id as string) as event_id", "'u' as username", f"timestamp_micros(cast(if(id > 2989, 9000000000 + {micros} - (2999 - id) div 5, id * 3000000) as long)) as ts")
+        ids = [r.event_id for own in catalog.delayed(events) for r in own.collect() if r.event_id != "end"]
+        assert sorted(ids, key=int) == [str(i) for i in range(3000)]
+
+
 def test_thresholds_look_back_over_batches_and_replays_write_once(spark, tmp_path):
     raw, assets, iocs, cves, loaded = scenario(spark, "web-01")
     parts = [raw.where(f"event_id = 'e{k}'") for k in range(3)]
