@@ -150,3 +150,26 @@ def test_a_job_parses_each_event_once_and_carries_no_indicators(spark):
     assert seen.value == 300
     assert sum(r.match.rule_id == "R1" for r in rows) == 100 and sum(r.match.rule_id == "R2" for r in rows) == 153
     assert all(r.ioc_hits == ["9.9.9.2"] for r in rows if r.match.rule_id == "R1")
+
+
+def test_texts_of_events_stay_where_rules_test_them(spark):
+    """No join of the job carries the raw log or the parsed payload to a result that has neither, and more rules than one number has bits for are told apart."""
+    from sentrel.operators import detect
+
+    wanted = [rules.Rule(k, f"R{k}", f"Rule {k}", "low", {"anyKeywords": [f"word{k:02}"]}) for k in range(2 * rules.PIECE + 3)]
+    wanted.append(rules.Rule(99, "R99", "Busy", "low", {"threshold": {"field": "sourceIp", "count": 2, "windowMinutes": 5}}))
+    schema = "event_id string, ts timestamp, event_type string, event_category string, severity string, source_ip string, destination_ip string, username string, hostname string, raw_log string, parsed_data string, protocol string, source_port int, destination_port int"
+    events = spark.createDataFrame([(f"e{k:02}", T0 + dt.timedelta(hours=k), "t", "c", "low", f"1.1.1.{k}", None, None, None, f"a word{k:02}", None, None, None, None) for k in range(len(wanted))], schema)
+    assets = spark.createDataFrame([], "id long, hostname string, ip_address string, criticality string")
+    iocs = spark.createDataFrame([(1, "1.1.1.3")], "id long, ioc_value string")
+    found = detect.evaluate(events, assets, iocs, wanted).select("event_id", "match.rule_id")
+    assert sorted(map(tuple, found.collect())) == [(f"e{k:02}", f"R{k}") for k in range(2 * rules.PIECE + 3)]
+
+    def joins(node):
+        inner = node.children()
+        own = [node] if node.nodeName() == "Join" else []
+        return own + [j for i in range(inner.size()) for j in joins(inner.apply(i))]
+
+    plan = found._jdf.queryExecution().optimizedPlan()
+    carried = [{j.output().apply(i).name() for i in range(j.output().size())} for j in joins(plan)]
+    assert carried and not any(c & {"raw_log", "parsed_data"} for c in carried)
