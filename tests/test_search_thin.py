@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrel.operators import cases, enrich, feeds, search
+from sentrel.plans.catalog import QUERIES
+from sentrel.plans.fixtures import Data
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +77,22 @@ def test_overviews_list_every_child_of_a_large_incident(spark):
     got = {r.incident_id: r for r in whole.collect()}
     assert [e.filename for e in got["a"].evidence] == [f"x{i:04}" for i in range(1500)] and got["a"].evidence_total == 1500
     assert len(got["a"].timeline) == got["a"].timeline_total == 1200 and got["b"].evidence == [] and got["b"].timeline_total == 0
+
+
+def test_overviews_hold_whole_children_of_every_kind(spark, sf_dir):
+    incidents = spark.createDataFrame([("a", "open")], "incident_id string, status string")
+    rows = lambda values, ddl: spark.createDataFrame(values, f"incident_id string, {ddl}")
+    entries = rows([("a", "t2", "later", "2"), ("a", "t1", None, None), ("a", "t3", "later", "2")], "timeline_id string, event_description string, event_ts string")
+    whole = cases.case_overview(incidents, rows([("a", 1, "f", 7)], "id long, filename string, file_size long"), entries, rows([("a", "x", "t", "1")], "artifact_id string, title string, created_at string"), rows([("a", "did", 5)], "action string, ts long"))
+    got = whole.first()
+    assert got.status == "open" and [tuple(e) for e in got.timeline] == [(None, None, "t1"), ("2", "later", "t2"), ("2", "later", "t3")]
+    assert got.evidence[0].file_size == 7 and got.artifacts[0].artifact_id == "x" and [tuple(r) for r in got.audit] == [(5, "did")]
+
+
+def test_the_overview_query_lists_what_it_counts(spark, sf_dir):
+    data = Data(spark, sf_dir)
+    rows = QUERIES["case_overview"](spark, sf_dir).collect()
+    listed = lambda kind: sorted(item.split(" ")[-1] for r in rows for item in (r[kind].split("|") if r[kind] else []))
+    for kind, table, key in (("timeline", data.entries, "timeline_id"), ("artifacts", data.found, "artifact_id")):
+        there = table.join(data.incidents, "incident_id", "left_semi").select(key).collect()
+        assert listed(kind) == sorted(r[key] for r in there) and len(there) == sum(r[f"{kind}_total"] for r in rows) > 100
