@@ -10,22 +10,25 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..operators.detect import outputs
-from ..operators.enrich import enrich_events
-from ..operators.normalize import dedupe_event_id, normalize_events
-from ..operators.rules import Rule, evaluate_rules, thresholds_of
+from ..operators.enrich import asset_cves, asset_lookup, enrich_events, hits_of, with_hits
+from ..operators.normalize import normalize_events, spread
+from ..operators.rules import CHUNK, Rule, evaluate_rules, marked, thresholds_of
 from ..sources import commits
 from ..sources.schemas import TABLES
 from ..sources.scratch import written
 from ..sources.tables import write_facts
 
 
-def stream_events(raw: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Normalised events of a raw stream, each id once within the watermark: rows are dealt by id for that, and parsed in all tasks after it."""
-    return normalize_events(dedupe_event_id(raw.select("event_id", "ts", "source_type", "asset_id", "payload"), within=delay))
+def batch_events(batch: DataFrame) -> DataFrame:
+    """Normalised events of a batch of raw logs, the earliest of each id: rows are dealt by id for that, and parsed in all tasks after it."""
+    same = Window.partitionBy("event_id").orderBy(F.col("ts").asc_nulls_last())
+    rows = spread(batch).withColumn("__again", F.lag(F.lit(True)).over(same))
+    return normalize_events(rows.where("__again is null"))
 
 
 #: A key's times are kept in so many parts of the window, of which a batch rewrites only those that it adds to.
@@ -181,16 +184,31 @@ def query_id(spark, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first().value)["id"]
 
 
+def in_span(rows: DataFrame, first: dt.datetime, last: dt.datetime) -> DataFrame:
+    """Rows of stored events between two times, of the days around them."""
+    day = dt.timedelta(days=1)  # days are those of the session's zone, dates here of the driver's
+    return rows.where(F.col("event_date").between(F.lit(first.date() - day), F.lit(last.date() + day)) & F.col("ts").between(F.lit(first), F.lit(last)))
+
+
+#: What facts take from the event of a match.
+OF_EVENT = ["event_id", "ts", "source_ip", "destination_ip", "hostname", "event_type", "event_category", "severity"]
+
+
 def stream_detect(raw: DataFrame, assets: DataFrame, iocs: DataFrame, cves: DataFrame, rules: list[Rule], path: str, checkpoint: str, history: Callable[[], DataFrame | None] | None = None, delay: str = "1 hour", once: bool = False) -> StreamingQuery:
     """Each micro-batch of a raw stream through the batch job into the fact tables under `path`, as one committed run of this query and batch: a replayed batch writes once.
 
     Other streams and batches may write to the same tables. Events whose id is stored already, with a time in the
-    batch's span, are left out: a stream that begins anew with a fresh checkpoint adds only what is new. Thresholds look back
+    batch's span or up to `delay` beside it, are left out: a stream that begins anew with a fresh checkpoint adds only
+    what is new, and nothing is dropped for being late. No state is kept for that but what is stored. Thresholds look back
     over stored events besides the batch itself: those under `path`, or what `history()` returns. Of these only id,
-    time and keys are read, of the batch's span and the longest window before it. `once` reads what there is and stops.
+    time and keys are read, of the batch's span and the longest window before it. `once` reads what there is and stops;
+    the CVEs of assets are then found once and kept in the folder in `spark.checkpoint.dir`, not found in each batch.
     """
     spark = raw.sparkSession
     back = dt.timedelta(minutes=max([0, *(minutes for _, minutes in thresholds_of(rules))]))
+    found: list[DataFrame] = []  # the CVEs of assets, where they are found once for all batches
+    slim = assets.drop("services")
+    beside = spark.sql(f"select cast(interval {delay} as interval day to second) as d").first().d
 
     def work(batch: DataFrame, number: int) -> None:
         run = f"{query_id(spark, checkpoint)}-{number:09}"
@@ -202,22 +220,31 @@ def stream_detect(raw: DataFrame, assets: DataFrame, iocs: DataFrame, cves: Data
         before = conf.get(name)
         conf.set(name, "true")
         try:
-            span = written(batch.repartition("event_id"), "span", paths)
-            ends = span.agg(F.count("*").alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+            own = written(batch_events(batch), "span", paths)
+            ends = own.agg(F.count("*").alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last")).first()
             if not ends.rows:
                 return
-            stored = None if ends.first is None else stored_events(spark, path, ends.first - back, ends.last)
-            fresh = span if stored is None else span.join(stored.where(F.col("ts").between(F.lit(ends.first), F.lit(ends.last))).select("event_id"), "event_id", "left_anti")
-            own = span if stored is None else written(fresh, "fresh", paths)
+            stored = None if ends.first is None else stored_events(spark, path, ends.first - max(back, beside), ends.last + beside)
+            if stored is not None:
+                again = in_span(stored, ends.first - beside, ends.last + beside).select("event_id")
+                if not own.join(again, "event_id", "left_semi").isEmpty():
+                    own = written(own.join(again, "event_id", "left_anti"), "fresh", paths)
             context = history() if history is not None else stored
             past = None if context is None else earlier(own, context, rules)
-            known = written(enrich_events(own, assets, iocs, cves), "known", paths)
-            matches = written(evaluate_rules(known, rules, past, own).drop("raw_log", "parsed_data", "enrichment"), "matches", paths)
+            past = past if past is None else written(past, "past", paths)
+            if once and not found:
+                found.append(written(asset_cves(assets, cves), "cves"))
+            hits = written(hits_of(own, iocs), "hits", paths)
+            known = enrich_events(own, slim, iocs, cves, found[0] if found else asset_cves(assets, cves), hits)
+            # a few rules test the texts first, which the joins then don't move
+            rows = marked(own, rules) if 0 < len(rules) <= CHUNK else own
+            rows = with_hits(asset_lookup(rows, assets.select("id", "hostname", "ip_address", "criticality")), hits.select("event_id", F.col("ioc_hits.value").alias("ioc_hits")))
+            matches = written(evaluate_rules(rows, rules, past, own).select(*OF_EVENT, "asset", "match"), "matches", paths)
             write_facts({"security_events": known.withColumn("enrichment", F.to_json("enrichment")), **outputs(matches)}, path, run)
         finally:
             for folder in paths:
                 commits.remove(spark, folder)
             conf.set(name, before)
 
-    writer = stream_events(raw, delay).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    writer = raw.select("event_id", "ts", "source_type", "asset_id", "payload").writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

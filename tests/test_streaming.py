@@ -177,3 +177,46 @@ def test_stream_dedupe(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("once").count() == 2
+
+
+def logs_of(spark, *rows):
+    return spark.createDataFrame([(i, T0 + dt.timedelta(hours=h), "raw", None, text) for i, h, text in rows], "event_id string, ts timestamp, source_type string, asset_id long, payload string")
+
+
+def test_batches_store_each_event_once_and_late_ones_too(spark, tmp_path):
+    _, assets, iocs, cves, loaded = scenario(spark, "web-01")
+    first = logs_of(spark, ("a", 10, "later"), ("a", 9, "earlier"), ("b", 20, "one"))
+    second = logs_of(spark, ("b", 20, "again"), ("b", 20.5, "within the delay"), ("late", 1, "nineteen hours behind"), ("c", 21, "new"))
+    for rows in (first, second):
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream_detect(source, assets, iocs, cves, loaded, f"{tmp_path}/out", f"{tmp_path}/cp", once=True).awaitTermination()
+    stored = tables.read_table(spark, "security_events", f"{tmp_path}/out/security_events")
+    assert sorted((r.event_id, r.raw_log) for r in stored.collect()) == [("a", "earlier"), ("b", "one"), ("c", "new"), ("late", "nineteen hours behind")]
+
+
+def test_a_feed_in_batches_is_written_by_many_tasks(spark, sf_dir):
+    """Each batch has as many files as are read at once, and rows without a time come last."""
+    start = F.timestamp_seconds(F.lit(1704067200))
+    rows = spark.range(40_000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 1000 > 0, start + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int") % 5000)).alias("ts"))
+    feed = catalog.streamed(catalog.Data(spark, sf_dir), rows, "feed", 4)
+    assert feed.isStreaming
+    seen, files = [], []
+
+    def note(batch, number):
+        held = batch.select("ts", F.input_file_name().alias("file")).collect()
+        files.append(len({r.file for r in held}))
+        seen.append(([r.ts for r in held if r.ts], len(held)))
+
+    feed.writeStream.foreachBatch(note).trigger(availableNow=True).start().awaitTermination()
+    assert len(set(files)) == 1 and files[0] > 1 and len(files) == 4 and sum(n for _, n in seen) == 40_000
+    assert all(max(before) < min(after) for (before, _), (after, _) in zip(seen, seen[1:]))
+    assert seen[3][1] - len(seen[3][0]) == 40
+
+
+def test_events_do_not_move_for_the_cves_of_assets(spark):
+    from sentrel.operators import enrich
+
+    raw, assets, iocs, cves, _ = scenario(spark, "web-01")
+    plan = enrich.enrich_events(normalize.normalize_events(raw), assets, iocs, cves)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(asset#" not in plan and "hashpartitioning(event_id#" in plan
